@@ -14,6 +14,11 @@ QUANTILE_TABLE = 60
 Z975 = 1.959963984540054
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _polynomial(coefficients: list[float], x: Column) -> Column:
     result = F.lit(coefficients[0])
     for value in coefficients[1:]:
@@ -28,6 +33,10 @@ HART_BOTTOM = [0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322
 
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function, accurate to about 1e-15."""
+    return _let(x, _normal_cdf)
+
+
+def _normal_cdf(x: Column) -> Column:
     size = F.abs(x)
     density = F.exp(-size * size / 2)
     near = density * _polynomial(HART_TOP, size) / _polynomial(HART_BOTTOM, size)
@@ -41,17 +50,20 @@ def normal_cdf(x: Column) -> Column:
 
 def _series_tail(t: Column, df: Column) -> Column:
     """Two-sided tail of Student's t for integer df (Abramowitz and Stegun 26.7.3 and 26.7.4)."""
-    angle = F.atan(F.abs(t) / F.sqrt(df))
+    return _let(F.atan(F.abs(t) / F.sqrt(df)), lambda angle: _series(angle, df))
+
+
+def _series(angle: Column, df: Column) -> Column:
     sine, cosine = F.sin(angle), F.cos(angle)
     odd = df % 2 == 1
     # Terms after the first: even df multiply by (2j - 1) / 2j, odd df by 2j / (2j + 1), each times cos^2.
     count = F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"), (cosine * cosine).alias("square"))
 
     def step(state, j):
         top = F.when(odd, 2.0 * j).otherwise(2.0 * j - 1)
-        term = state["term"] * cosine * cosine * top / (top + 1)
-        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+        term = state["term"] * state["square"] * top / (top + 1)
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"), state["square"].alias("square"))
 
     terms = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     total = F.aggregate(terms, start, step, lambda state: state["total"])
@@ -67,16 +79,22 @@ def _normal_tail(t: Column, df: Column) -> Column:
     """Two-sided tail of Student's t for many degrees of freedom (Hill 1970)."""
     a = df - 0.5
     b = 48 * a * a
-    z = F.sqrt(a * F.log1p(t * t / df))
-    z2 = z * z
-    correction = (z2 + 3) * z / b - ((4 * z2 + 33) * z2 * z2 + 240 * z2 + 855) * z / (10 * b * (b + 0.8 * z2 * z2 + 100))
-    return 2 * normal_cdf(-(z + correction))
+
+    def corrected(z: Column) -> Column:
+        z2 = z * z
+        return z + (z2 + 3) * z / b - ((4 * z2 + 33) * z2 * z2 + 240 * z2 + 855) * z / (10 * b * (b + 0.8 * z2 * z2 + 100))
+
+    return 2 * normal_cdf(-_let(F.sqrt(a * F.log1p(t * t / df)), corrected))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
     """Two-sided p-value of a t statistic with an integer number of degrees of freedom; NULL if either is NULL."""
-    df = df.cast("double")
-    return F.when(df <= SERIES_LIMIT, F.greatest(_series_tail(t, df), F.lit(0.0))).otherwise(_normal_tail(t, df))
+
+    def tail(both: Column) -> Column:
+        t, df = both["t"], both["df"]
+        return F.when(df <= SERIES_LIMIT, F.greatest(_series_tail(t, df), F.lit(0.0))).otherwise(_normal_tail(t, df))
+
+    return F.when(t.isNotNull(), _let(F.struct(t.alias("t"), df.cast("double").alias("df")), tail))
 
 
 def _tail(t: float, df: int) -> float:
@@ -119,4 +137,4 @@ def guarded_corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     cx, cy = F.when(both, x), F.when(both, y)
     varied = (F.count(cx) >= 3) & (F.min(cx) < F.max(cx)) & (F.min(cy) < F.max(cy))
-    return F.when(varied, F.corr(cx, cy))
+    return F.when(varied, F.try_divide(F.covar_pop(cx, cy), F.stddev_pop(cx) * F.stddev_pop(cy)))

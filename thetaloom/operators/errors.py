@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaloom.functions.stats import guarded_corr, t_quantile_975
-from thetaloom.operators.order_stats import average_ranks, quantiles
+from thetaloom.operators.order_stats import average_ranks, measured, quantiles
 
 SCORING = ["grade", "irt_model", "scaled_points"]
 ALL = "all"
+MEAN_DIGITS = 12
 
 
 def leave_one_out(items: DataFrame, parameters: list[str], scoring: list[str] = SCORING, part: str = "part_group") -> DataFrame:
@@ -25,7 +26,8 @@ def leave_one_out(items: DataFrame, parameters: list[str], scoring: list[str] =
     for name in parameters:
         n = F.col(f"_all_n_{name}") - F.col(f"_part_n_{name}")
         rest = F.col(f"_all_sum_{name}") - F.coalesce(F.col(f"_part_sum_{name}"), F.lit(0.0))
-        means[f"{name}_mean"] = F.when(n > 0, rest / n)
+        # Rounded, so that equal means tie whatever the order of summation.
+        means[f"{name}_mean"] = F.round(F.when(n > 0, rest / n), MEAN_DIGITS)
     return joined.withColumns(means).select(*items.columns, *means)
 
 
@@ -53,7 +55,7 @@ def reference_means(references: DataFrame, items: DataFrame, parameters: list[st
     target = items.select(F.col("item_key").alias("target_key"), F.col("irt_model").alias("_m"), F.col("scaled_points").alias("_p"))
     found = references.select("target_key", "item_key").join(items.select("item_key", "irt_model", "scaled_points", *parameters), "item_key")
     alike = found.join(target, "target_key").filter("irt_model = _m and scaled_points = _p")
-    return alike.groupBy("target_key").agg(*[F.avg(name).alias(f"{name}_reference") for name in parameters], F.count("*").alias("references"))
+    return alike.groupBy("target_key").agg(*[F.round(F.avg(name), MEAN_DIGITS).alias(f"{name}_reference") for name in parameters], F.count("*").alias("references"))
 
 
 def with_all(df: DataFrame, by: str) -> DataFrame:
@@ -63,8 +65,8 @@ def with_all(df: DataFrame, by: str) -> DataFrame:
 
 def correlations(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman correlation of the complete pairs of each group, with their number."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y)
-    ranked = average_ranks(average_ranks(pairs, groups, x, "_rx"), groups, y, "_ry")
+    pairs, small = measured(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y))
+    ranked = average_ranks(pairs, groups, {x: "_rx", y: "_ry"}, small)
     return ranked.groupBy(*groups).agg(
         F.count("*").alias("pairs"), guarded_corr(F.col(x), F.col(y)).alias("pearson"), guarded_corr(F.col("_rx"), F.col("_ry")).alias("spearman")
     )
@@ -72,8 +74,8 @@ def correlations(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
 
 def summarize(errors: DataFrame, groups: list[str], baselines: list[str] = ()) -> DataFrame:
     """Items, bias, spread, mean absolute error, RMSE, correlations and the baselines' mean absolute errors per group."""
-    rows = errors.filter("predicted is not null")
-    ranked = average_ranks(average_ranks(rows, groups, "predicted", "_rp"), groups, "calibrated", "_rc")
+    rows, small = measured(errors.filter("predicted is not null").select(*groups, "predicted", "calibrated", *baselines))
+    ranked = average_ranks(rows, groups, {"predicted": "_rp", "calibrated": "_rc"}, small)
     error = F.col("predicted") - F.col("calibrated")
     return ranked.groupBy(*groups).agg(
         F.count("*").alias("items"),

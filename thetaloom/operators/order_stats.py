@@ -1,6 +1,7 @@
 """Exact ranks and quantiles of groups of any size.
 
-Equal values are combined first. The distinct values of a group are then cut into buckets by their place between the
+The columns concerned are written once and counted. Up to ``SMALL_ROWS`` rows in all, no group can be too large for a
+task, and a window or the built-in ``percentile`` does. Beyond that, equal values are combined first. The distinct values of a group are then cut into buckets by their place between the
 group's smallest and largest value: counts per bucket give every value its offset, and only values of one bucket are
 ever sorted together. So a group that holds most of the rows is spread over as many tasks as it has buckets.
 """
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thetaloom.session import written
+
 BUCKETS = 65_536
+SMALL_ROWS = 5_000_000
 
 
 def _bucketed(df: DataFrame, groups: list[str], value: str, buckets: int) -> tuple[DataFrame, DataFrame]:
@@ -36,17 +40,41 @@ def _positions(values: DataFrame, offsets: DataFrame, groups: list[str], value:
     return joined.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
 
 
-def average_ranks(df: DataFrame, groups: list[str], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with the rank of ``value`` in its group, from 1, tied values sharing their mean rank; NULL has none."""
-    values, offsets = _bucketed(df, groups, value, buckets)
-    ranks = _positions(values, offsets, groups, value).select(*groups, value, (F.col("_start") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [*groups, value], "left")
-
-
-def quantiles(df: DataFrame, groups: list[str], value: str, probabilities: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
-    """One row per group with the named quantiles of ``value``, linearly interpolated between neighbours. Only the
-    buckets that hold a wanted position are sorted."""
-    values, offsets = _bucketed(df, groups, value, buckets)
+def measured(df: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` written once, and whether it has at most ``small_rows`` rows."""
+    table = written(df, "measured")
+    return table, table.count() <= small_rows
+
+
+def _window_rank(groups: list[str], value: str) -> Column:
+    ties = F.count("*").over(Window.partitionBy(*groups, value))
+    return F.when(F.col(value).isNotNull(), F.rank().over(Window.partitionBy(*groups).orderBy(F.col(value).asc_nulls_last())) + (ties - 1) / 2)
+
+
+def average_ranks(df: DataFrame, groups: list[str], values: dict[str, str], small: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with the rank of each value column in its group under the given name, from 1, tied values sharing their
+    mean rank; NULL has none. ``small``: the input is known to be small."""
+    if small:
+        return df.withColumns({out: _window_rank(groups, value) for value, out in values.items()})
+    result = df
+    for value, out in values.items():
+        distinct, offsets = _bucketed(df, groups, value, buckets)
+        ranks = _positions(distinct, offsets, groups, value).select(*groups, value, (F.col("_start") + (F.col("_n") + 1) / 2).alias(out))
+        result = result.join(ranks, [*groups, value], "left")
+    return result
+
+
+def quantiles(
+    df: DataFrame, groups: list[str], value: str, probabilities: dict[str, float], small_rows: int = SMALL_ROWS, buckets: int = BUCKETS
+) -> DataFrame:
+    """One row per group with the named quantiles of ``value``, linearly interpolated between neighbours. Of a large
+    input, only the buckets that hold a wanted position are sorted."""
+    table, small = measured(df.select(*groups, value).filter(F.col(value).isNotNull()), small_rows)
+    if small:
+        found = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities.values()]))
+        names = list(probabilities)
+        return table.groupBy(*groups).agg(found.alias("_q")).select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    values, offsets = _bucketed(table, groups, value, buckets)
 
     def index(probability: float, up: bool) -> Column:
         position = F.lit(probability) * (F.col("_total") - 1)

@@ -65,6 +65,15 @@ from (
     union all select *, 'guessing', guessing_predicted, guessing_calibrated from v_predictions
     union all select *, 'step1', step1_predicted, step1_calibrated from v_predictions
 ) u where calibrated is not null""",
+    # Reference items of an item, each with the place of its first mention.
+    "v_references": """
+select concat('P', cast(l_partkey as varchar(20))) as target_key, concat('P', cast(l_suppkey as varchar(20))) as item_key, min(l_orderkey) as first_place
+from lineitem where l_partkey <> l_suppkey group by 1, 2""",
+    # How often a probability answer falls on each value of a 7-point scale, per run and item.
+    "v_probabilities": """
+select l_linestatus as run, concat('P', cast(l_partkey as varchar(20))) as item_key, l_linenumber as position,
+       l_linenumber / 2e0 - 2e0 as value, count(*) * 1e0 as probability
+from lineitem group by 1, 2, 3, 4""",
     # Condition x item answer with its key and the scorer's verdict; a missing category is a missing verdict.
     "v_answers": """
 select l_suppkey % 5 as condition_id, concat('P', cast(l_partkey as varchar(20))) as item_key, l_orderkey, l_linenumber,
