@@ -130,3 +130,27 @@ def average_rank(value: str, partition: str) -> str:
 
 def guarded_corr(x: str, y: str) -> str:
     return f"case when count(*) >= 3 and min({x}) < max({x}) and min({y}) < max({y}) then corr({x}, {y}) end"
+
+
+def normal_cdf(x: str) -> str:
+    """Standard normal distribution function, Hart's approximation."""
+    top = "(((((3.52624965998911e-2 * z + 7.00383064443688e-1) * z + 6.37396220353165e0) * z + 3.3912866078383e1) * z + 1.12079291497871e2) * z + 2.21213596169931e2) * z + 2.20206867912376e2"
+    bottom = "((((((8.83883476483184e-2 * z + 1.75566716318264e0) * z + 1.6064177579207e1) * z + 8.67807322029461e1) * z + 2.96564248779674e2) * z + 6.37333633378831e2) * z + 7.93826512519948e2) * z + 4.40413735824752e2"
+    near = f"exp(-(z) * (z) / 2e0) * ({top}) / ({bottom})".replace("z", f"abs({x})")
+    return f"case when {x} > 0 then 1e0 - {near} else {near} end"
+
+
+def bootstrap(rows: str, groups: list[str], replicates: int = 2000) -> dict[str, str]:
+    """Resampling with replacement: draw j of replicate r is the item at hash(r * n + j) * n / prime."""
+    p = 2147483647
+    keys = ", ".join(groups)
+    same = " and ".join(f"d.{g} = i.{g}" for g in groups)
+    d = ", ".join(f"d.{g}" for g in groups)
+    return {
+        "b_items": f"select {keys}, points, max_points, row_number() over (partition by {keys} order by item_key) - 1 as i, count(*) over (partition by {keys}) as n from ({rows}) b_rows",
+        "b_k": f"select {keys}, n, r, ((r * n + i) % {p} * 48271 + 11) % {p} as h from b_items cross join range(0, {replicates}) t(r)",
+        "b_1": f"select {keys}, n, r, ((h * h % {p}) * (h * h % {p}) % {p} * h % {p} * 69621 + 13) % {p} as h from b_k",
+        "b_draws": f"select {keys}, r, ((h * h % {p}) * (h * h % {p}) % {p} * h % {p}) * n // {p} as i from b_1",
+        "b_shares": f"select {d}, r, 1e2 * sum(points) / sum(max_points) as share from b_draws d join b_items i on {same} and d.i = i.i group by {d}, r",
+        "b_ci": f"select {keys}, quantile_cont(share, 25e-3) as ci_low, quantile_cont(share, 975e-3) as ci_high from b_shares group by {keys}",
+    }
