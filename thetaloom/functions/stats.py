@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from thetaloom.functions.binding import bound
+
 SERIES_LIMIT = 1000
 """Up to this many degrees of freedom the t tail is the exact finite series; above it a normal expansion is exact to
 1e-12 and needs no loop."""
@@ -14,11 +16,6 @@ QUANTILE_TABLE = 60
 Z975 = 1.959963984540054
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _polynomial(coefficients: list[float], x: Column) -> Column:
     result = F.lit(coefficients[0])
     for value in coefficients[1:]:
@@ -33,7 +30,7 @@ HART_BOTTOM = [0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322
 
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function, accurate to about 1e-15."""
-    return _let(x, _normal_cdf)
+    return bound(x, _normal_cdf)
 
 
 def _normal_cdf(x: Column) -> Column:
@@ -50,7 +47,7 @@ def _normal_cdf(x: Column) -> Column:
 
 def _series_tail(t: Column, df: Column) -> Column:
     """Two-sided tail of Student's t for integer df (Abramowitz and Stegun 26.7.3 and 26.7.4)."""
-    return _let(F.atan(F.abs(t) / F.sqrt(df)), lambda angle: _series(angle, df))
+    return bound(F.atan(F.abs(t) / F.sqrt(df)), lambda angle: _series(angle, df))
 
 
 def _series(angle: Column, df: Column) -> Column:
@@ -84,7 +81,7 @@ def _normal_tail(t: Column, df: Column) -> Column:
         z2 = z * z
         return z + (z2 + 3) * z / b - ((4 * z2 + 33) * z2 * z2 + 240 * z2 + 855) * z / (10 * b * (b + 0.8 * z2 * z2 + 100))
 
-    return 2 * normal_cdf(-_let(F.sqrt(a * F.log1p(t * t / df)), corrected))
+    return 2 * normal_cdf(-bound(F.sqrt(a * F.log1p(t * t / df)), corrected))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
@@ -94,7 +91,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
         t, df = both["t"], both["df"]
         return F.when(df <= SERIES_LIMIT, F.greatest(_series_tail(t, df), F.lit(0.0))).otherwise(_normal_tail(t, df))
 
-    return F.when(t.isNotNull(), _let(F.struct(t.alias("t"), df.cast("double").alias("df")), tail))
+    return F.when(t.isNotNull(), bound(F.struct(t.alias("t"), df.cast("double").alias("df")), tail))
 
 
 def _tail(t: float, df: int) -> float:

@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaloom.functions.irt import PROBABILITY_FLOOR, SCALING, THETA_MAX, THETA_MIN, THETA_STEP, ItemModel
+from thetaloom.session import task_count
 
 LARGE_GROUP = 200_000
 """Groups with more responses than this are estimated in the relational form."""
 FINE_HALF_WIDTH, FINE_STEP = 0.02, 1e-4
-ROWS_PER_BLOCK = 1024
+ROWS_PER_BLOCK = 64
+REPEATED_ROWS = 4096
 
 ESTIMATE_FIELDS = (
     "items bigint, points bigint, max_points bigint, theta_eap double, theta_eap_se double, theta_mle double, "
@@ -84,14 +86,37 @@ class _Block:
                 result[k][picked] = weights[k]
         return result
 
-    def log_likelihood(self, theta: np.ndarray, rows: slice) -> np.ndarray:
-        chosen = self.score[rows]
-        values = self.probabilities(theta, rows)
-        observed = values[0]
-        for k in range(1, len(values)):
-            at = chosen == k
-            observed[at] = values[k][at]
-        return np.log(np.maximum(observed, PROBABILITY_FLOOR))
+    def log_likelihood(self, theta: np.ndarray, rows: slice | np.ndarray) -> np.ndarray:
+        """ln P of the observed scores of the rows, in place in one matrix that stays in the processor's cache."""
+        slope, location, score, gpcm = self.slope[rows], self.location[rows], self.score[rows], self.gpcm[rows]
+        guessing = self.guessing[rows, None]
+        sign, offset = np.where(score == 1, 1.0, -1.0)[:, None], np.where(score == 1, 0.0, 1.0)[:, None]
+        out = theta - location[:, None]
+        out *= (-SCALING * slope)[:, None]
+        np.exp(out, out=out)
+        out += 1
+        np.reciprocal(out, out=out)
+        out *= 1 - guessing
+        out += guessing
+        out *= sign
+        out += offset
+        np.maximum(out, PROBABILITY_FLOOR, out=out)
+        np.log(out, out=out)
+        if gpcm.any():
+            picked = np.flatnonzero(gpcm)
+            at = (theta if theta.shape[0] == 1 else theta[picked]) - location[picked, None]
+            steps = self.steps[rows][picked]
+            total = np.zeros((len(picked), at.shape[1]))
+            terms = [total]
+            for k in range(int((~np.isnan(steps)).sum(axis=1).max())):
+                total = total + (SCALING * slope[picked])[:, None] * (at + steps[:, k, None])
+                terms.append(np.where(np.isnan(steps[:, k, None]), -np.inf, total))
+            cumulative = np.stack(terms)
+            top = cumulative.max(axis=0)
+            spread = np.log(np.exp(cumulative - top).sum(axis=0))
+            observed = np.take_along_axis(cumulative, score[picked][None, :, None], axis=0)[0]
+            out[picked] = np.maximum(observed - top - spread, np.log(PROBABILITY_FLOOR))
+        return out
 
     def information(self, theta: np.ndarray, rows: slice) -> np.ndarray:
         slope, location = self.slope[rows, None], self.location[rows, None]
@@ -119,9 +144,21 @@ def _sums_by_group(function, theta: np.ndarray, starts: np.ndarray, rows: int) -
     return sums
 
 
+def _grid_likelihood(block: _Block, theta: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The log-likelihood of each group on the grid. Where few distinct (item, score) pairs make up the rows, each pair's
+    curve is computed once and the rows only add it up."""
+    columns = np.column_stack([block.gpcm, block.score, block.slope, block.location, block.guessing, np.nan_to_num(block.steps, nan=99.0)])
+    _, first, place = np.unique(columns, axis=0, return_index=True, return_inverse=True)
+    if len(first) > min(REPEATED_ROWS, len(block) // 2):
+        return _sums_by_group(block.log_likelihood, theta[None, :], starts, len(block))
+    curves = np.concatenate([block.log_likelihood(theta[None, :], first[i : i + ROWS_PER_BLOCK]) for i in range(0, len(first), ROWS_PER_BLOCK)])
+    place = place.ravel()
+    return _sums_by_group(lambda _, rows: curves[place[rows]], theta[None, :], starts, len(block))
+
+
 def _estimates(block: _Block, starts: np.ndarray, step: float) -> dict[str, np.ndarray]:
     rows, theta = len(block), grid(step)
-    likelihood = _sums_by_group(block.log_likelihood, theta[None, :], starts, rows)
+    likelihood = _grid_likelihood(block, theta, starts)
     posterior = np.exp(likelihood - likelihood.max(axis=1, keepdims=True)) * np.exp(-(theta**2) / 2)
     posterior /= posterior.sum(axis=1, keepdims=True)
     eap = posterior @ theta
@@ -211,7 +248,8 @@ def _estimate_cold(prepared: DataFrame, keys: list[str], step: float) -> DataFra
 
     schema = ", ".join([*(f"{field.name} {field.dataType.simpleString()}" for field in fields), ESTIMATE_FIELDS])
     function = _streaming(keys, [to_arrow_type(field.dataType) for field in fields], step)
-    return prepared.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(function, schema)
+    # An explicit number: the rows are compact but costly, so their size must not decide how many tasks share them.
+    return prepared.repartition(task_count(prepared.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(function, schema)
 
 
 # --- relational form ------------------------------------------------------------------------------------------------

@@ -15,8 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thetaloom.session import task_count
+
 REPLICATES = 2000
 LARGE_GROUP = 200_000
+SLICES = 16
 PRIME = 2_147_483_647
 
 
@@ -30,18 +33,14 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return h
 
 
-def _percentiles(shares: np.ndarray) -> tuple[float, float]:
-    low, high = np.percentile(shares, [2.5, 97.5])
-    return float(low), float(high)
-
-
-def _resampled(points: np.ndarray, top: np.ndarray, replicates: int) -> np.ndarray:
-    n, shares = len(points), np.empty(replicates)
-    step = max(1, 4_000_000 // n)
-    for begin in range(0, replicates, step):
-        r = np.arange(begin, min(begin + step, replicates), dtype=np.int64)
+def _resampled(points: np.ndarray, top: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """The share of points in each of the numbered replicates."""
+    n, shares = len(points), np.empty(len(replicates))
+    step = max(1, 250_000 // n)
+    for begin in range(0, len(replicates), step):
+        r = replicates[begin : begin + step]
         picks = _mix(r[:, None] * n + np.arange(n, dtype=np.int64)[None, :]) * n // PRIME
-        shares[r] = 100 * points[picks].sum(axis=1) / top[picks].sum(axis=1)
+        shares[begin : begin + step] = 100 * points[picks].sum(axis=1) / top[picks].sum(axis=1)
     return shares
 
 
@@ -66,10 +65,16 @@ def bootstrap_interval(
 
     def exact(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_item", kind="stable")
-        low, high = _percentiles(_resampled(frame["_points"].to_numpy(), frame["_top"].to_numpy(), replicates))
-        return frame[groups].head(1).assign(ci_low=low, ci_high=high)
+        first = int(frame["_slice"].iloc[0])
+        r = np.arange(first, replicates, slices, dtype=np.int64)
+        shares = _resampled(frame["_points"].to_numpy(), frame["_top"].to_numpy(), r)
+        return pd.DataFrame({**{name: [frame[name].iloc[0]] * len(r) for name in groups}, "_r": r, "_share": shares})
 
-    small = rows.join(large, groups, "left_anti").groupBy(*groups).applyInPandas(exact, f"{fields}, ci_low double, ci_high double")
+    # Every group is copied to a few slices of the replicates, so that few large groups still use all tasks.
+    slices = min(SLICES, replicates)
+    copies = rows.join(large, groups, "left_anti").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    spread = copies.repartition(task_count(df.sparkSession), *groups, "_slice")
+    small = spread.groupBy(*groups, "_slice").applyInPandas(exact, f"{fields}, _r bigint, _share double")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
@@ -88,5 +93,5 @@ def bootstrap_interval(
     sums = hashed.mapInPandas(partial, f"{fields}, _r bigint, _points double, _top double")
     shares = sums.groupBy(*groups, "_r").agg((100 * F.sum("_points") / F.sum("_top")).alias("_share"))
     bounds = F.percentile("_share", F.array(F.lit(0.025), F.lit(0.975)))
-    wide = shares.groupBy(*groups).agg(bounds.alias("_q")).select(*groups, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
-    return small.unionByName(wide)
+    both = small.unionByName(shares)
+    return both.groupBy(*groups).agg(bounds.alias("_q")).select(*groups, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))

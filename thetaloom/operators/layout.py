@@ -119,7 +119,7 @@ def harmonized(information: DataFrame, names: DataFrame, subject: str = "M") ->
 
 def coverage(pairs: DataFrame, key: str, source: str, target: str, min_length: int = 3) -> DataFrame:
     """Words of the source text that the target lacks, for the rows that miss any, worst first."""
-    words, missing = missing_words(source, target, min_length)
-    rows = pairs.select(key, words.alias("_words"), missing.alias("_missing")).filter(F.size("_missing") > 0)
-    share = 1 - F.size("_missing") / F.size("_words")
-    return rows.select(key, share.alias("coverage"), F.array_join("_missing", " ").alias("missing_words")).orderBy("coverage", key)
+    # As a generated row, so that the words are found once and not again for every column that uses them.
+    rows = pairs.select(key, F.inline(F.array(missing_words(source, target, min_length)))).filter(F.size("missing") > 0)
+    share = 1 - F.size("missing") / F.size("words")
+    return rows.select(key, share.alias("coverage"), F.array_join("missing", " ").alias("missing_words")).orderBy("coverage", key)

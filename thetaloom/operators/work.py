@@ -72,10 +72,11 @@ def next_fit(units: DataFrame, key: str, order: str, size: str, capacity: int, c
         row_index(units.withColumn(order, F.col(order).cast("double")), [key], order, "_i").withColumn("_chunk", F.floor(F.col("_i") / chunk).cast("bigint")), "units"
     )
     key_type = table.schema[key].dataType.simpleString()
+    columns = table.columns
 
     def step(fill, n: int):
         fits = fill + n <= capacity
-        return np.where(fits, fill + n, min(n, capacity)), ~fits
+        return np.where(fits, fill + n, min(n, capacity)), np.logical_not(fits)
 
     def summary(frame: pd.DataFrame) -> pd.DataFrame:
         fill, opened = np.arange(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
@@ -102,7 +103,7 @@ def next_fit(units: DataFrame, key: str, order: str, size: str, capacity: int, c
             fill, new = step(fill, int(n))
             batch += int(new)
             result.append(batch)
-        return frame.assign(batch=result)[[*table.columns, "batch"]]
+        return frame.assign(batch=result)[[*columns, "batch"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
     joined = table.join(starts, [key, "_chunk"])

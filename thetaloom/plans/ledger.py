@@ -72,7 +72,7 @@ def request_chunks(t: Tables) -> DataFrame:
     return W.chunked(W.pending(*ledger(t)), "schema_key", "request_id", 200).select("schema_key", "request_id", "chunk")
 
 
-UNITS_SQL = "select l_linestatus as schema_key, l_orderkey as unit_id, count(*) as n from lineitem group by 1, 2"
+UNITS_SQL = "select l_suppkey as schema_key, l_orderkey as unit_id, count(*) as n from lineitem group by 1, 2"
 
 
 @query(

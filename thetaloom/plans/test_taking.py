@@ -12,6 +12,7 @@ from thetaloom.operators import testtaking as T
 from thetaloom.operators.ability import estimate_theta
 from thetaloom.operators.bootstrap import bootstrap_interval
 from thetaloom.operators.errors import correlations
+from thetaloom.operators.reporting import largest_calibration
 from thetaloom.operators.usage import condition_usage
 from thetaloom.plans import sqltext as S
 from thetaloom.plans.abilities import KEYS, estimates, overall
@@ -116,10 +117,19 @@ def percentile(t: Tables) -> DataFrame:
     return estimates(t).select(*KEYS, F.round(100 * normal_cdf(F.col("theta_eap")), 4).alias("percentile"))
 
 
-@query("g9_model_checks", "select item_key, 'steps do not cross at b - d' as rule from v_items where irt_model = 'X'")
+NUMERIC_SQL = " + ".join(
+    f"coalesce(pow(({S.probability('(th + 1e-5)', k)} - {S.probability('(th - 1e-5)', k)}) / 2e-5, 2) / {S.probability('th', k)}, 0e0)" for k in range(3)
+)
+
+
+@query(
+    "g9_model_checks",
+    f"""select item_key, round(sum({S.information('th')}), 4) as information, round(sum({NUMERIC_SQL}), 4) as numeric_information,
+        max(abs({S.information('th')} - ({NUMERIC_SQL}))) < 1e-4 as passes from v_items cross join (select -4e0 + g * 1e-1 as th from range(0, 81) r(g)) t group by 1""",
+)
 def model_checks(t: Tables) -> DataFrame:
-    """No item of the bank departs from its model: the result is empty."""
-    return T.model_violations(t.v_items)
+    """Every item against the definition of its model at 81 abilities."""
+    return rounded(T.model_checks(t.v_items).select("item_key", "information", "numeric_information", "passes"), 4)
 
 
 PERCENT_SQL = "select i.*, case when p_size % 9 <> 0 then round(p_retailprice / 1e1 - 5e1 + p_size, 4) end as percent_correct from v_items i join part on pk = p_partkey"
@@ -292,7 +302,7 @@ def leaderboard_table(t: Tables) -> DataFrame:
     board = takers.groupBy("condition_id", "model").agg(*[T.percent_of_points(where).alias(name) for name, where in shares.items()])
     parameters = t.v_items.select("item_key", "slope", "location", "guessing", "step1", "step2")
     responses = takers.withColumn("score", F.col("points")).join(parameters, "item_key")
-    scale = estimate_theta(responses, ["condition_id", "calibration"]).join(t.v_scale, "calibration")
+    scale = estimate_theta(responses, ["condition_id", "calibration"], max_group_rows=largest_calibration(t.v_items)).join(t.v_scale, "calibration")
     score = F.col("a") + F.col("b") * F.col("theta_eap")
     ranges = scale.groupBy("condition_id").agg(F.min(score).alias("lowest_scale_eap"), F.max(score).alias("highest_scale_eap"))
     intervals = bootstrap_interval(takers, ["condition_id"], "item_key", "points", "max_points")

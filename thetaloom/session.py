@@ -42,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def task_count(spark: SparkSession) -> int:
+    """How many tasks share work whose cost does not show in its size, such as a few rows with much arithmetic each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one written table under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
