@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaloom.functions.stats import guarded_corr, t_quantile_975
-from thetaloom.operators.order_stats import average_ranks, measured, quantiles
+from thetaloom.operators.order_stats import average_ranks, measured, quantiles, unique_index
+from thetaloom.session import written
 
 SCORING = ["grade", "irt_model", "scaled_points"]
 ALL = "all"
@@ -120,3 +121,45 @@ def distribution(df: DataFrame, groups: list[str], value: str, digits: int = 3)
     )
     table = moments.join(quantiles(present, groups, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9}), groups)
     return table.select(*groups, "items", *[F.round(name, digits).alias(name) for name in ("mean", "sd", "min", "p10", "p50", "p90", "max")])
+
+
+def distribution_left_out(
+    items: DataFrame, value: str, scoring: list[str] = SCORING, part: str = "part_group", digits: int = 3, small: bool | None = None
+) -> DataFrame:
+    """The distribution of a parameter that each item is compared with: over the items scored alike, its own part group
+    left out. Exact, without a pair of items: moments are totals minus the part group's, and the k-th value of the rest
+    is the value at place k of the whole group, moved up by the left-out places before it (a part group is a few items).
+    """
+    table, fits = measured(items.filter(F.col(value).isNotNull()).select("item_key", *scoring, part, F.col(value).alias("_v")))
+    placed = written(unique_index(table, scoring, "_v", "item_key", "_i", fits if small is None else small), "placed")
+    center = placed.groupBy(*scoring).agg(F.avg("_v").alias("_c"))
+    centered = placed.join(center, scoring).withColumn("_d", F.col("_v") - F.col("_c"))
+    sums = [F.count("*"), F.sum("_d"), F.sum(F.col("_d") * F.col("_d"))]
+    whole = centered.groupBy(*scoring, "_c").agg(*[f.alias(f"_w{i}") for i, f in enumerate(sums)])
+    own = centered.groupBy(*scoring, part).agg(*[f.alias(f"_p{i}") for i, f in enumerate(sums)], F.array_sort(F.collect_list("_i")).alias("_out"))
+    groups = own.join(whole, scoring).filter("_w0 > _p0")
+    n, s1, s2 = (F.col(f"_w{i}") - F.col(f"_p{i}") for i in range(3))
+    variance = F.when(n > 1, F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))
+    groups = groups.withColumns({"peers": n, "mean": F.col("_c") + s1 / n, "sd": F.sqrt(variance)})
+    wanted = {"min": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "max": 1.0}
+
+    def moved(place: Column) -> Column:
+        return F.aggregate("_out", place.cast("bigint"), lambda k, out: F.when(out <= k, k + 1).otherwise(k))
+
+    position = {name: F.lit(p) * (F.col("peers") - 1) for name, p in wanted.items()}
+    entries = [
+        F.struct(F.lit(name).alias("_name"), F.lit(up).alias("_up"), moved(F.ceil(at) if up else F.floor(at)).alias("_i"), (at - F.floor(at)).alias("_share"))
+        for name, at in position.items()
+        for up in (False, True)
+    ]
+    lookups = groups.select(*scoring, part, F.inline(F.array(*entries))).join(placed.select(*scoring, "_i", "_v"), [*scoring, "_i"])
+
+    def interpolated(name: str) -> Column:
+        low, high = (F.max(F.when((F.col("_name") == name) & (F.col("_up") == up), F.col("_v"))) for up in (False, True))
+        share = F.max(F.when(F.col("_name") == name, F.col("_share")))
+        return (low + share * (high - low)).alias(name)
+
+    values = lookups.groupBy(*scoring, part).agg(*[interpolated(name) for name in wanted])
+    shown = groups.select(*scoring, part, "peers", "mean", "sd").join(values, [*scoring, part])
+    rounded = [F.round(name, digits).alias(name) for name in ("mean", "sd", "min", "p10", "p50", "p90", "max")]
+    return table.join(shown, [*scoring, part]).select("item_key", "peers", *rounded)

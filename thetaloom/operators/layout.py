@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thetaloom.functions.text import missing_words, squeezed
+from thetaloom.operators.work import row_index
+from thetaloom.session import written
 
 # Fixed values of the sheets: cells that mean "not available", and the labels of the rows that structure a block.
 NOT_AVAILABLE = ["N/A", "—", "."]
@@ -57,10 +59,12 @@ def line_text(words: DataFrame, page: str, x: str, text: str, tie: str) -> DataF
 
 
 def labelled_values(blocks: DataFrame, page: str, y: str, text: str, labels: list[str]) -> DataFrame:
-    """Each recognised label with the next block below it as its value."""
-    below = F.lead(text).over(Window.partitionBy(page).orderBy(y))
-    paired = blocks.withColumns({"label": F.trim(text), "value": squeezed(below)})
-    return paired.filter(F.col("label").isin(labels) & F.col("value").isNotNull()).select(page, "label", "value")
+    """Each recognised label with the next block below it as its value. Blocks meet their neighbour by their place on the
+    page, so only the labels and one block each are joined, however many blocks a page has."""
+    placed = written(row_index(blocks.select(page, F.col(y).cast("double").alias(y), text), [page], y, "_i"), "blocks")
+    below = placed.select(page, (F.col("_i") - 1).alias("_i"), squeezed(text).alias("value"))
+    found = placed.select(page, "_i", F.trim(text).alias("label")).filter(F.col("label").isin(labels))
+    return found.join(below, [page, "_i"]).filter("value is not null").drop("_i")
 
 
 def first_at_place(words: DataFrame, page: str, x: str, y: str, text: str, order: str) -> DataFrame:
@@ -77,7 +81,8 @@ def cell_value(cell) -> Column:
 
 def block_percent_correct(cells: DataFrame) -> DataFrame:
     """Percent correct per item and education system from sheets of stacked blocks (sheet, sheet_row, col, value): column
-    0 holds the row labels, and the first row of a block the item of each further column."""
+    0 holds the row labels, and the first row of a block the item of each further column. The window that numbers the
+    blocks runs over the labels of one sheet, at most the 1,048,576 rows a sheet can have."""
     labels = cells.filter("col = 0").select("sheet", "sheet_row", F.trim("value").alias("label"))
     start = F.col("label").startswith(BLOCK_START)
     before = Window.partitionBy("sheet").orderBy("sheet_row").rowsBetween(Window.unboundedPreceding, 0)

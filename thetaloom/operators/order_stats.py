@@ -61,7 +61,17 @@ def average_ranks(df: DataFrame, groups: list[str], values: dict[str, str], smal
         distinct, offsets = _bucketed(df, groups, value, buckets)
         ranks = _positions(distinct, offsets, groups, value).select(*groups, value, (F.col("_start") + (F.col("_n") + 1) / 2).alias(out))
         result = result.join(ranks, [*groups, value], "left")
-    return result
+    return result.select(*df.columns, *values.values())
+
+
+def unique_index(df: DataFrame, groups: list[str], value: str, key: str, out: str, small: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with the 0-based place of each row in its group by ``value``, tied values in the order of ``key``."""
+    if small:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(value, key)) - 1)
+    distinct, offsets = _bucketed(df, groups, value, buckets)
+    starts = _positions(distinct, offsets, groups, value).select(*groups, value, "_start")
+    tie = F.row_number().over(Window.partitionBy(*groups, value).orderBy(key)) - 1
+    return df.join(starts, [*groups, value]).withColumn(out, F.col("_start") + tie).select(*df.columns, out)
 
 
 def quantiles(

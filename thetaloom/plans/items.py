@@ -410,17 +410,19 @@ def drop_known_duplicates(t: Tables) -> DataFrame:
 
 
 def tasks(t: Tables) -> DataFrame:
-    """A task per assessment and grade: its items of one content domain share a situation."""
-    based = t.v_released.filter("content_domain = 'src3'").select("assessment", "grade", K.base_item_id("item_id").alias("base_id")).distinct()
-    roots = based.groupBy("assessment", "grade").agg(F.min("base_id").alias("task"))
-    return based.join(roots, ["assessment", "grade"])
+    """Tasks of a few items: neighbours of one content domain, assessment and grade share a situation."""
+    based = t.v_released.filter("content_domain = 'src3'").select(
+        "assessment", "grade", K.base_item_id("item_id").alias("base_id"), F.floor(F.col("doc_id") / 200).alias("block")
+    )
+    roots = based.groupBy("assessment", "grade", "block").agg(F.min("base_id").alias("task"))
+    return based.join(roots, ["assessment", "grade", "block"]).drop("block").distinct()
 
 
 PARTS_SQL = r"""
 select r.*, concat(r.assessment, '/', cast(r.grade as varchar(5)), '/', coalesce(k.task, r.base_id)) as part_group
 from (select *, regexp_replace(item_id, '(\d)[A-Z]$', '\1') as base_id from v_released) r
-left join (select distinct assessment, grade, regexp_replace(item_id, '(\d)[A-Z]$', '\1') as base_id,
-                  min(regexp_replace(item_id, '(\d)[A-Z]$', '\1')) over (partition by assessment, grade) as task from v_released where content_domain = 'src3') k
+left join (select distinct assessment, grade, base_id, min(base_id) over (partition by assessment, grade, floor(doc_id / 2e2)) as task
+           from (select *, regexp_replace(item_id, '(\d)[A-Z]$', '\1') as base_id from v_released where content_domain = 'src3') s) k
   on r.assessment = k.assessment and r.grade = k.grade and r.base_id = k.base_id"""
 
 

@@ -11,8 +11,8 @@ from thetaloom.operators import prompts as P
 from thetaloom.operators import records as D
 from thetaloom.operators import validation as V
 from thetaloom.operators import work as W
-from thetaloom.operators.integrity import guide_categories
-from thetaloom.plans.items import GUIDES_SQL, options_of
+from thetaloom.operators.integrity import guide_categories, part_groups
+from thetaloom.plans.items import GUIDES_SQL, PARTS_SQL, options_of, tasks
 from thetaloom.plans.prediction import SCALES, rounded
 from thetaloom.plans.registry import query
 from thetaloom.session import new_path
@@ -307,23 +307,21 @@ def released_questions(t: Tables) -> DataFrame:
 
 @query(
     "b23_test_prompts",
-    """select unit_key, count(*) as questions, sha256(case when count(*) = 1 then min(q) else concat('These ', cast(count(*) as varchar), ' questions belong together and follow one another in the test booklet.', chr(10), chr(10),
+    """select part_group, count(*) as questions, sha256(case when count(*) = 1 then min(q) else concat('These ', cast(count(*) as varchar), ' questions belong together and follow one another in the test booklet.', chr(10), chr(10),
        string_agg(concat('## Question ', cast(i as varchar), chr(10), chr(10), q), concat(chr(10), chr(10)) order by i), chr(10), chr(10), 'Answer each of the ', cast(count(*) as varchar), ' questions.') end) as prompt_hash from (
-       select unit_key, doc_id, row_number() over (partition by unit_key order by doc_id) as i, concat(stem, case when item_type = 'multiple_choice' then concat(chr(10), chr(10), 'A. ', option_a, chr(10), 'B. ', option_b, chr(10), 'C. ', option_c) else '' end) as q
-       from (select *, concat(assessment, '/', regexp_replace(item_id, '(\\d)[A-Z]$', '\\1'), '/', content_domain) as unit_key from v_released) r) x group by unit_key""".replace("\\\\", "\\"),
+       select part_group, row_number() over (partition by part_group order by doc_id) as i, concat(stem, case when item_type = 'multiple_choice' then concat(chr(10), chr(10), 'A. ', option_a, chr(10), 'B. ', option_b, chr(10), 'C. ', option_c) else '' end) as q
+       from o_parts) x group by part_group""",
+    {"o_parts": PARTS_SQL},
 )
 def test_prompts(t: Tables) -> DataFrame:
-    from thetaloom.functions.keys import base_item_id
+    prompts = P.unit_prompts(part_groups(released_questions(t), tasks(t)), "part_group", "doc_id", "question")
+    return prompts.select("part_group", "questions", F.sha2("user_prompt", 256).alias("prompt_hash"))
 
-    units = released_questions(t).withColumn("unit_key", F.concat_ws("/", "assessment", base_item_id("item_id"), "content_domain"))
-    prompts = P.unit_prompts(units, "unit_key", "doc_id", "question")
-    return prompts.select("unit_key", "questions", F.sha2("user_prompt", 256).alias("prompt_hash"))
 
-
-@query("b23_prompt_leaks", "select doc_id, 'item_id' as field from v_released where contains(stem, item_id)")
+@query("b23_prompt_leaks", "select doc_id, 'item_id' as field from v_released where contains(stem, item_id) or max_points = 2")
 def prompt_leaks(t: Tables) -> DataFrame:
-    """No prompt shows the ID of its item: the check gives no rows on these texts."""
-    items = released_questions(t)
+    """Prompts that show the ID of their item: here a planted fault of the items worth 2 points."""
+    items = released_questions(t).withColumn("question", F.expr("case when max_points = 2 then concat(question, ' ', item_id) else question end"))
     prompts = P.unit_prompts(items, "doc_id", "doc_id", "question")
     return P.leaks(prompts, items, "doc_id", ["item_id"])
 

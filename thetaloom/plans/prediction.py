@@ -196,6 +196,17 @@ def parameter_distribution(t: Tables) -> DataFrame:
     return E.distribution(t.v_items, E.SCORING, "location")
 
 
+@query(
+    "e10_distribution_left_out",
+    """select a.item_key, count(*) as peers, round(avg(b.location), 3) as mean, round(stddev_samp(b.location), 3) as sd, round(min(b.location), 3) as min, round(quantile_cont(b.location, 1e-1), 3) as p10,
+       round(quantile_cont(b.location, 5e-1), 3) as p50, round(quantile_cont(b.location, 9e-1), 3) as p90, round(max(b.location), 3) as max
+       from v_items a join v_items b on a.grade = b.grade and a.irt_model = b.irt_model and a.scaled_points = b.scaled_points and a.part_group <> b.part_group group by 1""",
+)
+def distribution_left_out(t: Tables) -> DataFrame:
+    """The summary each item's prediction is compared with, its part group left out."""
+    return E.distribution_left_out(t.v_items, "location")
+
+
 @query("c8_common_items", "select item_key from v_errors group by item_key having count(distinct run) = 4")
 def common_items(t: Tables) -> DataFrame:
     return C.common_items(t.v_errors, len(RUNS))
