@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from thetaloom.functions.text import missing_words, squeezed
 from thetaloom.operators.work import row_index
-from thetaloom.session import written
+from thetaloom.session import spread, written
 
 # Fixed values of the sheets: cells that mean "not available", and the labels of the rows that structure a block.
 NOT_AVAILABLE = ["N/A", "—", "."]
@@ -125,6 +125,6 @@ def harmonized(information: DataFrame, names: DataFrame, subject: str = "M") ->
 def coverage(pairs: DataFrame, key: str, source: str, target: str, min_length: int = 3) -> DataFrame:
     """Words of the source text that the target lacks, for the rows that miss any, worst first."""
     # As a generated row, so that the words are found once and not again for every column that uses them.
-    rows = pairs.select(key, F.inline(F.array(missing_words(source, target, min_length)))).filter(F.size("missing") > 0)
+    rows = spread(pairs).select(key, F.inline(F.array(missing_words(source, target, min_length)))).filter(F.size("missing") > 0)
     share = 1 - F.size("missing") / F.size("words")
     return rows.select(key, share.alias("coverage"), F.array_join("missing", " ").alias("missing_words")).orderBy("coverage", key)

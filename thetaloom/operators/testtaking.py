@@ -10,6 +10,7 @@ from thetaloom.functions.scoring import category_points
 from thetaloom.functions.stats import guarded_corr
 from thetaloom.operators.integrity import PART_CATEGORY
 from thetaloom.operators.order_stats import quantiles
+from thetaloom.session import spread
 
 NO_RESPONSE = "(no response)"
 
@@ -87,9 +88,9 @@ def person_fit(responses: DataFrame, abilities: DataFrame, keys: list[str]) -> D
 
 
 def with_grid(items: DataFrame, low: float = THETA_MIN, high: float = THETA_MAX, step: float = THETA_STEP) -> DataFrame:
-    """Each item at every ability of a grid."""
+    """Each item at every ability of a grid. The items, few bytes that cost much, are spread over all tasks first."""
     last = int(round((high - low) / step))
-    return items.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("theta", F.lit(low) + F.col("_g") * F.lit(step))
+    return spread(items, files_too=False).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("theta", F.lit(low) + F.col("_g") * F.lit(step))
 
 
 def log_probability_grid(items: DataFrame, step: float = THETA_STEP) -> DataFrame:

@@ -99,9 +99,11 @@ def next_fit(units: DataFrame, key: str, order: str, size: str, capacity: int, c
     def number(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_i")
         fill, batch, result = int(frame["_before"].iloc[0]), int(frame["_batches"].iloc[0]) - 1, []
-        for n in frame[size].to_numpy():
-            fill, new = step(fill, int(n))
-            batch += int(new)
+        for n in frame[size].tolist():
+            if fill + n <= capacity:
+                fill += n
+            else:
+                fill, batch = min(n, capacity), batch + 1
             result.append(batch)
         return frame.assign(batch=result)[[*columns, "batch"]]
 

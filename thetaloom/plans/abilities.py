@@ -18,13 +18,15 @@ def r6(name: str):
     return F.round(name, 6).alias(name)
 
 
-def estimates(t: Tables, step: float = 0.01) -> DataFrame:
-    return estimate_theta(t.v_responses, KEYS, step, max_group_rows=largest_calibration(t.v_items))
+def estimates(t: Tables, step: float = 0.01, responses: DataFrame | None = None) -> DataFrame:
+    """Abilities of ``responses``, by default all of the folder's."""
+    rows = t.v_responses if responses is None else responses
+    return estimate_theta(rows, KEYS, step, max_group_rows=largest_calibration(t.v_items))
 
 
-def overall(t: Tables, step: float = 0.01) -> DataFrame:
+def overall(t: Tables, step: float = 0.01, responses: DataFrame | None = None) -> DataFrame:
     calibrations = calibration_items(t.v_items).join(t.v_scale, "calibration")
-    return overall_scores(estimates(t, step), calibrations)
+    return overall_scores(estimates(t, step, responses), calibrations)
 
 
 @query(

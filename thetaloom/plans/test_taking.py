@@ -109,7 +109,8 @@ def log_probability_grid(t: Tables) -> DataFrame:
     select r.respondent, r.calibration, {S.observed('theta_eap', 'r.')} as po, {S.probability('theta_eap', 0, 'r.')} as p0, {S.probability('theta_eap', 1, 'r.')} as p1, coalesce({S.probability('theta_eap', 2, 'r.')}, 0e0) as p2
     from v_responses r join o_eap e on r.respondent = e.respondent and r.calibration = e.calibration) x) y group by 1, 2""", S.THETA)
 def person_fit(t: Tables) -> DataFrame:
-    return rounded(T.person_fit(t.v_responses, written(estimates(t), "estimates"), KEYS), 5)
+    responses = written(t.v_responses, "responses")
+    return rounded(T.person_fit(responses, estimates(t, responses=responses), KEYS), 5)
 
 
 @query("g8_percentile", f"select respondent, calibration, round(1e2 * ({S.normal_cdf('theta_eap')}), 4) as percentile from o_eap", S.THETA)
@@ -197,8 +198,8 @@ def scale_constants_algebra(t: Tables) -> DataFrame:
     S.THETA,
 )
 def item_scores_on_scale(t: Tables) -> DataFrame:
-    scale = written(overall(t), "overall")
-    table = T.items_on_scale(t.v_responses, scale, KEYS)
+    responses = written(t.v_responses, "responses")
+    table = T.items_on_scale(responses, overall(t, responses=responses), KEYS)
     return table.select(
         "respondent", "item_key", "score", F.round("location_scale", 5).alias("location_scale"), F.round("probability_of_score", 6).alias("probability_of_score"),
         F.round("expected_score", 6).alias("expected_score"), F.round("residual", 6).alias("residual"),

@@ -47,6 +47,16 @@ def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, files_too: bool = True) -> DataFrame:
+    """``df`` over all tasks before costly work on its rows. An input of many files is already spread and stays as it is."""
+    tasks = task_count(df.sparkSession)
+    if files_too:
+        classic = getattr(df, "_jdf", None)  # there the names of a million files need not leave the JVM
+        if len(classic.inputFiles() if classic is not None else df.inputFiles()) * 4 > tasks:
+            return df
+    return df.repartition(tasks)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one written table under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
