@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thetaloom.operators import ability
 from thetaloom.operators.ability import estimate_theta, estimate_theta_relational, grid
 from thetaloom.operators.bootstrap import bootstrap_interval
 
@@ -58,6 +59,32 @@ def test_both_forms_agree(tables):
                     assert row[name] == pytest.approx(other[name], abs=1e-6)
 
 
+def test_ways_to_sum_the_grid_agree():
+    rng = np.random.default_rng(1)
+    n = 500
+    kind = rng.choice(["3PL", "2PL", "GPCM"], n)
+    gpcm, long = kind == "GPCM", rng.integers(0, 2, n).astype(bool)
+    steps = rng.normal(size=(n, 3))
+    columns = {
+        "irt_model": kind, "scaled_points": np.where(gpcm, np.where(long, 3, 2), 1), "slope": rng.uniform(0.3, 2, n), "location": rng.normal(size=n),
+        "guessing": np.where(kind == "3PL", 0.2, np.nan), "step1": np.where(gpcm, steps[:, 0], np.nan), "step2": np.where(gpcm, steps[:, 1], np.nan),
+        "step3": np.where(gpcm & long, steps[:, 2], np.nan),
+    }
+    columns["score"] = rng.integers(0, columns["scaled_points"] + 1)
+    block, starts = ability._Block(columns), np.array([0, 3, 4, 200])
+    theta = grid()[None, :]
+    direct = ability._sums_by_group(block.log_likelihood, theta, starts, n)
+    assert block.moderate()
+    assert np.allclose(ability._products_by_group(block, 0.01, theta.shape[1], starts), direct, rtol=1e-9, atol=1e-7)
+    probabilities = block.probabilities(theta, slice(0, n))
+    assert np.allclose(sum(probabilities), 1)
+    observed = np.select([columns["score"][:, None] == k for k in range(4)], probabilities)
+    assert np.allclose(np.log(observed), block.log_likelihood(theta, slice(0, n)), atol=1e-6)
+    doubled = ability._Block({name: np.concatenate([v, v, v]) for name, v in columns.items()})
+    thrice = ability._grid_likelihood(doubled, 0.01, np.array([0, n, 2 * n]))  # few distinct pairs: their curves are added up
+    assert np.allclose(thrice, np.tile(direct.sum(axis=0), (3, 1)), atol=1e-6)
+
+
 def test_missing_scores_are_left_out(spark):
     df = patterns(spark, {"a": (1, 0, 0)}).unionByName(patterns(spark, {"a": (None, None, None)}))
     assert estimate_theta(df, ["who"]).first()["items"] == 3

@@ -24,8 +24,10 @@ from thetaloom.session import task_count
 LARGE_GROUP = 200_000
 """Groups with more responses than this are estimated in the relational form."""
 FINE_HALF_WIDTH, FINE_STEP = 0.02, 1e-4
+SEARCH_ROUNDS = 100
 ROWS_PER_BLOCK = 64
 REPEATED_ROWS = 4096
+ROWS_PER_LOGARITHM, FACTOR, MODERATE_REACH = 8, 32, 80.0
 
 ESTIMATE_FIELDS = (
     "items bigint, points bigint, max_points bigint, theta_eap double, theta_eap_se double, theta_mle double, "
@@ -118,6 +120,39 @@ class _Block:
             out[picked] = np.maximum(observed - top - spread, np.log(PROBABILITY_FLOOR))
         return out
 
+    def moderate(self) -> bool:
+        """Whether no probability on the grid comes near the floor."""
+        reach = SCALING * np.abs(self.slope) * (THETA_MAX + np.abs(self.location))
+        reach = np.where(self.gpcm, self.points * (reach + SCALING * np.abs(self.slope) * np.abs(np.nan_to_num(self.steps)).max(axis=1)), reach)
+        return bool(reach.max() < MODERATE_REACH and self.guessing.max() < 0.99)
+
+    def observed_on_grid(self, step: float, count: int, rows: slice) -> np.ndarray:
+        """P(observed score) of the rows on the grid. On an even grid exp(-1.7 a (theta - b)) is the product of a coarse and
+        a fine factor, so a few exponentials per row give all points."""
+        k, score, gpcm = SCALING * self.slope[rows], self.score[rows], self.gpcm[rows]
+        low = THETA_MIN + step * FACTOR * np.arange(-(-count // FACTOR))
+        coarse = np.exp(-k[:, None] * (low[None, :] - self.location[rows, None]))
+        fine = np.exp(-k[:, None] * (step * np.arange(FACTOR))[None, :])
+        odds = (coarse[:, :, None] * fine[:, None, :]).reshape(len(k), -1)[:, :count]
+        one = (score == 1).astype(float)
+        rest = 1 - self.guessing[rows]
+        inverse = 1 / (1 + odds)
+        out = (rest * (1 - one))[:, None] * odds
+        out += (rest * one)[:, None]
+        out *= inverse
+        out += (self.guessing[rows] * one)[:, None]
+        if gpcm.any():
+            picked = np.flatnonzero(gpcm)
+            powers, steps, top = odds[picked], self.steps[rows][picked], self.points[rows][picked]
+            weights = np.zeros((int(top.max()) + 1, *powers.shape))
+            total = np.zeros(len(picked))
+            for j in range(len(weights)):  # P(j) is proportional to exp(1.7 a (d_1 + ... + d_j)) odds^(m - j)
+                if j:
+                    total = total + k[picked] * np.nan_to_num(steps[:, j - 1])
+                weights[j] = np.where((j <= top)[:, None], np.exp(total)[:, None] * powers ** np.maximum(top - j, 0)[:, None], 0.0)
+            out[picked] = np.take_along_axis(weights, score[picked][None, :, None], axis=0)[0] / weights.sum(axis=0)
+        return out
+
     def information(self, theta: np.ndarray, rows: slice) -> np.ndarray:
         slope, location = self.slope[rows, None], self.location[rows, None]
         guessing = self.guessing[rows, None]
@@ -144,35 +179,67 @@ def _sums_by_group(function, theta: np.ndarray, starts: np.ndarray, rows: int) -
     return sums
 
 
-def _grid_likelihood(block: _Block, theta: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _grid_likelihood(block: _Block, step: float, starts: np.ndarray) -> np.ndarray:
     """The log-likelihood of each group on the grid. Where few distinct (item, score) pairs make up the rows, each pair's
     curve is computed once and the rows only add it up."""
+    theta = grid(step)
     columns = np.column_stack([block.gpcm, block.score, block.slope, block.location, block.guessing, np.nan_to_num(block.steps, nan=99.0)])
     _, first, place = np.unique(columns, axis=0, return_index=True, return_inverse=True)
-    if len(first) > min(REPEATED_ROWS, len(block) // 2):
-        return _sums_by_group(block.log_likelihood, theta[None, :], starts, len(block))
-    curves = np.concatenate([block.log_likelihood(theta[None, :], first[i : i + ROWS_PER_BLOCK]) for i in range(0, len(first), ROWS_PER_BLOCK)])
-    place = place.ravel()
-    return _sums_by_group(lambda _, rows: curves[place[rows]], theta[None, :], starts, len(block))
+    if len(first) <= min(REPEATED_ROWS, len(block) // 2):
+        curves = np.concatenate([block.log_likelihood(theta[None, :], first[i : i + ROWS_PER_BLOCK]) for i in range(0, len(first), ROWS_PER_BLOCK)])
+        place = place.ravel()
+        return _sums_by_group(lambda _, rows: curves[place[rows]], theta[None, :], starts, len(block))
+    if block.moderate():
+        return _products_by_group(block, step, len(theta), starts)
+    return _sums_by_group(block.log_likelihood, theta[None, :], starts, len(block))
+
+
+def _products_by_group(block: _Block, step: float, count: int, starts: np.ndarray) -> np.ndarray:
+    """The same sums of logarithms with one logarithm for the product of several rows of a group, which moderate
+    parameters keep far from underflow."""
+    rows = len(block)
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows)))
+    sums = np.zeros((len(starts), count))
+    for begin in range(0, rows, ROWS_PER_BLOCK):
+        part = slice(begin, min(begin + ROWS_PER_BLOCK, rows))
+        groups = owner[part]
+        first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+        pieces = np.union1d(first, np.arange(0, len(groups), ROWS_PER_LOGARITHM))
+        logs = np.log(np.multiply.reduceat(block.observed_on_grid(step, count, part), pieces, axis=0))
+        sums[groups[first]] += np.add.reduceat(logs, np.searchsorted(pieces, first), axis=0)
+    return sums
 
 
 def _estimates(block: _Block, starts: np.ndarray, step: float) -> dict[str, np.ndarray]:
     rows, theta = len(block), grid(step)
-    likelihood = _grid_likelihood(block, theta, starts)
+    likelihood = _grid_likelihood(block, step, starts)
     posterior = np.exp(likelihood - likelihood.max(axis=1, keepdims=True)) * np.exp(-(theta**2) / 2)
     posterior /= posterior.sum(axis=1, keepdims=True)
     eap = posterior @ theta
     spread = np.sqrt((posterior * (theta[None, :] - eap[:, None]) ** 2).sum(axis=1))
     points, top = np.add.reduceat(block.score, starts), np.add.reduceat(block.points, starts)
-    coarse = theta[likelihood.argmax(axis=1)]
+    each, top_place = np.arange(len(starts)), likelihood.argmax(axis=1)
+    coarse = theta[top_place]
     zero, perfect = points == 0, points == top
     beyond = ~zero & ~perfect & (np.abs(coarse) >= THETA_MAX - step / 2)
-    # Second level: a fine grid around the coarse maximum, then the vertex of the parabola through its best points.
+    # Second level: the best point of a fine grid around the coarse maximum, started from the vertex of the parabola
+    # through the coarse points, then the vertex of the parabola through the best fine points.
     half = int(round(max(FINE_HALF_WIDTH, 2 * step) / FINE_STEP))
-    fine = coarse[:, None] + np.arange(-half, half + 1) * FINE_STEP
-    near = _sums_by_group(block.log_likelihood, fine, starts, rows)
-    best = np.clip(near.argmax(axis=1), 1, fine.shape[1] - 2)
-    each = np.arange(len(starts))
+    inside = np.clip(top_place, 1, len(theta) - 2)
+    left, middle, right = (likelihood[each, inside + i] for i in (-1, 0, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        start = theta[inside] + np.nan_to_num(step * (left - right) / (2 * (left - 2 * middle + right))) - coarse
+    place = np.clip(np.rint(start / FINE_STEP), 2 - half, half - 2)
+    for _ in range(SEARCH_ROUNDS):
+        fine = coarse[:, None] + (place[:, None] + np.arange(-2, 3)) * FINE_STEP
+        near = _sums_by_group(block.log_likelihood, fine, starts, rows)
+        best = near.argmax(axis=1)
+        moving = (np.abs(best - 2) == 2) & ~(zero | perfect | beyond)
+        moved = np.clip(place + np.where(moving, best - 2, 0), 2 - half, half - 2)
+        if (moved == place).all():
+            break
+        place = moved
+    best = np.clip(best, 1, 3)
     left, middle, right = near[each, best - 1], near[each, best], near[each, best + 1]
     with np.errstate(divide="ignore", invalid="ignore"):
         vertex = fine[each, best] + np.nan_to_num(FINE_STEP * (left - right) / (2 * (left - 2 * middle + right)))
