@@ -27,7 +27,7 @@ FINE_HALF_WIDTH, FINE_STEP = 0.02, 1e-4
 SEARCH_ROUNDS = 100
 ROWS_PER_BLOCK = 64
 REPEATED_ROWS = 4096
-ROWS_PER_LOGARITHM, FACTOR, MODERATE_REACH = 8, 32, 80.0
+ROWS_PER_LOGARITHM, FACTOR, MODERATE_REACH = 4, 32, 160.0
 
 ESTIMATE_FIELDS = (
     "items bigint, points bigint, max_points bigint, theta_eap double, theta_eap_se double, theta_mle double, "
