@@ -549,13 +549,13 @@ def estimators(t: Tables) -> DataFrame:
 @query(
     "e11_run_cost",
     """select run, count(*) as items, cast(sum(prompt_tokens) as bigint) as input_tokens, cast(sum(completion_tokens) as bigint) as output_tokens, round(sum(cost_usd), 4) as cost_usd,
-       round(sum(cost_usd) / count(*), 6) as cost_per_item_usd, count(seconds) as requests_timed, round(median(seconds), 6) as median_seconds from v_predictions group by run""",
+       round(sum(cost_usd) / count(*), 9) as cost_per_item_usd, count(seconds) as requests_timed, round(median(seconds), 6) as median_seconds from v_predictions group by run""",
 )
 def run_cost(t: Tables) -> DataFrame:
     from thetaloom.operators.usage import run_cost
 
     cost = run_cost(t.v_predictions, "run", input_tokens=("prompt_tokens", "input_tokens"), output_tokens=("completion_tokens", "output_tokens"))
-    return cost.select("run", "items", "input_tokens", "output_tokens", F.round("cost_usd", 4).alias("cost_usd"), F.round("cost_per_item_usd", 6).alias("cost_per_item_usd"), "requests_timed", F.round("median_seconds", 6).alias("median_seconds"))
+    return cost.select("run", "items", "input_tokens", "output_tokens", F.round("cost_usd", 4).alias("cost_usd"), F.round("cost_per_item_usd", 9).alias("cost_per_item_usd"), "requests_timed", F.round("median_seconds", 6).alias("median_seconds"))
 
 
 @query(

@@ -353,9 +353,9 @@ def rank_correlation(t: Tables) -> DataFrame:
 
 @query(
     "e20_grade_table",
-    """select 'people' as source, round(avg(case when grade = 4 then p end), 6) as grade_4, round(avg(case when grade = 8 then p end), 6) as grade_8, round(avg(case when grade = 12 then p end), 6) as grade_12
+    """select 'people' as source, round(avg(case when grade = 4 then p end), 7) as grade_4, round(avg(case when grade = 8 then p end), 7) as grade_8, round(avg(case when grade = 12 then p end), 7) as grade_12
        from (select item_key, grade, max(percent_correct) as p from v_item_level where role = 'student' and percent_correct is not null group by 1, 2) x
-       union all select cast(condition_id as varchar), round(1e2 * avg(case when grade = 4 then full_credit end), 6), round(1e2 * avg(case when grade = 8 then full_credit end), 6), round(1e2 * avg(case when grade = 12 then full_credit end), 6)
+       union all select cast(condition_id as varchar), round(1e2 * avg(case when grade = 4 then full_credit end), 7), round(1e2 * avg(case when grade = 8 then full_credit end), 7), round(1e2 * avg(case when grade = 12 then full_credit end), 7)
        from v_item_level where role = 'student' and percent_correct is not null group by condition_id""",
 )
 def grade_table(t: Tables) -> DataFrame:
@@ -365,7 +365,7 @@ def grade_table(t: Tables) -> DataFrame:
     credit = rows.groupBy(F.col("condition_id").cast("string").alias("source")).agg(
         *[(100 * F.avg(F.when(F.col("grade") == g, F.col("full_credit")))).alias(f"grade_{g}") for g in (4, 8, 12)]
     )
-    return rounded(human.unionByName(credit))
+    return rounded(human.unionByName(credit), 7)
 
 
 ROLE_ROWS = """select a.model, a.grade, a.item_key, b.points - a.points as points, b.max_points, a.points as taker, b.points as student from v_item_level a join v_item_level b

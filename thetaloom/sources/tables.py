@@ -42,15 +42,15 @@ from v_scores s join v_items i on s.item_key = i.item_key""",
     "v_predictions": """
 select run, status_level, discount_level, item_key, pk, grade, irt_model, scaled_points, part_group,
        slope as slope_calibrated, location as location_calibrated, guessing as guessing_calibrated, step1 as step1_calibrated,
-       slope + round((avg_quantity - 25e0) / 1e2, 6) as slope_predicted,
-       location + round((avg_quantity - 25e0) / 2e1 + avg_discount, 6) as location_predicted,
-       guessing + round(avg_tax - 4e-2, 6) as guessing_predicted,
-       step1 + round(avg_discount * 4e0 - 2e-1, 6) as step1_predicted,
+       slope + round((avg_quantity - 25e0) / 1e2, 9) as slope_predicted,
+       location + round((avg_quantity - 25e0) / 2e1 + avg_discount, 9) as location_predicted,
+       guessing + round(avg_tax - 4e-2, 9) as guessing_predicted,
+       step1 + round(avg_discount * 4e0 - 2e-1, 9) as step1_predicted,
        prompt_tokens, completion_tokens, cost_usd, seconds
 from (
     select concat(l_linestatus, '-', case when l_discount < 5e-2 then 'low' else 'high' end) as run,
            l_linestatus as status_level, case when l_discount < 5e-2 then 'low' else 'high' end as discount_level, l_partkey,
-           round(avg(l_quantity), 6) as avg_quantity, round(avg(l_discount), 6) as avg_discount, round(avg(l_tax), 6) as avg_tax,
+           round(avg(l_quantity), 9) as avg_quantity, round(avg(l_discount), 9) as avg_discount, round(avg(l_tax), 9) as avg_tax,
            cast(sum(l_quantity) as bigint) as prompt_tokens, count(*) as completion_tokens,
            case when l_linestatus = 'O' then round(sum(l_extendedprice) / 1e6, 4) end as cost_usd,
            max(case when l_returnflag <> 'N' then l_tax * 1e2 end) as seconds
