@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import decontaminate, near_dedup, quality
+from thetaloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,20 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     judged = docs.select("doc_id", quality.quality(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("q"))
     return judged.select("doc_id", "q.*")
+
+
+@query
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 bytes and more that an earlier document has go."""
+    left = suffix_dedup.without_repeats(table(spark, folder, "documents"))
+    spans = F.arrays_zip("removed_from", "removed_to")
+    removed = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, x: n + x.removed_to - x.removed_from)
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size(spans).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+    tokens = F.octet_length("ids") / 4
+    return coded.select("doc_id", tokens.cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
