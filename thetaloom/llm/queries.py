@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
+from thetaloom.llm import bpe, decontaminate, near_dedup, quality, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,18 @@ def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
     tokens = F.octet_length("ids") / 4
     return coded.select("doc_id", tokens.cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A source is an owner, a source's documents of one language a repository."""
+    docs = table(spark, folder, "documents")
+    found = secrets.scanned(docs, "doc_id", "text", "source", F.concat_ws("/", "source", "lang"))
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of_kind = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint")
+    return found.select(
+        F.col("id").alias("doc_id"), *[of_kind(kind).alias(f"n_{kind}") for kind, *_ in secrets.BASE],
+        digest(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("bigint").alias("n_live"),
+    )
