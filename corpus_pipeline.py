@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thetaloom.llm import decontaminate, near_dedup, quality
+from thetaloom.llm import bpe, decontaminate, near_dedup, quality, secrets
 from thetaloom.llm.scratch import written
 
 
@@ -19,7 +20,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return near_dedup.deduplicated(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Passages of benchmark items are cut from the texts; a text of which more than half is such passages goes."""
+    return _counted(decontaminate.decontaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Live-looking secrets are masked; examples that many sources copy stay."""
+    return _counted(secrets.redacted(docs, "doc_id", "text", "source", F.concat_ws("/", "source", "lang")))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Each document's token ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
+    coded = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "decoded")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars`` as the text now has it."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("bpe_encoding", bpe_encoding),
+]
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
