@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import bpe, decontaminate, near_dedup, quality, secrets, suffix_dedup
+from thetaloom.llm import bpe, decontaminate, near_dedup, quality, secrets, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,13 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         digest(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda x: x["live"])).cast("bigint").alias("n_live"),
     )
+
+
+def part_of(id: str, parts: int) -> F.Column:
+    return F.crc32(F.col(id).cast("string").cast("binary")) % parts
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), part_of("doc_id", 4) == 2)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").cast("bigint").alias("n_segments"), "evidence")
