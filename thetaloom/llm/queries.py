@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import bpe, decontaminate, near_dedup, quality, secrets, suffix_dedup, toxicity
+from thetaloom.llm import bpe, decontaminate, lm_score, near_dedup, quality, secrets, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,9 @@ def part_of(id: str, parts: int) -> F.Column:
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), part_of("doc_id", 4) == 2)
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").cast("bigint").alias("n_segments"), "evidence")
+
+
+@query
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return lm_score.scored(table(spark, folder, "documents"), part_of("doc_id", 7) == 2, vocabulary).withColumnRenamed("id", "doc_id")
