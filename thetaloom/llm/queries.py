@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import bpe, decontaminate, lm_score, near_dedup, quality, secrets, suffix_dedup, toxicity
+from thetaloom.llm import bpe, decontaminate, licenses, lm_score, near_dedup, quality, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,22 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return lm_score.scored(table(spark, folder, "documents"), part_of("doc_id", 7) == 2, vocabulary).withColumnRenamed("id", "doc_id")
+
+
+#: (action, host, path) of the listed URLs.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = url_filter.labelled_table(spark)
+    found = url_filter.judged(table(spark, folder, "pages"), labelled, URL_RULES)
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", licenses.licenses(F.col("text")).alias("found"))
+    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x.license, x.first_word, x.end_word)), ",")
+    names = F.array_join(F.array_sort(F.array_distinct("found.license")), ",")
+    return found.select("doc_id", F.size("found").cast("bigint").alias("n_notices"), names.alias("licenses"), spans.alias("spans"), F.array_max("found.coverage").alias("best_coverage"))
