@@ -43,8 +43,8 @@ SCRIPTS: dict[str, list[tuple[int, int]]] = {
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
     "han": [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
-OTHER_LETTERS_FROM = 0x530
-"""Code points from here on that are in no block above count as letters of another script."""
+OTHER_LETTERS = [(0x530, 0x1FFF), (0x2C00, 0x2DFF), (0xA000, 0xD7FF), (0x10000, 0x1BFFF)]
+"""Blocks of letters of further scripts."""
 
 _symbol = np.zeros(256, bool)
 _symbol[list(SYMBOLS.encode())] = True
@@ -95,7 +95,7 @@ def script_of(text: str) -> str:
     """The script of most letters; ties go to the first in ``SCRIPTS``; without letters ``none``."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     counts = {name: sum(int(np.count_nonzero((points >= a) & (points <= b))) for a, b in blocks) for name, blocks in SCRIPTS.items()}
-    counts["other"] = int(np.count_nonzero(points >= OTHER_LETTERS_FROM)) - counts["arabic"] - counts["han"]
+    counts["other"] = sum(int(np.count_nonzero((points >= a) & (points <= b))) for a, b in OTHER_LETTERS) - counts["arabic"]
     best = max(counts, key=counts.get)
     return best if counts[best] > 0 else "none"
 

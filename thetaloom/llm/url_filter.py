@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WEIGHTS = 4096
 """Length of the weight array; the last weight is the intercept."""
 GRAMS = (3, 4)
-EPOCHS, RATE, DECAY = 12, 0.6, 1e-4
+EPOCHS, RATE, DECAY = 16, 0.6, 1e-4
 MAX_LABELLED = 5_000
 """Labelled rows that are learned from: those of least hash, where there are more."""
 
@@ -32,6 +32,8 @@ LABELLED = [
     ("http://www.townhall.example.org/de/9001.html", 0), ("https://forum.astronomy.example/en/6158/", 0), ("https://travel.example.net/en/5?utm_source=feed", 0),
     ("http://blog.teaching.example.org/en/8085", 0), ("https://m.music.example.com/en/2389?page=2&ref=x", 0), ("http://science.example.net/en/701#top", 0),
     ("https://www.hospital.example.org/en/health/3", 0), ("https://wiki.example.org/en/Main_Page", 0), ("http://sports.example.net/en/results/14", 0),
+    ("https://www.bakery.example/en/bread/2", 0), ("http://council.example.org/minutes/44", 0), ("https://physics.example.com/fr/12", 0),
+    ("http://parish.example.org/de/1", 0), ("https://chessclub.example/es/33", 0), ("https://children-books.example.com/en/8", 0),
 ]
 
 
