@@ -7,9 +7,11 @@
    samples differ, and so the similarity, most precisely where it is high; pairs far below the limit go.
 3. The rest are links if their whole sets say so. Links give connected components.
 
-Within a band all members are first held against the smallest one, which costs one pair a member and joins true copies.
-Only members that are then still in different components meet each other, in blocks of bounded size, and pairs leave a
-block only if their sketches are close. So a bucket of any size is worked through whole, and no task takes it whole.
+Each bucket of a band has a pivot, the member that shares most with others over all bands. First every member is held
+against its pivots, which costs a pair a bucket at most and joins true copies. Only where members of one pivot are then
+still in different components do they meet, in blocks of bounded size; those of the pivot's own component meet the others
+and not each other. A block holds sketches and texts, checks what the sketches leave on whole sets, and gives back links
+only. So a bucket of any size is worked through whole, no task takes it whole, and no pairs but links leave a task.
 
 A pair at a similarity of 0.85 shares none of the 40 bands of 6 samples with a probability below 1e-8 (at 0.8: 6e-6), and
 its sketches are taken for too far apart with one below 1e-6.
@@ -32,8 +34,8 @@ from thetaloom.llm.scratch import written
 BANDS, ROWS = 40, 6
 SKETCH_WORDS = 8
 """64-bit words of an odd sketch."""
-BLOCK = 1024
-"""Members of a bucket in one block."""
+BLOCK = 256
+"""Members of a pivot in one block."""
 
 _numbers = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _FACTORS = (_numbers[: BANDS * ROWS] >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -121,28 +123,44 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), SKETCH_WORDS)
 
 
-def close_pairs(most: int):
-    """Of an Arrow table of two blocks of one bucket, the pairs between different components whose sketches differ in
-    at most ``most`` bits."""
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(one) + len(other) - shared)
 
-    def pairs(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+
+def block_links(size: int, percent: int):
+    """Of an Arrow table of two blocks of one pivot's members, enough links between different components to join all that
+    any links of the blocks join."""
+    most = farthest(percent / 100)
+
+    def links(table: pa.Table) -> pa.Table:
+        side, ids, part, count = (table.column(x).to_numpy() for x in ("side", "id", "part", "n_shingles"))
         sketch = _bits(table.column("sketch"))
+        sets = list(shingle_sets(table.column("text"), size))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
         own = side[0] == 2  # one block with itself
         left = np.flatnonzero(side != 1)
         right = left if own else np.flatnonzero(side == 1)
-        a, b = [], []
-        for i in left:
+        out: list[tuple[int, int]] = []
+        for i in left.tolist():
             other = right[ids[right] > ids[i]] if own else right
-            other = other[part[other] != part[i]]
-            near = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1) <= most]
-            a.append(np.full(len(near), ids[i]))
-            b.append(ids[near])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            other = other[(part[other] != part[i]) & (100 * np.minimum(count[other], count[i]) >= percent * np.maximum(count[other], count[i]))]
+            apart = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1)
+            other, apart = other[apart <= most], apart[apart <= most]
+            for j in other[np.argsort(apart, kind="stable")].tolist():
+                a, b = top(int(part[i])), top(int(part[j]))
+                if a != b and _similar(sets[i], sets[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return pairs
+    return links
 
 
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -150,11 +168,8 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
     @F.arrow_udf("boolean")
     def similar(first: pa.Array, second: pa.Array) -> pa.Array:
-        out = []
-        for one, other in zip(shingle_sets(first, size), shingle_sets(second, size), strict=True):
-            shared = len(np.intersect1d(one, other, assume_unique=True))
-            out.append(shared > 0 and 100 * shared >= percent * (len(one) + len(other) - shared))
-        return pa.array(out, pa.bool_())
+        both = zip(shingle_sets(first, size), shingle_sets(second, size), strict=True)
+        return pa.array([_similar(one, other, percent) for one, other in both], pa.bool_())
 
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return sides.where(similar("text_a", "text_b")).select("a", "b")
@@ -179,42 +194,43 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", s
 
     sketches = classes.select(F.col("class").alias("id"), "n_shingles", "sketch")
     entries = classes.select(F.col("class").alias("id"), F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    buckets = entries.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     shared = written(entries.join(buckets, "band"), "buckets")
-    star = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a")), "a")
-    star = star.join(sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b")), "b")
+    reach = shared.groupBy("id").agg(F.sum(F.col("members") - 1).alias("reach"))
+    pivots = shared.join(reach, "id").groupBy("band").agg(F.max_by("id", F.struct("reach", -F.col("id"))).alias("pivot"))
+    star = written(shared.join(pivots, "band").select("pivot", "id").distinct(), "star")
+    pairs = star.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a")), "a")
+    pairs = pairs.join(sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b")), "b")
 
     @F.arrow_udf("int")
     def distance(one: pa.Array, other: pa.Array) -> pa.Array:
         return pa.array(np.bitwise_count(_bits(one) ^ _bits(other)).sum(axis=1), pa.int32())
 
-    star = written(star.where(fits(F.col("n_a"), F.col("n_b"))).where(distance("s_a", "s_b") <= most).select("a", "b"), "star")
+    near = pairs.where(fits(F.col("n_a"), F.col("n_b"))).where(distance("s_a", "s_b") <= most).select("a", "b")
     # Only texts of members of some bucket are read again.
-    members = shared.select("id").distinct()
+    members = star.select("id").distinct()
     texts = written(source.join(members, "id").groupBy("id").agg(F.max_by("text", F.struct("length", "code")).alias("text")), "members")
-    first = written(linked(star, texts, size, percent), "links")
+    known = written(components(linked(near, texts, size, percent)), "components")
 
-    # What is still apart within a bucket meets in blocks. Members of the pivot's component are a side of their own: they
-    # meet the rest and not each other, so that one large group of copies costs its size times the few that are apart.
-    known = components(first)
-    placed = shared.join(known, "id", "left").select("band", "id", "pivot", F.coalesce("component", "id").alias("part"))
+    # What is still apart under a pivot meets in blocks. Members of the pivot's component are a side of their own, so that
+    # one large group of copies costs its size times the few that are apart.
+    placed = star.join(known, "id", "left").select("id", "pivot", F.coalesce("component", "id").alias("part"))
     leading = F.max(F.when(F.col("id") == F.col("pivot"), F.col("part"))).alias("lead")
-    sizes = placed.groupBy("band", "part").agg(F.count("*").alias("members"), leading)
-    sizes = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max("lead").alias("lead"), F.sum("members").alias("all"), F.sum(F.when(F.col("lead").isNotNull(), F.col("members"))).alias("with_pivot"))
+    sizes = placed.groupBy("pivot", "part").agg(F.count("*").alias("members"), leading)
+    sizes = sizes.groupBy("pivot").agg(F.count("*").alias("parts"), F.max("lead").alias("lead"), F.sum("members").alias("all"), F.sum(F.when(F.col("lead").isNotNull(), F.col("members"))).alias("with_pivot"))
     blocks = lambda n: F.ceil(n / block).cast("int")
-    apart = sizes.where("parts > 1").select("band", "lead", blocks(F.col("with_pivot")).alias("leads"), blocks(F.col("all") - F.col("with_pivot")).alias("others"))
-    rest = placed.join(apart, "band").withColumn("leads_it", F.col("part") == F.col("lead"))
-    code = F.xxhash64("id", "band")
+    # A single other member met the pivot already, which is all there is of its component.
+    apart = sizes.where("parts > 1 and all > 2").select("pivot", "lead", blocks(F.col("with_pivot")).alias("leads"), blocks(F.col("all") - F.col("with_pivot")).alias("others"))
+    rest = placed.join(apart, "pivot").withColumn("leads_it", F.col("part") == F.col("lead"))
+    code = F.xxhash64("id", "pivot")
     rest = rest.withColumn("own", F.when(F.col("leads_it"), F.col("others") + F.pmod(code, F.col("leads"))).otherwise(F.pmod(code, F.col("others"))).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("leads_it"), F.col("others")).otherwise(F.col("others") + F.col("leads")) - 1)))
-    meeting = rest.select("band", "id", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    meeting = meeting.join(sketches.select("id", "sketch"), "id")
-    more = meeting.groupBy("band", "i", "j").applyInArrow(close_pairs(most), "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
-    more = more.join(sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-    second = linked(more.where(fits(F.col("n_a"), F.col("n_b"))).select("a", "b"), texts, size, percent)
+    meeting = rest.select("pivot", "id", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    meeting = meeting.join(sketches, "id").join(texts, "id")
+    more = meeting.groupBy("pivot", "i", "j").applyInArrow(block_links(size, percent), "a bigint, b bigint")
 
-    final = components(written(first.union(second), "links"))
+    final = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     whole = whole.join(classes.select("set_a", "set_b", "n_shingles", "class"), ["set_a", "set_b", "n_shingles"], "left")
     found = whole.join(final.withColumnRenamed("id", "class"), "class", "left")
     group = F.coalesce("component", "class", "id")
