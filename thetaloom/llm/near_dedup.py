@@ -209,7 +209,8 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", s
 
     near = pairs.where(fits(F.col("n_a"), F.col("n_b"))).where(distance("s_a", "s_b") <= most).select("a", "b")
     # Only texts of members of some bucket are read again.
-    members = star.select("id").distinct()
+    # At scale their ids are too many to broadcast, so they are shuffled at every size; hashing them spares sorting texts.
+    members = star.select("id").distinct().hint("shuffle_hash")
     texts = written(source.join(members, "id").groupBy("id").agg(F.max_by("text", F.struct("length", "code")).alias("text")), "members")
     known = written(components(linked(near, texts, size, percent)), "components")
 
