@@ -13,22 +13,48 @@ from thetaloom.operators.bootstrap import bootstrap_interval
 SCHEMA = "who string, irt_model string, scaled_points int, score int, slope double, location double, guessing double, step1 double, step2 double"
 
 
+LOCATIONS = (-1.7, -0.4, 0.3, 0.9, 2.2)
+
+
 def patterns(spark, scores):
-    rows = [(who, "2PL", 1, s, 1.0, b, None, None, None) for who, pattern in scores.items() for s, b in zip(pattern, (-1.0, 0.0, 1.0))]
+    rows = [(who, "2PL", 1, s, 0.8 + 0.2 * i, b, None, None, None) for who, pattern in scores.items() for i, (s, b) in enumerate(zip(pattern, LOCATIONS))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def direct(pattern):
+    """EAP by a plain sum over a wide grid, and the root of the score equation by bisection."""
+    slopes = [0.8 + 0.2 * i for i in range(len(LOCATIONS))]
+    chance = lambda t, i: 1 / (1 + math.exp(-1.7 * slopes[i] * (t - LOCATIONS[i])))
+    points = [k / 500 for k in range(-3000, 3001)]
+    weights = [math.exp(-t * t / 2) * math.prod(chance(t, i) if s else 1 - chance(t, i) for i, s in enumerate(pattern)) for t in points]
+    slope_sum = lambda t: sum(slopes[i] * (s - chance(t, i)) for i, s in enumerate(pattern))
+    low, high = -6.0, 6.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope_sum(middle) > 0 else (low, middle)
+    return sum(t * w for t, w in zip(points, weights)) / sum(weights), low
+
+
 @pytest.mark.parametrize("estimate", [estimate_theta, estimate_theta_relational])
-def test_patterns(spark, estimate):
-    df = patterns(spark, {"perfect": (1, 1, 1), "zero": (0, 0, 0), "mixed": (1, 0, 0)})
+def test_patterns_against_direct_sums(spark, estimate):
+    mixed = {"up": (1, 1, 1, 0, 0), "odd": (0, 1, 0, 1, 1), "one": (0, 0, 0, 0, 1), None: (1, 1, 0, 1, 1)}
+    df = patterns(spark, mixed | {"all": (1,) * 5, "none": (0,) * 5})
     rows = {row["who"]: row for row in estimate(df, ["who"]).collect()}
-    assert (rows["perfect"]["theta_mle"], rows["perfect"]["mle_note"]) == (math.inf, "perfect score")
-    assert rows["perfect"]["theta_eap"] > 0 and rows["perfect"]["theta_mle_se"] is None
-    assert (rows["zero"]["theta_mle"], rows["zero"]["mle_note"]) == (-math.inf, "zero score")
-    # One right and two wrong of symmetric items: the likelihood peaks where the expected score is 1.
-    mle = rows["mixed"]["theta_mle"]
-    assert sum(1 / (1 + math.exp(-1.7 * (mle - b))) for b in (-1, 0, 1)) == pytest.approx(1, abs=1e-7)
-    assert abs(rows["mixed"]["theta_eap"]) < abs(mle) and rows["mixed"]["mle_note"] is None
+    assert len(rows) == 6 and all(row["items"] == 5 for row in rows.values())
+    for who, pattern in mixed.items():
+        eap, mle = direct(pattern)
+        assert rows[who]["theta_eap"] == pytest.approx(eap, abs=1e-4) and rows[who]["theta_mle"] == pytest.approx(mle, abs=2e-4)
+        assert rows[who]["mle_note"] is None and rows[who]["theta_mle_se"] > 0
+    for who, sign, note in (("all", 1, "perfect score"), ("none", -1, "zero score")):
+        assert (rows[who]["theta_mle"], rows[who]["mle_note"], rows[who]["theta_mle_se"]) == (sign * math.inf, note, None)
+        assert rows[who]["theta_eap"] == pytest.approx(direct((1,) * 5 if sign > 0 else (0,) * 5)[0], abs=1e-4)
+
+
+@pytest.mark.parametrize("estimate", [estimate_theta, estimate_theta_relational])
+def test_a_missing_integer_key_is_one_group(spark, estimate):
+    rows = [(key, "2PL", 1, s, 1.0, b, None, None, None) for key in (None, 2**53, 2**53 + 1) for s, b in ((1, -1.0), (0, 0.5), (1, 0.2))]
+    df = spark.createDataFrame(rows, SCHEMA.replace("who string", "who bigint"))
+    assert sorted((r["who"] or 0, r["items"]) for r in estimate(df, ["who"]).collect()) == [(0, 3), (2**53, 3), (2**53 + 1, 3)]
 
 
 def test_likelihood_beyond_the_grid(spark):
@@ -99,7 +125,7 @@ def test_bootstrap_forms_agree(spark):
     rows = [("g", f"i{i}", float(rng.integers(0, 2)), 1.0) for i in range(800)]
     df = spark.createDataFrame(rows, "g string, item string, points double, top double")
     exact = bootstrap_interval(df, ["g"], "item", "points", "top").first()
-    poisson = bootstrap_interval(df, ["g"], "item", "points", "top", large_group=10).first()
+    poisson = bootstrap_interval(df, ["g"], "item", "points", "top", method="poisson").first()
     share = df.agg(F.avg("points")).first()[0]
     half = 1.96 * math.sqrt(share * (1 - share) / 800) * 100
     for row in (exact, poisson):

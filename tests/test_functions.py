@@ -26,28 +26,28 @@ def estimates(spark, p, v):
     return one(spark, posterior(doubles(p), doubles(v)).alias("r"))["r"]
 
 
-def test_posterior_estimators(spark):
-    r = estimates(spark, [0.1, 0.2, 0.3, 0.4], [0, 1, 2, 3])
-    assert (r["map"], r["median"]) == (3.0, 2.0)
-    assert r["map_probability"] == pytest.approx(0.4)
-    assert (r["eap"], r["sd"]) == (pytest.approx(2.0), pytest.approx(1.0))
+def test_posterior_against_direct_sums(spark):
+    p, v = [0.05, 0.4, 0.1, 0.33, 0.12], [-3.0, -1.0, 0.5, 2.0, 7.0]
+    r = estimates(spark, p, v)
+    mean = sum(x * y for x, y in zip(p, v))
+    assert r["eap"] == pytest.approx(mean)
+    assert r["sd"] == pytest.approx(math.sqrt(sum(x * (y - mean) ** 2 for x, y in zip(p, v))))
+    # The mode is the second value; half of the mass is reached within the third.
+    assert (r["map"], r["median"]) == (-1.0, 0.5) and r["map_probability"] == pytest.approx(0.4)
 
 
-def test_posterior_ties_and_median_between_values(spark):
-    r = estimates(spark, [0.25] * 4, [0, 1, 2, 4])
-    assert (r["map"], r["median"]) == (0.0, 1.5)
-    assert r["eap"] == pytest.approx(1.75)
+def test_posterior_of_rounded_and_even_masses(spark):
+    p = [0.3, 0.3, 0.2, 0.19]
+    r = estimates(spark, p, [5, 6, 7, 8])
+    assert r["map"] == 5.0 and r["map_probability"] == pytest.approx(0.3 / 0.99)
+    assert r["eap"] == pytest.approx(sum(x * y for x, y in zip(p, (5, 6, 7, 8))) / 0.99)
+    # Exactly half below: the median lies between the neighbours.
+    assert estimates(spark, [0.5, 0.0, 0.5], [1, 2, 9])["median"] == 1.5
 
 
-def test_posterior_scales_rounded_probabilities(spark):
-    r = estimates(spark, [0.2, 0.3, 0.51], [0, 1, 2])
-    assert r["eap"] == pytest.approx((0.3 + 2 * 0.51) / 1.01)
-    assert r["map_probability"] == pytest.approx(0.51 / 1.01)
-
-
-@pytest.mark.parametrize("p", [[0.5, 0.5], [0, 0, 0], [-0.1, 0.6, 0.5]])
-def test_posterior_rejects_what_does_not_fit(spark, p):
-    assert estimates(spark, p, [0, 1, 2]) is None
+@pytest.mark.parametrize("p", [[1.0], [0.4, 0.3, 0.2, 0.1], [0.0, 0.0, 0.0], [1.2, -0.1, -0.1]])
+def test_posterior_of_masses_that_do_not_fit_three_values(spark, p):
+    assert estimates(spark, p, [10, 20, 30]) is None
 
 
 def test_nearest_value(spark):
@@ -79,22 +79,46 @@ def test_normal_cdf(spark):
 
 
 def item(spark, **values):
-    base = {"irt_model": "3PL", "slope": 1.0, "location": 0.0, "guessing": None, "step1": None, "step2": None} | values
-    return spark.createDataFrame([base], "irt_model string, slope double, location double, guessing double, step1 double, step2 double")
-
-
-def test_3pl(spark):
-    model = ItemModel()
-    row = item(spark, location=0.5, guessing=0.2).select(model.correct(1.5).alias("p"), model.expected_score(0.5).alias("e")).first()
-    assert row["p"] == pytest.approx(0.2 + 0.8 / (1 + math.exp(-1.7)))
-    assert row["e"] == pytest.approx(0.6)
+    base = {"irt_model": "3PL", "slope": 1.0, "location": 0.0, "guessing": None, "step1": None, "step2": None, "step3": None} | values
+    return spark.createDataFrame([base], "irt_model string, slope double, location double, guessing double, step1 double, step2 double, step3 double")
 
 
-def test_gpcm_steps_cross(spark):
+def test_dichotomous_models_against_the_formula(spark):
     model = ItemModel()
-    p = item(spark, irt_model="GPCM", slope=0.8, location=0.2, step1=0.6, step2=-0.6).select(*[c.alias(f"p{i}") for i, c in enumerate(model.probabilities(0.2 - 0.6))]).first()
-    assert p["p0"] == pytest.approx(p["p1"])
-    assert sum(p) == pytest.approx(1)
+    for kind, c in (("3PL", 0.31), ("2PL", 0.0)):
+        for a, b, theta in ((0.7, -1.3, 0.4), (1.9, 0.8, -2.0), (1.2, 0.0, 5.5)):
+            row = item(spark, irt_model=kind, slope=a, location=b, guessing=c or None).select(model.correct(theta).alias("p"), model.expected_score(theta).alias("e"), model.information(theta).alias("i")).first()
+            logistic = 1 / (1 + math.exp(-1.7 * a * (theta - b)))
+            p = c + (1 - c) * logistic
+            slope = (1 - c) * 1.7 * a * logistic * (1 - logistic)
+            assert (row["p"], row["e"], row["i"]) == (pytest.approx(p), pytest.approx(p), pytest.approx(slope**2 / (p * (1 - p))))
+
+
+@pytest.mark.parametrize("steps", [(0.45, -0.45, None), (0.5, 0.3, -0.8), (0.9, -1.1, 0.2)])
+def test_partial_credit_against_the_formula(spark, steps):
+    """Two- and three-point items: every score's probability, the moments, and scores above the item's points."""
+    model, a, b = ItemModel(), 1.15, -0.35
+    present = [d for d in steps if d is not None]
+    for theta in (-2.5, 0.1, 1.8):
+        sums = [0.0]
+        for d in present:
+            sums.append(sums[-1] + 1.7 * a * (theta - b + d))
+        weights = [math.exp(x) for x in sums]
+        expected = [w / sum(weights) for w in weights]
+        frame = item(spark, irt_model="GPCM", slope=a, location=b, step1=steps[0], step2=steps[1], step3=steps[2])
+        mean, square = model.entropy_terms(theta)
+        row = frame.select(
+            *[p.alias(f"p{k}") for k, p in enumerate(model.probabilities(theta))], model.expected_score(theta).alias("e"), mean.alias("m"), square.alias("v"),
+            *[model.log_probability(theta, F.lit(k)).alias(f"l{k}") for k in range(4)],
+        ).first()
+        for k in range(4):
+            if k < len(expected):
+                assert row[f"p{k}"] == pytest.approx(expected[k]) and row[f"l{k}"] == pytest.approx(math.log(expected[k]))
+            else:
+                assert row[f"p{k}"] is None and row[f"l{k}"] is None
+        assert row["e"] == pytest.approx(sum(k * p for k, p in enumerate(expected)))
+        entropy = sum(p * math.log(p) for p in expected)
+        assert row["m"] == pytest.approx(entropy) and row["v"] == pytest.approx(sum(p * math.log(p) ** 2 for p in expected) - entropy**2)
 
 
 def test_category_points(spark):

@@ -18,27 +18,32 @@ from thetaloom.sources import files
 
 
 def test_score_answers(spark):
+    """A sheet of three parts, an essay whose scaling has as many points as its guide, and an option item with two takers."""
     items = spark.createDataFrame(
-        [("mc", "multiple_choice", "C", 1), ("collapsed", "constructed_response", None, 2), ("parts", "constructed_response", None, 2)],
+        [("option", "multiple_choice", "D", 1), ("essay", "constructed_response", None, 2), ("sheet", "constructed_response", None, 3), ("yes", "constructed_response", None, 2)],
         "item_key string, item_type string, correct_option string, max_points int",
     )
-    parameters = spark.createDataFrame([("mc", "3PL", 1), ("collapsed", "2PL", 1), ("parts", "GPCM", 2)], "item_key string, irt_model string, scaled_points int")
-    answers = spark.createDataFrame(
-        [("a", "mc", "C"), ("b", "mc", "B"), ("a", "collapsed", "full"), ("b", "collapsed", "partly"), ("c", "collapsed", " "), ("a", "parts", "half"), ("b", "parts", "no verdict yet"), ("z", "unknown", "C")],
-        "condition string, item_key string, answer string",
-    )
-    verdicts = spark.createDataFrame(
-        [("collapsed", "full", None, "Correct Response"), ("collapsed", "partly", None, "Partial Response"),
-         ("parts", "half", "M042300A", "M042300A Correct Response"), ("parts", "half", "M042300B", "M042300B Incorrect Response")],
-        "item_key string, response string, part string, category string",
-    ).select("item_key", F.sha2("response", 256).alias("response_hash"), "part", "category", F.lit("why").alias("reasoning"))
-    rows = {(r["condition"], r["item_key"]): r for r in T.score_answers(answers, items, parameters, verdicts).collect()}
-    order = [("a", "mc"), ("b", "mc"), ("a", "collapsed"), ("b", "collapsed"), ("c", "collapsed"), ("a", "parts"), ("b", "parts")]
-    assert len(rows) == 7
-    assert [rows[k]["points"] for k in order] == [1, 0, 2, 1, 0, 1, None]
-    assert [rows[k]["score"] for k in order] == [1, 0, 1, 0, 0, 1, None]
-    assert rows["c", "collapsed"]["scorer_category"] == "(no response)"
-    assert rows["a", "parts"]["scorer_category"] == "M042300A Correct Response + M042300B Incorrect Response"
+    parameters = spark.createDataFrame([("option", "3PL", 1), ("essay", "GPCM", 2), ("sheet", "GPCM", 3), ("yes", "2PL", 1)], "item_key string, irt_model string, scaled_points int")
+    given = {
+        ("p", "option"): "D", ("q", "option"): None, ("r", "option"): "d",
+        ("p", "essay"): "long text", ("q", "essay"): "\t ", ("r", "essay"): "nobody read this",
+        ("p", "sheet"): "three lines", ("q", "sheet"): "one line",
+        ("p", "yes"): "almost", ("q", "yes"): "exactly", ("p", "elsewhere"): "D",
+    }
+    answers = spark.createDataFrame([(*key, text) for key, text in given.items()], "condition string, item_key string, answer string")
+    part = "M051234"
+    graded = [("essay", "long text", None, "Partial Response"), ("yes", "almost", None, "Partial Response"), ("yes", "exactly", None, "Correct Response"), ("essay", "\t ", None, "Incorrect Response")]
+    graded += [("sheet", "three lines", f"{part}{x}", f"{part}{x} Correct Response") for x in "CAB"]
+    graded += [("sheet", "one line", f"{part}{x}", f"{part}{x} {'Correct' if x == 'B' else 'Incorrect'} Response") for x in "ABC"]
+    verdicts = spark.createDataFrame(graded, "item_key string, response string, part string, category string")
+    verdicts = verdicts.select("item_key", F.sha2("response", 256).alias("response_hash"), "part", "category", F.lit("because").alias("reasoning"))
+    found = {(r["condition"], r["item_key"]): (r["points"], r["score"]) for r in T.score_answers(answers, items, parameters, verdicts).collect()}
+    assert found == {
+        ("p", "option"): (1, 1), ("q", "option"): (0, 0), ("r", "option"): (0, 0), ("p", "essay"): (1, 1), ("q", "essay"): (0, 0), ("r", "essay"): (None, None),
+        ("p", "sheet"): (3, 3), ("q", "sheet"): (1, 1), ("p", "yes"): (1, 0), ("q", "yes"): (2, 1),
+    }
+    row = T.score_answers(answers, items, parameters, verdicts).filter("condition = 'p' and item_key = 'sheet'").first()
+    assert row["scorer_category"] == " + ".join(f"{part}{x} Correct Response" for x in "ABC")
 
 
 def test_guides(spark):
@@ -150,10 +155,35 @@ def test_pending_cap_and_order(tables):
     assert len(first) == 20 and sorted(first) == sorted(again)
 
 
-def test_crossing_is_bounded(tables, monkeypatch):
-    monkeypatch.setattr(D, "MAX_CONDITIONS", 3)
-    with pytest.raises(ValueError, match="More than 3"):
-        D.crossed(tables.v_items, tables.v_conditions, ["condition_id"])
+def test_crossing_of_any_number_of_conditions(spark):
+    conditions = spark.range(12_000).selectExpr("id as c", "concat('s', id % 7) as setting")
+    rows = D.crossed(spark.range(2).withColumnRenamed("id", "item"), conditions, ["setting", "c"])
+    assert rows.count() == 24_000
+    first = rows.filter("item = 0").orderBy("condition_order").limit(2).collect()
+    assert [(r["c"], r["setting"], r["condition_order"]) for r in first] == [(0, "s0", 0), (7, "s0", 1)]
+
+
+def test_next_fit_keeps_order_columns_of_any_type(spark):
+    large = 2**53
+    rows = [("k", large + i, f"u{i:02d}", 6) for i in range(4)] + [(None, 1, "a", 3), (None, 2, "b", 8)]
+    df = spark.createDataFrame(rows, "k string, o bigint, name string, n int")
+    for order in ("o", "name"):
+        found = W.next_fit(df.filter("k is not null"), "k", order, "n", 10).collect()
+        assert sorted((r["o"], r["name"], r["batch"]) for r in found) == [(large + i, f"u{i:02d}", i) for i in range(4)]
+
+
+def test_three_points(spark):
+    from thetaloom.operators import integrity as I
+
+    rows = [("ok", 3, 0.5, 0.3, -0.8), ("unbalanced", 3, 0.5, 0.3, -0.7), ("short", 3, 0.5, -0.5, None), ("two", 2, 0.5, -0.5, None), ("long", 2, 0.5, -0.4, -0.1)]
+    df = spark.createDataFrame([(k, "constructed_response", "GPCM", p, 1.0, 0.0, None, *s) for k, p, *s in rows], "item_key string, item_type string, irt_model string, scaled_points int, slope double, location double, guessing double, step1 double, step2 double, step3 double")
+    assert {(r["item_key"], r["rule"]) for r in I.parameter_violations(df).collect()} == {
+        ("unbalanced", "steps do not sum to 0"), ("short", "not exactly the parameters of the model"), ("long", "not exactly the parameters of the model"),
+    }
+    checks = T.model_checks(df.filter("item_key in ('ok', 'two')")).collect()
+    assert all(r["passes"] for r in checks)
+    grid = T.log_probability_grid(df.filter("item_key = 'ok'"), step=0.5)
+    assert {r["score"] for r in grid.select("score").distinct().collect()} == {0, 1, 2, 3}
 
 
 def test_files_check_their_rules(spark, tables):

@@ -24,7 +24,7 @@ def _column(value) -> Column:
 class ItemModel:
     """The model of the item in each row, from columns named as in the parameter table."""
 
-    def __init__(self, prefix: str = "", steps: int = 2):
+    def __init__(self, prefix: str = "", steps: int = MAX_STEPS):
         column = lambda name: F.col(f"{prefix}{name}")
         self.gpcm = column("irt_model") == "GPCM"
         self.slope, self.location = column("slope"), column("location")
@@ -56,7 +56,7 @@ class ItemModel:
         return [F.when(self.gpcm, weight / total).otherwise(other) for weight, other in zip(weights, dichotomous)]
 
     def score_probability(self, theta, score="score") -> Column:
-        """P(the observed score)."""
+        """P(the observed score); NULL for a score above the item's points."""
         weights = self._weights(theta)
         total = sum((F.coalesce(weight, F.lit(0.0)) for weight in weights[1:]), weights[0])
         picked = F.when(_column(score) == 0, weights[0])
@@ -66,7 +66,8 @@ class ItemModel:
         return F.when(self.gpcm, picked / total).otherwise(F.when(_column(score) == 1, correct).otherwise(1 - correct))
 
     def log_probability(self, theta, score="score") -> Column:
-        return F.ln(F.greatest(self.score_probability(theta, score), F.lit(PROBABILITY_FLOOR)))
+        found = self.score_probability(theta, score)
+        return F.when(found.isNotNull(), F.ln(F.greatest(found, F.lit(PROBABILITY_FLOOR))))
 
     def _moment(self, theta, power: int) -> Column:
         values = self.probabilities(theta)

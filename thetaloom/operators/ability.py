@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaloom.functions.irt import PROBABILITY_FLOOR, SCALING, THETA_MAX, THETA_MIN, THETA_STEP, ItemModel
+from thetaloom.operators.joins import same_keys
 from thetaloom.session import task_count
 
 LARGE_GROUP = 200_000
 """Groups with more responses than this are estimated in the relational form."""
 FINE_HALF_WIDTH, FINE_STEP = 0.02, 1e-4
-SEARCH_ROUNDS = 100
 ROWS_PER_BLOCK = 64
 REPEATED_ROWS = 4096
 ROWS_PER_LOGARITHM, FACTOR, MODERATE_REACH = 4, 32, 160.0
@@ -230,7 +230,7 @@ def _estimates(block: _Block, starts: np.ndarray, step: float) -> dict[str, np.n
     with np.errstate(divide="ignore", invalid="ignore"):
         start = theta[inside] + np.nan_to_num(step * (left - right) / (2 * (left - 2 * middle + right))) - coarse
     place = np.clip(np.rint(start / FINE_STEP), 2 - half, half - 2)
-    for _ in range(SEARCH_ROUNDS):
+    while True:  # every move raises a likelihood, or keeps it and goes down, so it ends
         fine = coarse[:, None] + (place[:, None] + np.arange(-2, 3)) * FINE_STEP
         near = _sums_by_group(block.log_likelihood, fine, starts, rows)
         best = near.argmax(axis=1)
@@ -304,8 +304,9 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     change = np.zeros(len(table), dtype=bool)
     change[0] = True
     for key in keys:
-        values = table[key].to_numpy()
-        change[1:] |= values[1:] != values[:-1]
+        codes = table[key].combine_chunks().dictionary_encode("encode")  # a missing key is a key
+        codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
     return np.flatnonzero(change)
 
 
@@ -343,7 +344,7 @@ def estimate_theta_relational(responses: DataFrame, keys: list[str], step: float
         F.max("_ll").alias("_top"), F.max_by("_g", F.struct("_ll", -F.col("_g"))).alias("_best"),
         *[F.first(name).alias(name) for name in ("items", "points", "max_points")],
     )
-    weighted = sums.select(*keys, "_g", "_ll").join(tops, keys)
+    weighted = same_keys(sums.select(*keys, "_g", "_ll"), tops, keys)
     weight = F.exp(F.col("_ll") - F.col("_top") - theta * theta / 2)
     eap = weighted.groupBy(*keys).agg(
         F.first(F.lit(THETA_MIN) + F.col("_best") * F.lit(step)).alias("_coarse"),
@@ -368,14 +369,14 @@ def estimate_theta_relational(responses: DataFrame, keys: list[str], step: float
     centers = eap.filter(F.col("mle_note").isNull()).select(*keys, "_coarse")
     at = F.col("_coarse") + F.col("_f") * F.lit(FINE_STEP)
     fine = (
-        prepared.join(centers, keys)
+        same_keys(prepared, centers, keys)
         .withColumn("_f", F.explode(F.sequence(F.lit(-half), F.lit(half))))
         .groupBy(*keys, "_coarse", "_f")
         .agg(F.sum(model.log_probability(at)).alias("_ll"))
     )
     best = fine.groupBy(*keys).agg(F.max_by("_f", F.struct("_ll", -F.col("_f"))).alias("_b"))
     best = best.withColumn("_b", F.greatest(F.least("_b", F.lit(half - 1)), F.lit(1 - half)))
-    around = fine.join(best, keys).filter(F.abs(F.col("_f") - F.col("_b")) <= 1)
+    around = same_keys(fine, best, keys).filter(F.abs(F.col("_f") - F.col("_b")) <= 1)
 
     def likelihood(offset: int) -> Column:
         return F.max(F.when(F.col("_f") == F.col("_b") + offset, F.col("_ll")))
@@ -386,20 +387,26 @@ def estimate_theta_relational(responses: DataFrame, keys: list[str], step: float
     )
     vertices = around.groupBy(*keys).agg(vertex.alias("theta_mle"))
     information = (
-        prepared.join(vertices, keys)
+        same_keys(prepared, vertices, keys)
         .groupBy(*keys, "theta_mle")
         .agg((1 / F.sqrt(F.sum(model.information("theta_mle")))).alias("theta_mle_se"))
     )
     infinite = F.when(
         (F.col("points") == 0) | ((F.col("mle_note") == "beyond ±6") & (F.col("_coarse") < 0)), F.lit(float("-inf"))
     ).otherwise(F.lit(float("inf")))
-    return eap.join(information, keys, "left").select(
+    return same_keys(eap, information, keys, "left").select(
         *keys, "items", "points", "max_points", "theta_eap", "theta_eap_se",
         F.when(F.col("mle_note").isNull(), F.col("theta_mle")).otherwise(infinite).alias("theta_mle"),
         "theta_mle_se", "mle_note",
     )
 
 
+def _kept(prepared: DataFrame, large: DataFrame, keys: list[str], wanted: bool) -> DataFrame:
+    """The rows of the large groups, or of the others."""
+    marked = same_keys(prepared, large.withColumn("_large", F.lit(True)), keys, "left")
+    return marked.filter(F.col("_large").isNotNull() if wanted else F.col("_large").isNull()).drop("_large")
+
+
 # --- entry ----------------------------------------------------------------------------------------------------------
 
 
@@ -423,6 +430,6 @@ def estimate_theta(
     sizes = prepared.groupBy(*keys).agg(F.count("*").alias("_n"))
     large = sizes.filter(F.col("_n") > large_group).drop("_n")
     # The list of large groups has at most (responses / large_group) rows; the join strategy follows its measured size.
-    cold = _estimate_cold(prepared.join(large, keys, "left_anti"), keys, step)
-    hot = estimate_theta_relational(prepared.join(large, keys, "left_semi"), keys, step)
+    cold = _estimate_cold(_kept(prepared, large, keys, False), keys, step)
+    hot = estimate_theta_relational(_kept(prepared, large, keys, True), keys, step)
     return cold.unionByName(hot)

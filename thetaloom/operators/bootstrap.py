@@ -1,9 +1,9 @@
 """Bootstrap intervals of a share of points, resampling items.
 
-A group whose items fit one task is resampled exactly: every replicate draws as many items as there are, with
-replacement, by an integer hash of (replicate, draw), so the result does not depend on partitions or retries. A larger
-group takes the Poisson bootstrap: every item gets a Poisson(1) weight per replicate from a hash of its key, which sums
-up in one pass over any number of tasks and tends to the same distribution as the number of items grows.
+The caller chooses the method. ``exact``: every replicate draws as many items as there are, with replacement, by an
+integer hash of (replicate, draw), so the result does not depend on partitions or retries; a group's items fit one task,
+as the items of a test do. ``poisson``: every item gets a Poisson(1) weight per replicate from a hash of its key, which
+sums up in one pass over any number of tasks, for groups of any size. The two agree as the number of items grows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from thetaloom.session import task_count
 
 REPLICATES = 2000
-LARGE_GROUP = 200_000
 SLICES = 16
 PRIME = 2_147_483_647
 
@@ -54,13 +53,13 @@ def _poisson(uniform: np.ndarray) -> np.ndarray:
 
 
 def bootstrap_interval(
-    df: DataFrame, groups: list[str], item: str, points: str, max_points: str, replicates: int = REPLICATES, large_group: int = LARGE_GROUP
+    df: DataFrame, groups: list[str], item: str, points: str, max_points: str, replicates: int = REPLICATES, method: str = "exact"
 ) -> DataFrame:
     """``ci_low`` and ``ci_high`` of 100 * sum(points) / sum(max_points) per group. For a paired comparison ``points`` is
     the difference of two conditions' points on each item."""
     rows = df.select(*groups, F.col(item).cast("string").alias("_item"), F.col(points).cast("double").alias("_points"), F.col(max_points).cast("double").alias("_top"))
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > large_group).drop("_n")
+    if method not in ("exact", "poisson"):
+        raise ValueError(f"No method {method}")
     fields = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in groups)
 
     def exact(frame: pd.DataFrame) -> pd.DataFrame:
@@ -72,9 +71,10 @@ def bootstrap_interval(
 
     # Every group is copied to a few slices of the replicates, so that few large groups still use all tasks.
     slices = min(SLICES, replicates)
-    copies = rows.join(large, groups, "left_anti").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    copies = rows.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     spread = copies.repartition(task_count(df.sparkSession), *groups, "_slice")
-    small = spread.groupBy(*groups, "_slice").applyInPandas(exact, f"{fields}, _r bigint, _share double")
+    if method == "exact":
+        return _bounds(spread.groupBy(*groups, "_slice").applyInPandas(exact, f"{fields}, _r bigint, _share double"), groups)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
@@ -89,9 +89,11 @@ def bootstrap_interval(
         for key, total in sums.items():
             yield pd.DataFrame({**dict(zip(groups, key)), "_r": r, "_points": total[0], "_top": total[1]})
 
-    hashed = rows.join(large, groups, "left_semi").withColumn("_hash", F.pmod(F.xxhash64("_item"), F.lit(PRIME)))
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64("_item"), F.lit(PRIME)))
     sums = hashed.mapInPandas(partial, f"{fields}, _r bigint, _points double, _top double")
-    shares = sums.groupBy(*groups, "_r").agg((100 * F.sum("_points") / F.sum("_top")).alias("_share"))
+    return _bounds(sums.groupBy(*groups, "_r").agg((100 * F.sum("_points") / F.sum("_top")).alias("_share")), groups)
+
+
+def _bounds(shares: DataFrame, groups: list[str]) -> DataFrame:
     bounds = F.percentile("_share", F.array(F.lit(0.025), F.lit(0.975)))
-    both = small.unionByName(shares)
-    return both.groupBy(*groups).agg(bounds.alias("_q")).select(*groups, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    return shares.groupBy(*groups).agg(bounds.alias("_q")).select(*groups, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaloom.functions.stats import guarded_corr, t_quantile_975
-from thetaloom.operators.order_stats import average_ranks, measured, quantiles, unique_index
+from thetaloom.operators.order_stats import average_ranks, quantiles, unique_index
 from thetaloom.session import written
 
 SCORING = ["grade", "irt_model", "scaled_points"]
@@ -66,8 +66,8 @@ def with_all(df: DataFrame, by: str) -> DataFrame:
 
 def correlations(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman correlation of the complete pairs of each group, with their number."""
-    pairs, small = measured(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y))
-    ranked = average_ranks(pairs, groups, {x: "_rx", y: "_ry"}, small)
+    pairs = written(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y), "pairs")
+    ranked = average_ranks(pairs, groups, {x: "_rx", y: "_ry"})
     return ranked.groupBy(*groups).agg(
         F.count("*").alias("pairs"), guarded_corr(F.col(x), F.col(y)).alias("pearson"), guarded_corr(F.col("_rx"), F.col("_ry")).alias("spearman")
     )
@@ -75,8 +75,8 @@ def correlations(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
 
 def summarize(errors: DataFrame, groups: list[str], baselines: list[str] = ()) -> DataFrame:
     """Items, bias, spread, mean absolute error, RMSE, correlations and the baselines' mean absolute errors per group."""
-    rows, small = measured(errors.filter("predicted is not null").select(*groups, "predicted", "calibrated", *baselines))
-    ranked = average_ranks(rows, groups, {"predicted": "_rp", "calibrated": "_rc"}, small)
+    rows = written(errors.filter("predicted is not null").select(*groups, "predicted", "calibrated", *baselines), "predictions")
+    ranked = average_ranks(rows, groups, {"predicted": "_rp", "calibrated": "_rc"})
     error = F.col("predicted") - F.col("calibrated")
     return ranked.groupBy(*groups).agg(
         F.count("*").alias("items"),
@@ -124,14 +124,14 @@ def distribution(df: DataFrame, groups: list[str], value: str, digits: int = 3)
 
 
 def distribution_left_out(
-    items: DataFrame, value: str, scoring: list[str] = SCORING, part: str = "part_group", digits: int = 3, small: bool | None = None
+    items: DataFrame, value: str, scoring: list[str] = SCORING, part: str = "part_group", digits: int = 3
 ) -> DataFrame:
     """The distribution of a parameter that each item is compared with: over the items scored alike, its own part group
     left out. Exact, without a pair of items: moments are totals minus the part group's, and the k-th value of the rest
     is the value at place k of the whole group, moved up by the left-out places before it (a part group is a few items).
     """
-    table, fits = measured(items.filter(F.col(value).isNotNull()).select("item_key", *scoring, part, F.col(value).alias("_v")))
-    placed = written(unique_index(table, scoring, "_v", "item_key", "_i", fits if small is None else small), "placed")
+    table = items.filter(F.col(value).isNotNull()).select("item_key", *scoring, part, F.col(value).alias("_v"))
+    placed = written(unique_index(table, scoring, "_v", "item_key", "_i"), "placed")
     center = placed.groupBy(*scoring).agg(F.avg("_v").alias("_c"))
     centered = placed.join(center, scoring).withColumn("_d", F.col("_v") - F.col("_c"))
     sums = [F.count("*"), F.sum("_d"), F.sum(F.col("_d") * F.col("_d"))]

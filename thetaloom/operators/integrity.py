@@ -133,15 +133,15 @@ def parameter_violations(parameters: DataFrame, tolerance: float = STEP_TOLERANC
     """(rule, key) of parameter rows that break a rule: the model fits format and points; each model has exactly its
     parameters; the steps sum to 0. All rules are columns of one pass over the table."""
     col = F.col
-    has = {name: col(name).isNotNull() for name in ("slope", "location", "guessing", "step1", "step2")}
+    has = {name: col(name).isNotNull() for name in ("slope", "location", "guessing", "step1", "step2", "step3")}
     fits = F.when(col("item_type") == "multiple_choice", "3PL").when(col("scaled_points") == 1, "2PL").otherwise("GPCM")
     core = has["slope"] & has["location"]
     exact = (
         F.when(col("irt_model") == "3PL", core & has["guessing"] & ~has["step1"])
         .when(col("irt_model") == "2PL", core & ~has["guessing"] & ~has["step1"])
-        .otherwise(core & ~has["guessing"] & has["step1"] & has["step2"])
+        .otherwise(core & ~has["guessing"] & has["step1"] & has["step2"] & (has["step3"] == (col("scaled_points") == 3)))
     )
-    steps = F.coalesce("step1", F.lit(0.0)) + F.coalesce("step2", F.lit(0.0))
+    steps = sum((F.coalesce(name, F.lit(0.0)) for name in ("step2", "step3")), F.coalesce("step1", F.lit(0.0)))
     rules = {
         "model does not fit the format": col("irt_model") != fits,
         "not exactly the parameters of the model": ~exact,

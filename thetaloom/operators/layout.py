@@ -61,7 +61,7 @@ def line_text(words: DataFrame, page: str, x: str, text: str, tie: str) -> DataF
 def labelled_values(blocks: DataFrame, page: str, y: str, text: str, labels: list[str]) -> DataFrame:
     """Each recognised label with the next block below it as its value. Blocks meet their neighbour by their place on the
     page, so only the labels and one block each are joined, however many blocks a page has."""
-    placed = written(row_index(blocks.select(page, F.col(y).cast("double").alias(y), text), [page], y, "_i"), "blocks")
+    placed = written(row_index(blocks.select(page, y, text), [page], y, "_i"), "blocks")
     below = placed.select(page, (F.col("_i") - 1).alias("_i"), squeezed(text).alias("value"))
     found = placed.select(page, "_i", F.trim(text).alias("label")).filter(F.col("label").isin(labels))
     return found.join(below, [page, "_i"]).filter("value is not null").drop("_i")

@@ -1,9 +1,9 @@
-"""Exact ranks and quantiles of groups of any size.
+"""Exact ranks, places and quantiles of groups of any size, in one form for every size.
 
-The columns concerned are written once and counted. Up to ``SMALL_ROWS`` rows in all, no group can be too large for a
-task, and a window or the built-in ``percentile`` does. Beyond that, equal values are combined first. The distinct values of a group are then cut into buckets by their place between the
-group's smallest and largest value: counts per bucket give every value its offset, and only values of one bucket are
-ever sorted together. So a group that holds most of the rows is spread over as many tasks as it has buckets.
+Rows are dealt to tasks by ranges of (group, value), so every task has about as many, whatever the values are and however
+large a group is. The rows of a group that lie in earlier ranges are a small sum per group and range; the rest of a place is
+counted within the range. The ranges are written with the rows, since a range drawn anew could differ. Equal values are
+combined first where only their number matters. Values are of any type that sorts; a NULL group is a group.
 """
 
 from __future__ import annotations
@@ -11,91 +11,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thetaloom.session import written
+from thetaloom.operators.joins import same_keys
+from thetaloom.session import task_count, written
 
-BUCKETS = 65_536
-SMALL_ROWS = 5_000_000
 
+def _ranges(df: DataFrame, groups: list[str], order: list[str], size: Column) -> DataFrame:
+    """``df`` with its range (``_part``), the rows of the group before the range (``_before``) and the group's total."""
+    placed = written(df.repartitionByRange(task_count(df.sparkSession), *groups, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy(*groups, "_part").agg(size.alias("_size"))
+    group = Window.partitionBy(*groups)
+    before = F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*groups, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(group).alias("_total"))
+    return same_keys(placed, offsets, [*groups, "_part"])
 
-def _bucketed(df: DataFrame, groups: list[str], value: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct values with their count and bucket, and the counts before each bucket (``_before``) with the group's
-    total (``_total``)."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    bounds = counts.groupBy(*groups).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    place = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    bucket = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(place * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    values = counts.join(bounds, groups).withColumn("_bucket", bucket).drop("_low", "_high")
-    sizes = values.groupBy(*groups, "_bucket").agg(F.sum("_n").alias("_size"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumns(
-        {"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_total": F.sum("_size").over(Window.partitionBy(*groups))}
-    )
-    return values, offsets
-
-
-def _positions(values: DataFrame, offsets: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Distinct values with the number of rows before them."""
-    earlier = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = values.join(offsets, [*groups, "_bucket"])
-    return joined.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-
-
-def measured(df: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` written once, and whether it has at most ``small_rows`` rows."""
-    table = written(df, "measured")
-    return table, table.count() <= small_rows
 
-
-def _window_rank(groups: list[str], value: str) -> Column:
-    ties = F.count("*").over(Window.partitionBy(*groups, value))
-    return F.when(F.col(value).isNotNull(), F.rank().over(Window.partitionBy(*groups).orderBy(F.col(value).asc_nulls_last())) + (ties - 1) / 2)
+def _values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """The distinct values of each group with their count (``_n``) and the number of rows before them (``_start``)."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*groups, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _ranges(counts, groups, [value], F.sum("_n"))
+    return ranged.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
 
 
-def average_ranks(df: DataFrame, groups: list[str], values: dict[str, str], small: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def average_ranks(df: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:
     """``df`` with the rank of each value column in its group under the given name, from 1, tied values sharing their
-    mean rank; NULL has none. ``small``: the input is known to be small."""
-    if small:
-        return df.withColumns({out: _window_rank(groups, value) for value, out in values.items()})
+    mean rank; NULL has none."""
     result = df
     for value, out in values.items():
-        distinct, offsets = _bucketed(df, groups, value, buckets)
-        ranks = _positions(distinct, offsets, groups, value).select(*groups, value, (F.col("_start") + (F.col("_n") + 1) / 2).alias(out))
-        result = result.join(ranks, [*groups, value], "left")
+        ranks = _values(df, groups, value).select(*groups, value, (F.col("_start") + (F.col("_n") + 1) / 2).alias(out))
+        result = same_keys(result, ranks, [*groups, value], "left")
     return result.select(*df.columns, *values.values())
 
 
-def unique_index(df: DataFrame, groups: list[str], value: str, key: str, out: str, small: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def unique_index(df: DataFrame, groups: list[str], value: str, key: str, out: str) -> DataFrame:
     """``df`` with the 0-based place of each row in its group by ``value``, tied values in the order of ``key``."""
-    if small:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(value, key)) - 1)
-    distinct, offsets = _bucketed(df, groups, value, buckets)
-    starts = _positions(distinct, offsets, groups, value).select(*groups, value, "_start")
-    tie = F.row_number().over(Window.partitionBy(*groups, value).orderBy(key)) - 1
-    return df.join(starts, [*groups, value]).withColumn(out, F.col("_start") + tie).select(*df.columns, out)
-
-
-def quantiles(
-    df: DataFrame, groups: list[str], value: str, probabilities: dict[str, float], small_rows: int = SMALL_ROWS, buckets: int = BUCKETS
-) -> DataFrame:
-    """One row per group with the named quantiles of ``value``, linearly interpolated between neighbours. Of a large
-    input, only the buckets that hold a wanted position are sorted."""
-    table, small = measured(df.select(*groups, value).filter(F.col(value).isNotNull()), small_rows)
-    if small:
-        found = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities.values()]))
-        names = list(probabilities)
-        return table.groupBy(*groups).agg(found.alias("_q")).select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    values, offsets = _bucketed(table, groups, value, buckets)
+    order = [value] if value == key else [value, key]
+    local = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
+    return _ranges(df, groups, order, F.count("*")).withColumn(out, F.col("_before") + local - 1).select(*df.columns, out)
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """One row per group with the named quantiles of ``value``, linearly interpolated between neighbours."""
+    found = _values(df.select(*groups, value), groups, value)
 
     def index(probability: float, up: bool) -> Column:
         position = F.lit(probability) * (F.col("_total") - 1)
         return F.ceil(position) if up else F.floor(position)
 
-    wanted = [index(p, up) for p in probabilities.values() for up in (False, True)]
-    holds = F.lit(False)
-    for place in wanted:
-        holds = holds | ((place >= F.col("_before")) & (place < F.col("_before") + F.col("_size")))
-    found = _positions(values, offsets.filter(holds), groups, value)
-
     def at(place: Column) -> Column:
         return F.max(F.when((place >= F.col("_start")) & (place < F.col("_start") + F.col("_n")), F.col(value)))
 

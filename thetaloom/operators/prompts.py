@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from thetaloom.functions.scoring import predicted_parameters
 
 # How parameters are called in prompts.
-PARAMETER_LABELS = {"slope": "slope (a)", "location": "location (b)", "guessing": "guessing (c)", "step1": "step 1 (d_1)", "step2": "step 2 (d_2)"}
+PARAMETER_LABELS = {"slope": "slope (a)", "location": "location (b)", "guessing": "guessing (c)", "step1": "step 1 (d_1)", "step2": "step 2 (d_2)", "step3": "step 3 (d_3)"}
+
+UNIT_WORDING = {"heading": "### {i} of {n}", "opening": "Work through all {n} questions below in order.", "closing": "Give {n} answers, one for each question."}
+"""How several questions are framed; a caller gives its own."""
+FIGURE_WORDING = "[Figure] {figure}"
 
 
 def filled(template: str, columns: dict[str, Column] | None = None) -> Column:
@@ -33,22 +37,21 @@ def by_value(column: str, templates: dict, columns: dict[str, Column] | None = N
     return result
 
 
-def question_text(stem, figure, options: Column) -> Column:
+def question_text(stem, figure, options: Column, figure_wording: str = FIGURE_WORDING) -> Column:
     """An item as the test shows it: stem, figure in words, options. Never its ID, key, guide or statistics."""
     shown = F.array_join(F.transform(options, lambda o: F.concat(o["label"], F.lit(". "), o["text"])), "\n")
-    described = F.when(F.col(figure) != "", F.concat(F.lit("Figure, described in words:\n"), F.col(figure)))
+    described = F.when(F.col(figure) != "", filled(figure_wording, {"figure": F.col(figure)}))
     return F.concat_ws("\n\n", F.col(stem), described, F.nullif(shown, F.lit("")))
 
 
-def unit_prompts(items: DataFrame, unit: str, position: str, question: str) -> DataFrame:
-    """One prompt per unit (the few items a student sees together): the question alone, or numbered questions in booklet
-    order."""
+def unit_prompts(items: DataFrame, unit: str, position: str, question: str, wording: dict[str, str] = UNIT_WORDING) -> DataFrame:
+    """One prompt per unit (the few items a student sees together): the question alone, or an opening, the questions in
+    booklet order with a heading each, and a closing."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(question).alias("q"))))
     grouped = items.groupBy(unit).agg(ordered.alias("_q"))
-    numbered = F.transform("_q", lambda e, i: F.concat(F.lit("## Question "), (i + 1).cast("string"), F.lit("\n\n"), e["q"]))
     n = F.size("_q")
-    intro = F.concat(F.lit("These "), n.cast("string"), F.lit(" questions belong together and follow one another in the test booklet."))
-    several = F.concat_ws("\n\n", intro, F.array_join(numbered, "\n\n"), F.concat(F.lit("Answer each of the "), n.cast("string"), F.lit(" questions.")))
+    numbered = F.transform("_q", lambda e, i: F.concat(filled(wording["heading"], {"i": i + 1, "n": n}), F.lit("\n\n"), e["q"]))
+    several = F.concat_ws("\n\n", filled(wording["opening"], {"n": n}), F.array_join(numbered, "\n\n"), filled(wording["closing"], {"n": n}))
     return grouped.select(unit, n.alias("questions"), F.when(n == 1, F.element_at("_q", 1)["q"]).otherwise(several).alias("user_prompt"))
 
 

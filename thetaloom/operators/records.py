@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thetaloom.operators.comparison import common_items
 
-MAX_CONDITIONS = 10_000
-
-
 def crossed(df: DataFrame, conditions: DataFrame, order: list[str]) -> DataFrame:
-    """Every row of ``df`` with every condition, a checked small list of settings, in the order of the conditions. The
-    list becomes an array literal that is exploded in place, so ``df`` is neither shuffled nor joined."""
-    rows = conditions.orderBy(*order).limit(MAX_CONDITIONS + 1).collect()
-    if len(rows) > MAX_CONDITIONS:
-        raise ValueError(f"More than {MAX_CONDITIONS} conditions")
-    entries = [
-        F.struct(F.lit(i).alias("condition_order"), *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in conditions.schema])
-        for i, row in enumerate(rows)
-    ]
-    return df.select("*", F.inline(F.array(*entries)))
+    """Every row of ``df`` with every condition, numbered in their order. The conditions are settings, few next to the
+    rows; adaptive execution broadcasts them if they measure so, and joins them in blocks otherwise."""
+    numbered = conditions.withColumn("condition_order", F.row_number().over(Window.orderBy(*order)) - 1)
+    return df.crossJoin(numbered.select("condition_order", *conditions.columns))
 
 
 def with_factors(errors: DataFrame, factors: dict[str, list[str]], n_conditions: int) -> DataFrame:

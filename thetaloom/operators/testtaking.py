@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thetaloom.functions.irt import THETA_MAX, THETA_MIN, THETA_STEP, ItemModel
+from thetaloom.functions.irt import MAX_STEPS, THETA_MAX, THETA_MIN, THETA_STEP, ItemModel
 from thetaloom.functions.scoring import category_points
 from thetaloom.functions.stats import guarded_corr
 from thetaloom.operators.integrity import PART_CATEGORY
@@ -90,7 +90,7 @@ def person_fit(responses: DataFrame, abilities: DataFrame, keys: list[str]) -> D
 def with_grid(items: DataFrame, low: float = THETA_MIN, high: float = THETA_MAX, step: float = THETA_STEP) -> DataFrame:
     """Each item at every ability of a grid. The items, few bytes that cost much, are spread over all tasks first."""
     last = int(round((high - low) / step))
-    return spread(items, files_too=False).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("theta", F.lit(low) + F.col("_g") * F.lit(step))
+    return spread(items).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("theta", F.lit(low) + F.col("_g") * F.lit(step))
 
 
 def log_probability_grid(items: DataFrame, step: float = THETA_STEP) -> DataFrame:
@@ -113,7 +113,7 @@ def model_checks(items: DataFrame, low: float = -4.0, high: float = 4.0, step: f
         numeric = numeric + F.coalesce(slope * slope / p, F.lit(0.0))
     gpcm = F.col("irt_model") == "GPCM"
     crossing = F.lit(0.0)
-    for k in (1, 2):
+    for k in range(1, MAX_STEPS + 1):
         there = model.probabilities(F.col("location") - F.col(f"step{k}"))
         crossing = F.greatest(crossing, F.coalesce(F.abs(there[k] - there[k - 1]), F.lit(0.0)))
     half = F.abs(model.correct(F.col("location")) - (1 + F.coalesce("guessing", F.lit(0.0))) / 2)

@@ -42,14 +42,15 @@ def probability_answer_problems(questions: DataFrame, answers: DataFrame, keys:
     return both.select(*keys, "parameter", problem.alias("problem")).filter("problem is not null")
 
 
-PREDICTION = "reasoning string, slope double, location double, guessing double, step1 double, _broken string"
+PREDICTION = "reasoning string, slope double, location double, guessing double, step1 double, step2 double, _broken string"
 
 
-def prediction_status(text, model, finish_reason) -> tuple[Column, Column]:
-    """The parsed fields of a prediction's JSON text, and why it is unusable, NULL if it is usable."""
+def prediction_status(text, model, finish_reason, points: Column | int = 2) -> tuple[Column, Column]:
+    """The parsed fields of a prediction's JSON text, and why it is unusable, NULL if it is usable. An item of 3
+    ``points`` needs a second step; the last one follows from the others."""
     fields = F.from_json(text, PREDICTION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     finish, kind = F.col(finish_reason), F.col(model)
-    missing = fields["slope"].isNull() | fields["location"].isNull() | ((kind == "3PL") & fields["guessing"].isNull()) | ((kind == "GPCM") & fields["step1"].isNull())
+    missing = fields["slope"].isNull() | fields["location"].isNull() | ((kind == "3PL") & fields["guessing"].isNull()) | ((kind == "GPCM") & (fields["step1"].isNull() | ((F.lit(points) if isinstance(points, int) else points) > 2) & fields["step2"].isNull()))
     reason = (
         F.when(finish == "length", "cut off")
         .when(F.col(text).isNull() | (F.trim(text) == ""), "no output")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thetaloom.operators.order_stats import average_ranks, measured
+from thetaloom.operators.order_stats import unique_index
 from thetaloom.session import written
 
 # Statuses in which a batch has ended, and how much older than its submission a batch may look.
@@ -51,9 +51,8 @@ def recheck(stored: DataFrame, reason: Column) -> DataFrame:
 
 
 def row_index(df: DataFrame, groups: list[str], order: str, out: str) -> DataFrame:
-    """The 0-based place of each row in its group by a unique number, whatever the size of the group."""
-    table, small = measured(df)
-    return average_ranks(table, groups, {order: "_rank"}, small).withColumn(out, (F.col("_rank") - 1).cast("bigint")).drop("_rank")
+    """The 0-based place of each row in its group by a unique column of any type, whatever the size of the group."""
+    return unique_index(df, groups, order, order, out)
 
 
 def chunked(requests: DataFrame, schema: str, order: str, size: int) -> DataFrame:
@@ -68,9 +67,7 @@ def next_fit(units: DataFrame, key: str, order: str, size: str, capacity: int, c
     state before it to the state and the number of batches after it. Stretches of bounded length give their maps in
     parallel, a pass over the maps gives the state before each, and then the stretches number their batches in parallel.
     """
-    table = written(
-        row_index(units.withColumn(order, F.col(order).cast("double")), [key], order, "_i").withColumn("_chunk", F.floor(F.col("_i") / chunk).cast("bigint")), "units"
-    )
+    table = written(row_index(units, [key], order, "_i").withColumn("_chunk", F.floor(F.col("_i") / chunk).cast("bigint")), "units")
     key_type = table.schema[key].dataType.simpleString()
     columns = table.columns
 
@@ -109,7 +106,7 @@ def next_fit(units: DataFrame, key: str, order: str, size: str, capacity: int, c
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
     joined = table.join(starts, [key, "_chunk"])
-    return joined.groupBy(key, "_chunk").applyInPandas(number, f"{fields}, batch bigint").drop("_i", "_chunk", "_rank")
+    return joined.groupBy(key, "_chunk").applyInPandas(number, f"{fields}, batch bigint").drop("_i", "_chunk")
 
 
 def open_request_ids(batches: DataFrame) -> DataFrame:

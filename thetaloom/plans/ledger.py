@@ -307,9 +307,9 @@ def released_questions(t: Tables) -> DataFrame:
 
 @query(
     "b23_test_prompts",
-    """select part_group, count(*) as questions, sha256(case when count(*) = 1 then min(q) else concat('These ', cast(count(*) as varchar), ' questions belong together and follow one another in the test booklet.', chr(10), chr(10),
-       string_agg(concat('## Question ', cast(i as varchar), chr(10), chr(10), q), concat(chr(10), chr(10)) order by i), chr(10), chr(10), 'Answer each of the ', cast(count(*) as varchar), ' questions.') end) as prompt_hash from (
-       select part_group, row_number() over (partition by part_group order by doc_id) as i, concat(stem, case when item_type = 'multiple_choice' then concat(chr(10), chr(10), 'A. ', option_a, chr(10), 'B. ', option_b, chr(10), 'C. ', option_c) else '' end) as q
+    """select part_group, count(*) as questions, sha256(case when count(*) = 1 then min(q) else concat('Work through all ', cast(count(*) as varchar), ' questions below in order.', chr(10), chr(10),
+       string_agg(concat('### ', cast(i as varchar), ' of ', cast(n as varchar), chr(10), chr(10), q), concat(chr(10), chr(10)) order by i), chr(10), chr(10), 'Give ', cast(count(*) as varchar), ' answers, one for each question.') end) as prompt_hash from (
+       select part_group, row_number() over (partition by part_group order by doc_id) as i, count(*) over (partition by part_group) as n, concat(stem, case when item_type = 'multiple_choice' then concat(chr(10), chr(10), 'A. ', option_a, chr(10), 'B. ', option_b, chr(10), 'C. ', option_c) else '' end) as q
        from o_parts) x group by part_group""",
     {"o_parts": PARTS_SQL},
 )

@@ -301,7 +301,7 @@ def leaderboard_table(t: Tables) -> DataFrame:
         "without_figure": ~F.col("has_figure"),
     }
     board = takers.groupBy("condition_id", "model").agg(*[T.percent_of_points(where).alias(name) for name, where in shares.items()])
-    parameters = t.v_items.select("item_key", "slope", "location", "guessing", "step1", "step2")
+    parameters = t.v_items.select("item_key", "slope", "location", "guessing", "step1", "step2", "step3")
     responses = takers.withColumn("score", F.col("points")).join(parameters, "item_key")
     scale = estimate_theta(responses, ["condition_id", "calibration"], max_group_rows=largest_calibration(t.v_items)).join(t.v_scale, "calibration")
     score = F.col("a") + F.col("b") * F.col("theta_eap")

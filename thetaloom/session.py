@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-MAX_BROADCAST_ROWS = 100_000
-"""A side with more rows than this is never hinted for broadcast; the shuffle join takes it."""
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "thetaloom") -> SparkSession:
@@ -30,12 +26,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` as the cluster sets it. Only where it is unset, as in
-    local tests, a temporary folder is taken and set for the rest of the session."""
+    """The folder every executor sees: ``spark.checkpoint.dir`` as the cluster sets it. Where it is unset, a temporary
+    folder is taken and set for the rest of the session, but only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark, "_thetaloom_folder", None)
         if folder is None:
+            if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="thetaloom-")
             spark._thetaloom_folder = folder
             spark.sparkContext.setCheckpointDir(folder)
@@ -47,14 +45,9 @@ def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, files_too: bool = True) -> DataFrame:
-    """``df`` over all tasks before costly work on its rows. An input of many files is already spread and stays as it is."""
-    tasks = task_count(df.sparkSession)
-    if files_too:
-        classic = getattr(df, "_jdf", None)  # there the names of a million files need not leave the JVM
-        if len(classic.inputFiles() if classic is not None else df.inputFiles()) * 4 > tasks:
-            return df
-    return df.repartition(tasks)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all tasks before costly work on its rows."""
+    return df.repartition(task_count(df.sparkSession))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -69,10 +62,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_checked(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint only if it is counted to hold at most ``limit`` rows; otherwise ``df`` itself, so
-    that the join falls back to a shuffle."""
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df

@@ -25,7 +25,7 @@ select concat('P', cast(p_partkey as varchar(20))) as item_key, p_partkey as pk,
        ((p_partkey * 37) % 401 - 200) / 1e2 as location,
        case when p_partkey % 10 < 6 then 1e-1 + (p_partkey % 4) * 5e-2 end as guessing,
        case when p_partkey % 10 = 9 then 3e-1 + (p_partkey % 5) * 1e-1 end as step1,
-       case when p_partkey % 10 = 9 then -(3e-1 + (p_partkey % 5) * 1e-1) end as step2
+       case when p_partkey % 10 = 9 then -(3e-1 + (p_partkey % 5) * 1e-1) end as step2, cast(null as double) as step3
 from part""",
     # Respondent x item score.
     "v_scores": """
@@ -36,7 +36,7 @@ group by l_suppkey, item_key, grade, calibration, irt_model, scaled_points""",
     # The same responses with the parameters that score them.
     "v_responses": """
 select s.respondent, s.item_key, s.grade, s.calibration, s.irt_model, s.scaled_points, s.score,
-       i.slope, i.location, i.guessing, i.step1, i.step2
+       i.slope, i.location, i.guessing, i.step1, i.step2, i.step3
 from v_scores s join v_items i on s.item_key = i.item_key""",
     # Four prediction runs in a 2 x 2 design: one wide row per run and item.
     "v_predictions": """
