@@ -362,12 +362,14 @@ CHOICES = {
     "o_scale": f"select * from (values {SCALE_ROWS}) s(parameter, position, value)",
     "o_pick": """select e.run, e.item_key, e.grade, e.parameter, arg_min(s.position, struct_pack(d := abs(s.value - predicted), p := s.position)) as category,
         arg_min(s.position, struct_pack(d := abs(s.value - calibrated), p := s.position)) as calibrated_category
-        from v_errors e join o_scale s on e.parameter = s.parameter group by 1, 2, 3, 4""",
+        from v_errors e join o_scale s on e.parameter = s.parameter
+        where e.item_key in (select item_key from v_errors group by item_key having count(distinct run) = 4) group by 1, 2, 3, 4""",
 }
 
 
 def choices(t: Tables) -> DataFrame:
-    return C.scale_choices(t.v_errors, SCALES)
+    """The choices on the items that every run predicted, so that runs are compared on the same items."""
+    return C.scale_choices(t.v_errors.join(C.common_items(t.v_errors, len(RUNS)), "item_key", "left_semi"), SCALES)
 
 
 @query(
