@@ -43,12 +43,6 @@ def part_groups(items: DataFrame, tasks: DataFrame) -> DataFrame:
     return joined.withColumn("part_group", F.concat_ws("/", "assessment", "grade", F.coalesce("task", "base_id"))).drop("base_id", "task")
 
 
-def unknown_tasks(items: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Listed tasks whose items are not in the collection."""
-    present = items.select("assessment", "grade", base_item_id("item_id").alias("base_id"))
-    return tasks.join(present, ["assessment", "grade", "base_id"], "left_anti")
-
-
 def units(items: DataFrame) -> DataFrame:
     """One row per part group with a calibrated item, its item IDs in booklet order joined by "+", its first position
     and its numbers of items. A group is the few items a student sees together."""

@@ -110,8 +110,9 @@ def next_fit(units: DataFrame, key: str, order: str, size: str, capacity: int, c
 
 
 def open_request_ids(batches: DataFrame) -> DataFrame:
-    """Request IDs of submitted batches that are not collected yet, from the map of requests of each batch."""
-    return batches.filter("collected_at is null").select("batch_id", F.explode(F.map_keys("requests")).alias("request_id"))
+    """Request IDs of submitted batches that are not collected yet, from a row per batch and request: however many requests
+    a batch has, they never meet in one row."""
+    return batches.filter("collected_at is null").select("batch_id", "request_id")
 
 
 def first_results(results: DataFrame, order: str) -> DataFrame:

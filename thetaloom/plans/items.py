@@ -85,7 +85,7 @@ def constants(t: Tables) -> DataFrame:
     return kept.select("calibration", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "plausible_values", "constants")
 
 
-@query("a4_saved_outputs")
+@query("a4_saved_outputs", "select cast(event_id as varchar) as request_id, concat('k', request_id) as item_key, cost_usd, true as has_file from v_results where outcome = 'saved'")
 def saved_outputs(t: Tables) -> DataFrame:
     """Saved outputs in a folder of JSON files, read with the name of the file each came from."""
     path = new_path(t.spark, "saved")
@@ -94,7 +94,7 @@ def saved_outputs(t: Tables) -> DataFrame:
         F.lit("{}").alias("output"), F.col("cost_usd"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("requested_at"),
     )
     rows.write.json(path)
-    saved = t.spark.read.schema(schemas.SAVED_OUTPUT).json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+    saved = files.read_saved_outputs(t.spark, path, one_per_file=False)
     return saved.select("request_id", "item_key", "cost_usd", F.endswith("file_name", F.lit(".json")).alias("has_file"))
 
 

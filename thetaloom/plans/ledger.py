@@ -438,10 +438,9 @@ def run_report(t: Tables) -> DataFrame:
 
 @query("k4_open_request_ids", "select batch_id, cast(request_id as varchar) as request_id from o_sub where batch_status = 'in_progress'", COLLECT)
 def open_request_ids(t: Tables) -> DataFrame:
-    """Each batch keeps a map of its requests; those of batches not collected yet are open."""
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col("request_id").cast("string"), F.lit("item"))))
-    done = F.max(F.when(F.col("batch_status") != "in_progress", F.lit("collected")))
-    batches = t.sql(SUBMITTED_SQL).groupBy("batch_id").agg(entries.alias("requests"), done.alias("collected_at"))
+    """The requests of batches that are not collected yet are open."""
+    done = F.when(F.col("batch_status") != "in_progress", "collected")
+    batches = t.sql(SUBMITTED_SQL).select("batch_id", F.col("request_id").cast("string").alias("request_id"), done.alias("collected_at"))
     return W.open_request_ids(batches)
 
 

@@ -53,9 +53,9 @@ def read_constants(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CONSTANTS).option("header", True).csv(path)
 
 
-def read_saved_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per saved JSON file, with the name of its file."""
-    frame = spark.read.schema(schemas.SAVED_OUTPUT).option("multiLine", True).json(path)
+def read_saved_outputs(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """One row per saved output, with the name of its file: JSON files of one record each, or of one record a line."""
+    frame = spark.read.schema(schemas.SAVED_OUTPUT).option("multiLine", one_per_file).json(path)
     return frame.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 

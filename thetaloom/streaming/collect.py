@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from thetaloom.operators.work import collected, first_results
@@ -30,10 +29,3 @@ def stored_results(spark: SparkSession, out: str, schema: StructType, order: str
 
 def outcomes(spark: SparkSession, out: str, schema: StructType, order: str, submitted: DataFrame, requests: DataFrame) -> DataFrame:
     return collected(submitted, requests, stored_results(spark, out, schema, order))
-
-
-def with_metrics(results: DataFrame, name: str = "collected") -> DataFrame:
-    """Counts of a run report observed on the write itself, without another pass."""
-    return results.observe(
-        name, F.count("*").alias("requested"), F.count_if(F.col("outcome") == "saved").alias("saved"), F.sum("cost_usd").alias("cost_usd")
-    )
