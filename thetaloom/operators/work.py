@@ -18,7 +18,7 @@ CHUNK = 100_000
 
 def shuffled_order(key, seed: int = 0) -> Column:
     """A fixed pseudo-random order, so that a capped run samples every group."""
-    return F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key)
+    return F.sha2(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")), 256)
 
 
 def pending(requests: DataFrame, saved: DataFrame, open_ids: DataFrame, cap: int | None = None, seed: int = 0) -> DataFrame:

@@ -56,7 +56,12 @@ def ranking(t: Tables) -> DataFrame:
     return t.v_references.select("target_key", "item_key", F.row_number().over(order).alias("rank"))
 
 
-@query("h3_fixed_shuffle")
+@query(
+    "h3_fixed_shuffle",
+    """select request_id from v_requests where request_id not in (select request_id from o_saved) and request_id not in (select request_id from o_open)
+       order by sha256(concat('0:', cast(request_id as varchar))), request_id limit 50""",
+    LEDGER,
+)
 def fixed_shuffle(t: Tables) -> DataFrame:
     """A capped run in the fixed pseudo-random order."""
     return W.pending(*ledger(t), cap=50).select("request_id")
@@ -91,12 +96,15 @@ def next_fit_batches(t: Tables) -> DataFrame:
 WORDS_SQL = "select l_orderkey as page, l_linenumber as seq, l_quantity - 1e0 as y0, l_quantity + 1e0 as y1, l_extendedprice / 1e2 as x0, concat('w', cast(l_partkey as varchar(20))) as word, l_suppkey as tie from lineitem"
 
 
-@query(
-    "h6_anchored_lines",
-    """select page, center, line from (with recursive c as (select page, center, row_number() over (partition by page order by center) as i from (select distinct page, (y0 + y1) / 2 as center from o_words) d),
+LINES_SQL = """select page, center, line from (with recursive c as (select page, center, row_number() over (partition by page order by center) as i from (select distinct page, (y0 + y1) / 2 as center from o_words) d),
        f(page, i, center, anchor, line) as (select page, i, center, center, cast(0 as bigint) from c where i = 1
        union all select c.page, c.i, c.center, case when c.center - f.anchor < 4e0 then f.anchor else c.center end, f.line + case when c.center - f.anchor < 4e0 then 0 else 1 end from f join c on c.page = f.page and c.i = f.i + 1)
-       select * from f) x""",
+       select * from f) x"""
+
+
+@query(
+    "h6_anchored_lines",
+    LINES_SQL,
     {"o_words": WORDS_SQL},
 )
 def anchored_lines(t: Tables) -> DataFrame:
@@ -104,7 +112,11 @@ def anchored_lines(t: Tables) -> DataFrame:
     return L.lines(words, "page", "center").select("page", "center", "line").distinct()
 
 
-@query("h6_line_text")
+@query(
+    "h6_line_text",
+    f"select w.page, f.line, string_agg(w.word, ' ' order by w.x0, w.tie, w.word) as text from o_words w join ({LINES_SQL}) f on w.page = f.page and (w.y0 + w.y1) / 2 = f.center group by w.page, f.line",
+    {"o_words": WORDS_SQL},
+)
 def line_text(t: Tables) -> DataFrame:
     words = t.sql(WORDS_SQL).withColumn("center", L.center("y0", "y1"))
     return L.line_text(L.lines(words, "page", "center"), "page", "x0", "word", "tie")
