@@ -26,7 +26,7 @@ from tokenizers import normalizers
 
 from thetaloom.llm.names import free_name
 
-KEPT_WORDS, KEPT_PIECES = 100_000, 450_000
+KEPT_WORDS, KEPT_PIECES = 60_000, 150_000
 """Words and pieces in one of the two generations that a Python worker keeps."""
 ROWS_OUT = 512
 """Rows of an output batch at most."""

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2_000_000
+SLICE = 1_000_000
 """Bytes of text that one step works on."""
 
 U64 = np.uint64
@@ -63,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _grown(size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < size:
         for at, base in enumerate((_BASE, _INVERSE)):
-            column = np.full(max(size, 2 * SLICE), base, U64)
+            column = np.full(max(size, SLICE + SLICE // 4), base, U64)
             column[0] = 1
             _powers[at] = np.multiply.accumulate(column)
     return _powers[0], _powers[1]
@@ -126,7 +126,7 @@ class Memo:
     """Results by hash that a Python worker keeps from batch to batch, so that a frequent word is worked out once. At
     most ``most`` hashes are kept; when they are reached it starts anew, which changes the cost and no result."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
         self._keys, self._places = np.zeros(0, U64), np.zeros(0, np.int64)
 
