@@ -131,6 +131,12 @@ class Vocabulary:
         plain = word.lower() if word.isascii() else NFC.normalize_str(word).replace("Σ", "σ").lower()
         return self.pieces[plain] if plain.isalpha() else b"".join(map(self.pieces.__getitem__, self.pattern.findall(plain)))
 
+    def forget(self) -> None:
+        """Drop the kept words and pieces: a worker that goes on to other work doesn't hold them."""
+        for kept in (self.words, self.pieces):
+            kept.clear()
+            kept.old = {}
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.cut is not None and "<|" in text:
@@ -177,5 +183,6 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", de
                     start, size, codes = start + len(codes), 0, []
             if codes:
                 yield batch_of(batch, start, codes)
+        known.forget()
 
     return docs.mapInArrow(encode, schema)
