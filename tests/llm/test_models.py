@@ -155,3 +155,11 @@ def test_lm_scores(spark):
     assert lm_score.scored(rows.limit(0), held, VOCABULARY).count() == 0
     none = lm_score.scored(cases.edges(spark), F.lit(True), VOCABULARY).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in none)
+
+
+def test_all_training_texts_reach_the_context_model(spark):
+    """With no text in the sample, all that is known of contexts comes from the blocks."""
+    rows = spark.createDataFrame([(i, "red by green by blue by black by " * 120) for i in range(1500)], "doc_id bigint, text string")
+    found = lm_score.scored(rows, part_of("doc_id", 7) == 2, VOCABULARY, part=4_000_000, sample=0).collect()
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.6  # words alone: -0.605; untrained: -2.39
