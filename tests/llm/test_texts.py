@@ -130,3 +130,12 @@ def test_licenses(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     found = {r.id: [(x.license, x.first_word) for x in r.found] for r in rows.select("id", licenses.licenses(F.col("text")).alias("found")).collect()}
     assert found == {0: [], 1: [], 2: [], 3: [("MIT", 0)], 4: [("Apache-2.0", 600), ("MIT", 609), ("MIT", 614)], 5: [("CC-BY-NC-4.0", 0)], 6: [("Apache-2.0", 0)], 7: [], 8: []}
+
+
+def test_notices_at_the_limit_of_coverage(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    texts = ["Distributed under the MIT License.", "Available under CC BY 4.0.", "Available under CC BY-NC 4.0.", f"under way: {gpl}", gpl.replace("General", "Lesser General"), "under the sea"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r.id: [(x.license, round(x.coverage, 2)) for x in r.found] for r in rows.select("id", licenses.licenses(F.col("text")).alias("found")).collect()}
+    assert [found[i] for i in range(6)] == [[("MIT", 0.8)], [("CC-BY-4.0", 0.83)], [("CC-BY-NC-4.0", 0.86)], [("GPL-3.0-header", 1.0)], [("LGPL-3.0-header", 1.0)], []]
+    assert licenses.needed([1, 1, 1], 1) == 2 and licenses.needed([1, 3], 2) == 1 and licenses.needed([3], 2) == 1

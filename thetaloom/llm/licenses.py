@@ -2,12 +2,14 @@
 
 Words that are unique in both the text's passage and the template are anchors; the longest increasing subsequence of their
 places keeps those in order, and the gaps between them are aligned in the same way. Coverage is the share of the
-template's words that found a partner. Passages worth aligning are stretches with enough of a template's longer words.
+template's words that found a partner. Passages worth aligning are stretches with as many of a template's longer words as
+any passage of enough coverage has.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +32,12 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
 }
@@ -88,6 +96,16 @@ def aligned(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def needed(counts: list[int], missing: int) -> int:
+    """How many of a template's distinct words, which it has ``counts`` times, are there at least when at most ``missing``
+    words lack a partner."""
+    total, lost = 0, 0
+    for count in sorted(counts):
+        total += count
+        lost += total <= missing
+    return len(counts) - lost
+
+
 class Templates:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in templates]
@@ -96,8 +114,16 @@ class Templates:
         each = hashes.tolist()
         long = (ends - starts >= ANCHOR_LETTERS).tolist()
         self.words = [each[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-        #: The words that show a template: the longer ones, or all where it has none.
-        self.signs = [{w for w, x in zip(each[a:b], long[a:b], strict=True) if x} or set(each[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+        #: The words that show a template, and how many of them any passage of enough coverage has: the longer ones, or all
+        #: where such a passage can do without the longer ones.
+        self.signs, self.need = [], []
+        for a, b in zip(firsts[:-1], firsts[1:], strict=True):
+            most = next((n for n in range(b - a, -1, -1) if b > a and (b - a - n) / (b - a) >= COVERAGE), 0)
+            own = Counter(w for w, x in zip(each[a:b], long[a:b], strict=True) if x)
+            if not needed(list(own.values()), most):
+                own = Counter(each[a:b])
+            self.signs.append(set(own))
+            self.need.append(needed(list(own.values()), most))
         self.all_signs = np.array(sorted(set().union(*self.signs)) if self.signs else [], np.uint64)
 
     def found(self, words: np.ndarray, signs: np.ndarray) -> list[tuple[str, int, int, float]]:
@@ -105,8 +131,7 @@ class Templates:
         out = []
         at_words = list(zip(signs.tolist(), words[signs].tolist(), strict=True))
         present = {word for _, word in at_words}
-        for name, template, own in zip(self.names, self.words, self.signs, strict=True):
-            need = -(-len(own) * 3 // 4)
+        for name, template, own, need in zip(self.names, self.words, self.signs, self.need, strict=True):
             if len(own & present) < need or not template:
                 continue
             places = [at for at, word in at_words if word in own]
@@ -121,6 +146,12 @@ class Templates:
                 if len(inside) < need:
                     continue
                 pairs = aligned(words[low:high].tolist(), template)
+                if len(pairs) / len(template) >= COVERAGE and len(pairs) < len(template):
+                    # The passage may have begun too early and cut the notice.
+                    other = low + pairs[0][0]
+                    again = aligned(words[other : other + reach + reach // 2].tolist(), template)
+                    if len(again) > len(pairs):
+                        low, pairs = other, again
                 coverage = len(pairs) / len(template)
                 if coverage >= COVERAGE:
                     end = low + pairs[-1][0] + 1
