@@ -139,3 +139,14 @@ def test_notices_at_the_limit_of_coverage(spark):
     found = {r.id: [(x.license, round(x.coverage, 2)) for x in r.found] for r in rows.select("id", licenses.licenses(F.col("text")).alias("found")).collect()}
     assert [found[i] for i in range(6)] == [[("MIT", 0.8)], [("CC-BY-4.0", 0.83)], [("CC-BY-NC-4.0", 0.86)], [("GPL-3.0-header", 1.0)], [("LGPL-3.0-header", 1.0)], []]
     assert licenses.needed([1, 1, 1], 1) == 2 and licenses.needed([1, 3], 2) == 1 and licenses.needed([3], 2) == 1
+
+
+def test_bands_of_the_language(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("bcdlmnrst") + draw.choice("aeiou") for _ in range(2 + i % 3)) for i in range(300)]
+    plain = [" ".join(draw.choices(words, k=100 + i)) for i in range(60)]
+    junk = " ".join(f"{w} ###" for w in plain[0].split())
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate([*plain, junk])] + [(100, None, plain[0]), (101, "en", None)], "doc_id int, lang string, text string")
+    kept = {r.doc_id: r.kept for r in quality.judged(rows, PIECES).collect()}
+    assert len(kept) == 63 and not kept[60] and not kept[101] and kept[100] and sum(kept[i] for i in range(60)) >= 58
+    assert quality.judged(rows.limit(0), PIECES).count() == 0

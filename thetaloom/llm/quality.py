@@ -3,7 +3,8 @@
 Fertility is how a public subword vocabulary takes a text: characters per token, the share of tokens that fall back to
 single bytes, and the entropy of the tokens. Each script has a band for each measure; a text outside is rejected. Bands
 are parameters, wide enough for any running text of the script, and hold for texts of ``MEASURED_FROM`` tokens and more,
-since the measures of a few tokens say little.
+since the measures of a few tokens say little. Fixed bands by script only catch what is no running text; ``judged`` takes
+further bands by language from the table itself.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from thetaloom.llm.names import free_name
 from thetaloom.llm.ragged import WHITE, Memo, flat, gathered, slices, span_hashes, spans, windows_of
+from thetaloom.llm.scratch import written
 
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +37,11 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
 MEASURED_FROM = 50
 """Tokens from which the bands are applied."""
 
+#: How many robust deviations from a language's median characters per token may lie, and entropy below its line.
+CHARS_MARGIN, ENTROPY_MARGIN = 6.0, 4.0
+LEAST_CHARS, LEAST_ENTROPY = 0.05, 0.1
+"""The least such deviations, so that many copies of one text don't make a band of one point."""
+
 #: The Unicode blocks that stand for a script: first and last code point.
 SCRIPTS: dict[str, list[tuple[int, int]]] = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)],
@@ -174,3 +181,29 @@ def kept_documents(docs: DataFrame, path: str, text: str = "text", bands: dict =
     """The rows of ``docs`` whose text passes, with their columns as they are."""
     name = free_name(docs, "quality")
     return docs.withColumn(name, quality(F.col(f"`{text}`"), path, bands)).where(F.col(f"{name}.kept")).drop(name)
+
+
+def judged(docs: DataFrame, path: str, language: str = "lang", text: str = "text", id: str = "doc_id", bands: dict = BANDS) -> DataFrame:
+    """``id`` and the fields of ``quality``, where ``kept`` also needs the bands of the row's language: characters per token
+    around the median, and token entropy above a line in the logarithm of the number of tokens, since short texts have less.
+    Medians, lines and deviations are those of all rows that pass the base rules and are measured. A null language is one."""
+    found = docs.select(F.col(f"`{id}`"), F.coalesce(F.col(f"`{language}`").cast("string"), F.lit("")).alias("_lang"), quality(F.col(f"`{text}`"), path, bands).alias("q"))
+    found = written(found.select(id, "_lang", "q.*"), "quality")
+    size = F.log2("n_tokens")
+    base = found.where(~F.col("base_failed") & (F.col("n_tokens") >= MEASURED_FROM))
+    quartiles = lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
+    packed = lambda rows, *names: F.broadcast(rows.agg(F.map_from_entries(F.collect_list(F.struct("_lang", F.struct(*names)))).alias("_" + names[0])))
+    lines = base.groupBy("_lang").agg(
+        quartiles("chars_per_token").alias("chars"), F.coalesce(F.regr_slope("token_entropy", size), F.lit(0.0)).alias("slope"),
+        F.avg("token_entropy").alias("entropy"), F.avg(size).alias("size"),
+    )
+    line = F.col("_chars")[F.col("_lang")]
+    above = F.col("token_entropy") - line.entropy - line.slope * (size - line["size"])
+    lines = written(lines, "lines")
+    spreads = base.crossJoin(packed(lines, "chars", "slope", "entropy", "size")).groupBy("_lang").agg(quartiles(above).alias("rest"))
+    rows = found.crossJoin(packed(lines, "chars", "slope", "entropy", "size")).crossJoin(packed(written(spreads, "spreads"), "rest"))
+    rest, chars = F.col("_rest")[F.col("_lang")].rest, line.chars
+    deviation = lambda q, least: F.greatest((q[2] - q[0]) / 1.349, F.lit(least))
+    inside = (F.abs(F.col("chars_per_token") - chars[1]) <= CHARS_MARGIN * deviation(chars, LEAST_CHARS)) & (above >= rest[1] - ENTROPY_MARGIN * deviation(rest, LEAST_ENTROPY))
+    kept = F.col("kept") & ((F.col("n_tokens") < MEASURED_FROM) | F.coalesce(inside, F.lit(True)))
+    return rows.withColumn("kept", kept).drop("_lang", "_chars", "_rest")

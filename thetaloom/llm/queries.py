@@ -47,8 +47,7 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @query
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    judged = docs.select("doc_id", quality.quality(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("q"))
-    return judged.select("doc_id", "q.*")
+    return quality.judged(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @query
