@@ -13,6 +13,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from thetaloom.sources.tables import TABLES  # noqa: E402
 
+#: The folder of the tests; a test module takes it from here, since each test folder has a conftest of its own.
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def duck(folder: str):
     connection = duckdb.connect()

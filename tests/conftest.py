@@ -6,9 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
 @pytest.fixture(scope="session")
 def spark():
     from thetaloom.session import local_session
@@ -20,6 +17,8 @@ def spark():
 
 @pytest.fixture(scope="session")
 def tables(spark):
+    from check import FOLDER
+
     from thetaloom.sources.tables import Tables
 
     return Tables(spark, FOLDER)

@@ -2,7 +2,7 @@
 
 import check
 import pytest
-from conftest import FOLDER
+from check import FOLDER
 
 import __spark_entry__ as entry
 
