@@ -46,4 +46,16 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as b
 from d left join c on d.doc_id = c.doc_id left join o on d.doc_id = o.doc_id
 """
 
-ORACLES = {"op1_suffix_array_dedup": PASSAGES, "op2_near_duplicates": NEAR, "op4_benchmark_decontamination": LEAKS}
+MIDDLES = """
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as u, sha256('42:' || cast(doc_id as varchar)) as h from documents),
+r as (select *, cast(len(u) as bigint) as n, [cast('0x' || substr(h, p, 8) as bigint) for p in [1, 9, 17, 25]] as k from d),
+c as (select *, least(k[1] % (n + 1), k[2] % (n + 1)) as a, greatest(k[1] % (n + 1), k[2] % (n + 1)) as b,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or k[3] % 100 >= 50 then 'plain' when k[4] % 100 < 80 then 'spm' else 'psm' end as form from r),
+p as (select *, array_to_string(u[1 : a], '') as pre, array_to_string(u[a + 1 : b], '') as mid, array_to_string(u[b + 1 : n], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256
+from p
+"""
+
+ORACLES = {"op1_suffix_array_dedup": PASSAGES, "op2_near_duplicates": NEAR, "op4_benchmark_decontamination": LEAKS, "op13_fill_in_middle": MIDDLES}

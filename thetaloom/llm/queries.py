@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import bpe, decontaminate, licenses, lm_score, near_dedup, quality, secrets, suffix_dedup, toxicity, url_filter
+from thetaloom.llm import bpe, decontaminate, fill_middle, licenses, lm_score, near_dedup, quality, secrets, suffix_dedup, toxicity, url_filter
 from thetaloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,13 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x.license, x.first_word, x.end_word)), ",")
     names = F.array_join(F.array_sort(F.array_distinct("found.license")), ",")
     return found.select("doc_id", F.size("found").cast("bigint").alias("n_notices"), names.alias("licenses"), spans.alias("spans"), F.array_max("found.coverage").alias("best_coverage"))
+
+@query
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the texts are cut, four in five of these with the suffix first."""
+    found = fill_middle.ordered(table(spark, folder, "documents").select("doc_id", "text"))
+    fim = F.col("fim")
+    return found.select(
+        "doc_id", fim["n"].alias("n"), fim.form.alias("form"), fim.prefix_chars.alias("prefix_chars"), fim.middle_chars.alias("middle_chars"),
+        digest(fim.output).alias("output_sha256"), digest(fill_middle.restored(fim.output, fim.form)).alias("restored_sha256"),
+    )
