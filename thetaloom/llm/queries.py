@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import bpe, decontaminate, fill_middle, licenses, lm_score, near_dedup, quality, secrets, suffix_dedup, toxicity, url_filter
+from thetaloom.llm import bpe, decontaminate, fill_middle, licenses, lm_score, near_dedup, quality, secrets, simhash, suffix_dedup, toxicity, url_filter
 from thetaloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", fim["n"].alias("n"), fim.form.alias("form"), fim.prefix_chars.alias("prefix_chars"), fim.middle_chars.alias("middle_chars"),
         digest(fim.output).alias("output_sha256"), digest(fill_middle.restored(fim.output, fim.form)).alias("restored_sha256"),
     )
+
+
+@query
+def op12_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Three-word shingles, three bits."""
+    found = simhash.similar_documents(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
