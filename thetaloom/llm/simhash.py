@@ -32,6 +32,8 @@ DISTANCE = 3
 """Bits in which linked fingerprints differ at most."""
 NODE = 4096
 """Members of an upper node beyond which it is divided."""
+DEPTH = 4
+"""How often nodes are divided at most: about 20 bits are free then, and so many members in Gray order are neighbours."""
 FAN = 8
 """Children of a lower node."""
 SHARD = 100_000
@@ -210,6 +212,7 @@ def near_links(classes: DataFrame, limit: int = NODE, shard: int = SHARD) -> Dat
     signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
     full = (1 << 64) - 1
     masks = divided(full)
+    depth = 1
     spread = F.explode(F.array(*[F.lit(signed(m)).cast("bigint") for m in masks]))
     entries = classes.select("fingerprint", spread.alias("mask"))
     shares = F.col("fingerprint").bitwiseAND(F.col("mask")).alias("shared")
@@ -217,7 +220,7 @@ def near_links(classes: DataFrame, limit: int = NODE, shard: int = SHARD) -> Dat
     while True:
         entries = written(entries.select("fingerprint", "mask", shares), "entries")
         large = written(entries.groupBy("mask", "shared").agg(F.count("*").alias("members")).where(F.col("members") > limit).select("mask", "shared"), "large")
-        further = not large.isEmpty() and any(bin(full ^ m).count("1") > DISTANCE for m in masks)
+        further = depth < DEPTH and not large.isEmpty()
         small = entries.join(large, ["mask", "shared"], "left_anti") if further else entries
         groups = max(1, -(-small.count() // shard))
         dealt = small.select("mask", "fingerprint", F.pmod(F.xxhash64("mask", "shared"), F.lit(groups)).alias("shard"))
@@ -229,6 +232,7 @@ def near_links(classes: DataFrame, limit: int = NODE, shard: int = SHARD) -> Dat
         table = F.create_map(*[x for m, parts in children.items() for x in (F.lit(signed(m)).cast("bigint"), F.array(*[F.lit(signed(p)).cast("bigint") for p in parts]))])
         entries = entries.join(large, ["mask", "shared"]).select("fingerprint", F.explode(table[F.col("mask")]).alias("mask"))
         masks = sorted({p for parts in children.values() for p in parts})
+        depth += 1
 
 
 def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, limit: int = NODE, shard: int = SHARD) -> DataFrame:
