@@ -58,4 +58,28 @@ select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigin
 from p
 """
 
-ORACLES = {"op1_suffix_array_dedup": PASSAGES, "op2_near_duplicates": NEAR, "op4_benchmark_decontamination": LEAKS, "op13_fill_in_middle": MIDDLES}
+DIVERGENCE = f"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+t as (select lang, source, r, unnest(w) as term from d),
+v as (select lang, term, cast(count(*) as hugeint) as total from t group by lang, term having count(distinct r) >= 3),
+c as (select t.lang, t.source, t.term, cast(count(*) as hugeint) as n from t join v on t.lang = v.lang and t.term = v.term group by t.lang, t.source, t.term),
+g as (select d.lang, d.source, cast(coalesce(max(own), 0) as hugeint) as own from (select distinct lang, source from d) d left join (select lang, source, sum(n) as own from c group by lang, source) x on d.lang = x.lang and d.source = x.source group by d.lang, d.source),
+l as (select lang, sum(total) as own, count(*) as size from v group by lang),
+p as (select g.lang, g.source, v.term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 1)) // (g.own + l.size) as p
+      from g join l on g.lang = l.lang join v on g.lang = v.lang left join c on g.lang = c.lang and g.source = c.source and v.term = c.term),
+q as (select v.lang, v.term, 1 + (1000000000::hugeint * (total + 1)) // (l.own + l.size) as q from v join l on v.lang = l.lang),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source left join p x on a.lang = x.lang and a.source = x.source left join p y on b.lang = y.lang and b.source = y.source and x.term = y.term
+          where x.term is null or y.term is not null group by a.lang, a.source, b.source),
+terms as (select p.lang, source, 'term' as part, p.term as item, ((p - q) * (p - q)) // q as value from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from (select * from pairs union all select * from terms) x)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+ORACLES = {
+    "op1_suffix_array_dedup": PASSAGES,
+    "op2_near_duplicates": NEAR,
+    "op4_benchmark_decontamination": LEAKS,
+    "op11_source_divergence": DIVERGENCE,
+    "op13_fill_in_middle": MIDDLES,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thetaloom.llm import bpe, decontaminate, fill_middle, licenses, lm_score, near_dedup, quality, secrets, simhash, suffix_dedup, toxicity, url_filter
+from thetaloom.llm import bpe, decontaminate, divergence, fill_middle, licenses, lm_score, near_dedup, quality, secrets, simhash, suffix_dedup, toxicity, url_filter
 from thetaloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op12_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Three-word shingles, three bits."""
     found = simhash.similar_documents(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two sources of a language, and the terms that tell a source from its language."""
+    return divergence.audited(table(spark, folder, "documents"))
