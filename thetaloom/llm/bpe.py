@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tokenizers import normalizers
 
 from thetaloom.llm.names import free_name
+from thetaloom.llm.workers import release
 
 KEPT_WORDS, KEPT_PIECES = 60_000, 150_000
 """Words and pieces in one of the two generations that a Python worker keeps."""
@@ -184,5 +185,6 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", de
             if codes:
                 yield batch_of(batch, start, codes)
         known.forget()
+        release()
 
     return docs.mapInArrow(encode, schema)

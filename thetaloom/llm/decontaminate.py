@@ -13,6 +13,7 @@ shards by item, and each is a further step over the same rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from thetaloom.llm.names import free_name
 from thetaloom.llm.ragged import LOWER, U64, flat, joined_runs, mixed, slices, span_hashes, spans
+from thetaloom.llm.workers import each
 
 WINDOW = 10
 SHARD_BYTES = 2_000_000
@@ -217,9 +219,9 @@ def hits(text: Column, shards: list[tuple], window: int = WINDOW) -> list[Column
         key = hashlib.sha256(repr(items).encode()).hexdigest()  # the function differs wherever the items do
 
         @F.arrow_udf(HITS)
-        def hit(texts: pa.Array) -> pa.Array:
+        def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             assert key
-            return found_in(texts, _automaton(items, window))
+            yield from each(lambda batch: found_in(batch, _automaton(items, window)), texts, _automaton.cache_clear)
 
         return hit(text)
 

@@ -30,6 +30,7 @@ from thetaloom.llm.components import components
 from thetaloom.llm.names import free_name
 from thetaloom.llm.ragged import LOWER, U64, WHITE, flat, mixed, slices, span_hashes, spans, windows_of
 from thetaloom.llm.scratch import written
+from thetaloom.llm.workers import release
 
 BANDS, ROWS = 40, 6
 SKETCH_WORDS = 8
@@ -117,6 +118,7 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
                 names=["id", "length", "code", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
             start, waiting, sets = at + 1, 0, []
+    release()
 
 
 def _bits(column: pa.Array) -> np.ndarray:

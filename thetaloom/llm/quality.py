@@ -9,6 +9,7 @@ further bands by language from the table itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from thetaloom.llm.names import free_name
 from thetaloom.llm.ragged import WHITE, Memo, flat, gathered, slices, span_hashes, spans, windows_of
 from thetaloom.llm.scratch import written
+from thetaloom.llm.workers import each
 
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
@@ -134,10 +136,10 @@ def measured(texts: pa.Array, path: str, bands: dict = BANDS) -> pa.StructArray:
     """The rules and measures of each text of a batch."""
     pieces = _pieces(path)
     data, offsets = flat(texts)
-    strings = texts.to_pylist()
     out: dict[str, list] = {name: [] for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "kept")}
     for low, high in slices(offsets):
         part, places = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        strings = texts.slice(low, high - low).to_pylist()
         word = ~WHITE[part]
         starts, ends, firsts = spans(word, places)
         hashes = span_hashes(part, starts, ends)
@@ -154,7 +156,7 @@ def measured(texts: pa.Array, path: str, bands: dict = BANDS) -> pa.StructArray:
             tokens = pieces.ids[gathered(pieces.begin[mine], pieces.sizes[mine])]
             count, letters = b - a, int(chars[row + 1] - chars[row])
             repeated = repeated_words(hashes[a:b])
-            text = strings[low + row] or ""
+            text = strings[row] or ""
             script = script_of(text)
             failed = bool(count < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * count)
             per, share, spread = (letters / len(tokens), float(pieces.single[tokens].mean()), entropy(tokens)) if len(tokens) else (None, None, None)
@@ -171,39 +173,50 @@ def quality(text: Column, path: str, bands: dict = BANDS) -> Column:
     fallback. Null and empty texts have no words: they fail the base rule, and their measures are null."""
 
     @F.arrow_udf(RESULT)
-    def rules(texts: pa.Array) -> pa.Array:
-        return measured(texts, path, bands)
+    def rules(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from each(lambda batch: measured(batch, path, bands), texts, _pieces.cache_clear)
 
     return rules(text)
 
 
-def kept_documents(docs: DataFrame, path: str, text: str = "text", bands: dict = BANDS) -> DataFrame:
-    """The rows of ``docs`` whose text passes, with their columns as they are."""
-    name = free_name(docs, "quality")
-    return docs.withColumn(name, quality(F.col(f"`{text}`"), path, bands)).where(F.col(f"{name}.kept")).drop(name)
+def kept_documents(docs: DataFrame, path: str, language: str = "lang", text: str = "text", bands: dict = BANDS) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their columns as they are. Rows that repeat are judged alike; an
+    empty table stays one."""
+    rows, name = _with_verdict(docs, docs.columns, path, language, text, bands)
+    return rows.where(F.col(f"{name}.kept")).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def judged(docs: DataFrame, path: str, language: str = "lang", text: str = "text", id: str = "doc_id", bands: dict = BANDS) -> DataFrame:
     """``id`` and the fields of ``quality``, where ``kept`` also needs the bands of the row's language: characters per token
     around the median, and token entropy above a line in the logarithm of the number of tokens, since short texts have less.
-    Medians, lines and deviations are those of all rows that pass the base rules and are measured. A null language is one."""
-    found = docs.select(F.col(f"`{id}`"), F.coalesce(F.col(f"`{language}`").cast("string"), F.lit("")).alias("_lang"), quality(F.col(f"`{text}`"), path, bands).alias("q"))
-    found = written(found.select(id, "_lang", "q.*"), "quality")
-    size = F.log2("n_tokens")
-    base = found.where(~F.col("base_failed") & (F.col("n_tokens") >= MEASURED_FROM))
+    Medians, lines and deviations are those of all rows that pass the base rules and are measured. A null language is one.
+    Rows that repeat, ties and very long texts count as they are; an empty table gives an empty one."""
+    rows, name = _with_verdict(docs, [id], path, language, text, bands)
+    return rows.select(F.col(f"`{id}`"), f"{name}.*")
+
+
+def _with_verdict(docs: DataFrame, columns: list[str], path: str, language: str, text: str, bands: dict) -> tuple[DataFrame, str]:
+    """The ``columns`` of ``docs`` and a struct column with the verdict, and that column's name. Texts are read once: rows
+    are written with their measures, and the few lines of the languages come to them by a plain join."""
+    name, tongue, line = (free_name(docs, x) for x in ("quality", "quality_language", "quality_line"))
+    spoken = F.coalesce(F.col(f"`{language}`").cast("string"), F.lit("")).alias(tongue)
+    rows = written(docs.select(*[F.col(f"`{x}`") for x in columns], spoken, quality(F.col(f"`{text}`"), path, bands).alias(name)), "quality")
+    base = rows.select(tongue, f"{name}.*").where(~F.col("base_failed") & (F.col("n_tokens") >= MEASURED_FROM))
     quartiles = lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
-    packed = lambda rows, *names: F.broadcast(rows.agg(F.map_from_entries(F.collect_list(F.struct("_lang", F.struct(*names)))).alias("_" + names[0])))
-    lines = base.groupBy("_lang").agg(
-        quartiles("chars_per_token").alias("chars"), F.coalesce(F.regr_slope("token_entropy", size), F.lit(0.0)).alias("slope"),
-        F.avg("token_entropy").alias("entropy"), F.avg(size).alias("size"),
+    size = lambda x: F.log2(x.n_tokens)
+    above = lambda x: x.token_entropy - F.col(line).entropy - F.col(line).slope * (size(x) - F.col(line)["size"])
+    one = F.struct("n_tokens", "token_entropy")
+    base = base.select(tongue, "chars_per_token", one.alias("m"))
+    m = F.col("m")
+    lines = base.groupBy(tongue).agg(
+        quartiles("chars_per_token").alias("chars"), F.coalesce(F.regr_slope(m.token_entropy, size(m)), F.lit(0.0)).alias("slope"),
+        F.avg(m.token_entropy).alias("entropy"), F.avg(size(m)).alias("size"),
     )
-    line = F.col("_chars")[F.col("_lang")]
-    above = F.col("token_entropy") - line.entropy - line.slope * (size - line["size"])
-    lines = written(lines, "lines")
-    spreads = base.crossJoin(packed(lines, "chars", "slope", "entropy", "size")).groupBy("_lang").agg(quartiles(above).alias("rest"))
-    rows = found.crossJoin(packed(lines, "chars", "slope", "entropy", "size")).crossJoin(packed(written(spreads, "spreads"), "rest"))
-    rest, chars = F.col("_rest")[F.col("_lang")].rest, line.chars
-    deviation = lambda q, least: F.greatest((q[2] - q[0]) / 1.349, F.lit(least))
-    inside = (F.abs(F.col("chars_per_token") - chars[1]) <= CHARS_MARGIN * deviation(chars, LEAST_CHARS)) & (above >= rest[1] - ENTROPY_MARGIN * deviation(rest, LEAST_ENTROPY))
-    kept = F.col("kept") & ((F.col("n_tokens") < MEASURED_FROM) | F.coalesce(inside, F.lit(True)))
-    return rows.withColumn("kept", kept).drop("_lang", "_chars", "_rest")
+    lines = written(lines.select(tongue, F.struct("chars", "slope", "entropy", "size").alias(line)), "lines")
+    spreads = base.join(lines, tongue).groupBy(tongue).agg(F.first(line).alias(line), quartiles(above(m)).alias("rest"))
+    lines = written(spreads.select(tongue, F.struct(f"{line}.*", "rest").alias(line)), "spreads")
+    q, chars, rest = F.col(name), F.col(line).chars, F.col(line).rest
+    deviation = lambda x, least: F.greatest((x[2] - x[0]) / 1.349, F.lit(least))
+    inside = (F.abs(q.chars_per_token - chars[1]) <= CHARS_MARGIN * deviation(chars, LEAST_CHARS)) & (above(q) >= rest[1] - ENTROPY_MARGIN * deviation(rest, LEAST_ENTROPY))
+    kept = q.kept & ((q.n_tokens < MEASURED_FROM) | F.coalesce(inside, F.lit(True)))
+    return rows.join(lines, tongue, "left").withColumn(name, q.withField("kept", kept)), name

@@ -69,6 +69,11 @@ def _grown(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget() -> None:
+    """Drop the kept powers."""
+    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
+
+
 def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true bytes that don't cross rows: starts, ends, and per row the index of its first run."""
     size = len(member)
