@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thetaloom.operators import integrity as I
 from thetaloom.operators import layout as L
 from thetaloom.operators import records as D
+from thetaloom.operators import cells, postings
 from thetaloom.operators import retrieval as R
 from thetaloom.operators import testtaking as T
 from thetaloom.operators import work as W
@@ -99,12 +100,14 @@ def test_coverage(spark):
 
 def test_search_against_brute_force(tables, spark, monkeypatch):
     # Small blocks, so that queries and candidates meet across several block pairs.
-    monkeypatch.setattr(R, "VECTOR_BLOCK", 40)
-    monkeypatch.setattr(R, "KEYWORD_BLOCK", 30)
+    monkeypatch.setattr(cells, "SLICE", 40)
+    monkeypatch.setattr(postings, "BLOCK", 30)
+    monkeypatch.setattr(postings, "QUERIES", 20)
+    monkeypatch.setattr(postings, "LISTS", 2)
     bank = R.indexed(tables.v_bank.withColumnRenamed("embedding", "vector"))
     rows = bank.collect()
     queries = bank.withColumnRenamed("item_key", "query_key")
-    vectors = {r["item_key"]: np.array(r["vector"], float) / np.linalg.norm(np.array(r["vector"], float)) for r in rows}
+    vectors = {r["item_key"]: np.array(r["vector"], float) / np.linalg.norm(np.array(r["vector"], float)) for r in rows if r["vector"]}
     found = R.semantic_search(queries, bank, 5, ["grade"], "part_group").collect()
     got = {}
     for r in found:
@@ -127,8 +130,12 @@ def test_search_against_brute_force(tables, spark, monkeypatch):
         keyword.setdefault(r["query_key"], []).append((r["rank"], r["item_key"]))
     for q in rows[:20]:
         allowed = [c for c in rows if c["grade"] == q["grade"] and c["part_group"] != q["part_group"]]
-        best = sorted(allowed, key=lambda c: (-round(float(vectors[q["item_key"]] @ vectors[c["item_key"]]), 6), c["item_key"]))[:5]
-        assert [k for _, k in sorted(got[q["item_key"]])] == [c["item_key"] for c in best]
+        if q["item_key"] in vectors:
+            with_vector = [c for c in allowed if c["item_key"] in vectors]
+            best = sorted(with_vector, key=lambda c: (-round(float(vectors[q["item_key"]] @ vectors[c["item_key"]]), 6), c["item_key"]))[:5]
+            assert [k for _, k in sorted(got[q["item_key"]])] == [c["item_key"] for c in best]
+        else:
+            assert q["item_key"] not in got
         best = sorted(((-round(bm25(q, c), 6), c["item_key"]) for c in allowed))[:5]
         assert [k for _, k in sorted(keyword[q["item_key"]])] == [k for score, k in best if score < 0]
 

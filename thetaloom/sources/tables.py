@@ -120,11 +120,11 @@ group by calibration, t.use_for_scoring, t.shift, 1 + pk % 5""",
 select calibration, count(*) as plausible_values, avg(target_mean - target_sd / theta_sd * theta_mean) as a,
        avg(target_sd / theta_sd) as b
 from v_constants where use_for_scoring group by calibration""",
-    # Items with a text, options and a vector: the retrieval collection.
+    # Items with a text: the retrieval collection. Not every item has a vector.
     "v_bank": """
 select item_key, pk, i.grade, i.calibration, i.part_group, i.irt_model, i.scaled_points, i.slope, i.location, i.guessing,
        i.step1, i.step2, d.text, d.lang, e.embedding
-from v_items i join documents d on i.pk = d.doc_id join embeddings e on i.pk = e.vec_id""",
+from v_items i join documents d on i.pk = d.doc_id left join embeddings e on i.pk = e.vec_id""",
     # Released items: every document is an item.
     "v_released": """
 select doc_id, concat('M', lpad(cast(doc_id as varchar(10)), 6, '0'), case when doc_id % 4 = 1 then 'A' when doc_id % 4 = 2 then 'B' else '' end) as item_id,
