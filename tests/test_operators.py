@@ -221,3 +221,33 @@ def test_embedding_store(spark):
     stale = stored.withColumn("text_sha256", F.sha2(F.lit("gone"), 256))
     assert [r["text"] for r in files.missing_embeddings(texts, stored).collect()] == ["a"]
     assert files.current_embeddings(texts, stored.unionByName(stale)).count() == 1
+
+
+def test_lines_of_a_missing_page(spark):
+    words = spark.createDataFrame([(None, 1.0), (None, 3.0), (None, 9.0), (1, 2.0)], "page int, center double")
+    found = sorted(((r["page"] or 0, r["center"], r["line"]) for r in L.lines(words, "page", "center").collect()))
+    assert found == [(0, 1.0, 0), (0, 3.0, 0), (0, 9.0, 1), (1, 2.0, 0)]
+
+
+def test_missing_groups_stay_in_error_tables(spark):
+    from thetaloom.operators import errors as E
+
+    rows = [(f"i{k}", None if k % 2 else 4, "m", 1, k // 3, float(k * k % 7)) for k in range(24)]
+    items = spark.createDataFrame(rows, "item_key string, grade int, irt_model string, scaled_points int, part_group int, slope double")
+    left_out = E.leave_one_out(items, ["slope"]).collect()
+    assert len(left_out) == 24 and {r["grade"] for r in left_out} == {None, 4}
+    for r in left_out:
+        rest = [x[5] for x in rows if x[1] == r["grade"] and x[4] != r["part_group"]]
+        assert r["peers"] == len(rest) and r["slope_mean"] == pytest.approx(np.mean(rest))
+    assert {r["grade"]: r["items"] for r in E.distribution(items, ["grade"], "slope").collect()} == {None: 12, 4: 12}
+    assert {r["grade"] for r in E.box_stats(items, ["grade"], "slope").collect()} == {None, 4}
+    assert E.distribution_left_out(items, "slope").count() == 24
+
+
+def test_pairs_of_a_leaderboard(spark):
+    from thetaloom.operators import testtaking as T
+
+    rows = spark.createDataFrame([(c, f"i{k}", (c + k) % 2, int((c + k) % 2), 1) for c in range(3) for k in range(4 + c)], "c int, item_key string, points int, full_credit int, max_points int")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (2, 1)], "first int, second int")
+    found = T.paired_rows(rows, pairs, "c").groupBy("first", "second").agg(F.count("*").alias("n"), F.sum(F.col("points_a") - F.col("points_b")).alias("d"))
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 4, 0), (0, 2, 4, 0), (2, 1, 5, -1)]

@@ -1,9 +1,9 @@
 """Bootstrap intervals of a share of points, resampling items.
 
-The caller chooses the method. ``exact``: every replicate draws as many items as there are, with replacement, by an
-integer hash of (replicate, draw), so the result does not depend on partitions or retries; a group's items fit one task,
-as the items of a test do. ``poisson``: every item gets a Poisson(1) weight per replicate from a hash of its key, which
-sums up in one pass over any number of tasks, for groups of any size. The two agree as the number of items grows.
+``poisson``, the default: every item gets a Poisson(1) weight per replicate from a hash of its key. A task adds the weighted
+points of its items to a vector of replicate sums per group, and vectors add up over tasks, so groups may have any size and
+no group is ever in one place. ``exact`` is for groups whose items fit one task, as those of a test: every replicate draws as many items as there are, with replacement, by an
+integer hash of (replicate, draw). Neither depends on partitions or retries, and the two agree as the number of items grows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from thetaloom.session import task_count
 
 REPLICATES = 2000
 SLICES = 16
+HELD = 500
+"""Groups whose vectors a task holds before it hands them on."""
 PRIME = 2_147_483_647
 
 
@@ -53,7 +55,7 @@ def _poisson(uniform: np.ndarray) -> np.ndarray:
 
 
 def bootstrap_interval(
-    df: DataFrame, groups: list[str], item: str, points: str, max_points: str, replicates: int = REPLICATES, method: str = "exact"
+    df: DataFrame, groups: list[str], item: str, points: str, max_points: str, replicates: int = REPLICATES, method: str = "poisson"
 ) -> DataFrame:
     """``ci_low`` and ``ci_high`` of 100 * sum(points) / sum(max_points) per group. For a paired comparison ``points`` is
     the difference of two conditions' points on each item."""
@@ -69,16 +71,22 @@ def bootstrap_interval(
         shares = _resampled(frame["_points"].to_numpy(), frame["_top"].to_numpy(), r)
         return pd.DataFrame({**{name: [frame[name].iloc[0]] * len(r) for name in groups}, "_r": r, "_share": shares})
 
-    # Every group is copied to a few slices of the replicates, so that few large groups still use all tasks.
-    slices = min(SLICES, replicates)
-    copies = rows.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    spread = copies.repartition(task_count(df.sparkSession), *groups, "_slice")
     if method == "exact":
+        # Every group is copied to a few slices of the replicates, so that few large groups still use all tasks.
+        slices = min(SLICES, replicates)
+        copies = rows.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        spread = copies.repartition(task_count(df.sparkSession), *groups, "_slice")
         return _bounds(spread.groupBy(*groups, "_slice").applyInPandas(exact, f"{fields}, _r bigint, _share double"), groups)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         r = np.arange(replicates, dtype=np.int64)
+
+        def handed() -> Iterator[pd.DataFrame]:
+            for key, total in sums.items():
+                yield pd.DataFrame({**dict(zip(groups, key, strict=True)), "_r": r, "_points": total[0], "_top": total[1]})
+            sums.clear()
+
         for batch in batches:
             for key, frame in batch.groupby(groups, dropna=False):
                 total = sums.setdefault(key, np.zeros((2, replicates)))
@@ -86,12 +94,14 @@ def bootstrap_interval(
                     part = frame.iloc[begin : begin + 1000]
                     weights = _poisson(_mix(part["_hash"].to_numpy()[:, None] * 65_537 + r[None, :]) / PRIME)
                     total += part[["_points", "_top"]].to_numpy().T @ weights
-        for key, total in sums.items():
-            yield pd.DataFrame({**dict(zip(groups, key)), "_r": r, "_points": total[0], "_top": total[1]})
+                if len(sums) > HELD:
+                    yield from handed()
+        yield from handed()
 
-    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64("_item"), F.lit(PRIME)))
+    # Items of a group may stand together in few partitions, and the weights are the work.
+    hashed = rows.withColumn("_hash", F.conv(F.substring(F.md5("_item"), 1, 7), 16, 10).cast("bigint")).repartition(task_count(df.sparkSession), "_hash")
     sums = hashed.mapInPandas(partial, f"{fields}, _r bigint, _points double, _top double")
-    return _bounds(sums.groupBy(*groups, "_r").agg((100 * F.sum("_points") / F.sum("_top")).alias("_share")), groups)
+    return _bounds(sums.groupBy(*groups, "_r").agg(F.try_divide(100 * F.sum("_points"), F.sum("_top")).alias("_share")), groups)
 
 
 def _bounds(shares: DataFrame, groups: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaloom.functions.stats import guarded_corr, t_quantile_975
+from thetaloom.operators.joins import same_keys
 from thetaloom.operators.order_stats import average_ranks, quantiles, unique_index
 from thetaloom.session import written
 
@@ -22,7 +23,7 @@ def leave_one_out(items: DataFrame, parameters: list[str], scoring: list[str] =
         sums = [f(name).alias(f"_{prefix}_{kind}_{name}") for name in parameters for kind, f in (("n", F.count), ("sum", F.sum))]
         return items.groupBy(*keys).agg(F.count("*").alias(f"_{prefix}"), *sums)
 
-    joined = items.join(totals(scoring, "all"), scoring).join(totals([*scoring, part], "part"), [*scoring, part])
+    joined = same_keys(same_keys(items, totals(scoring, "all"), scoring), totals([*scoring, part], "part"), [*scoring, part])
     means = {"peers": F.col("_all") - F.col("_part")}
     for name in parameters:
         n = F.col(f"_all_n_{name}") - F.col(f"_part_n_{name}")
@@ -108,9 +109,9 @@ def box_stats(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges of the box."""
     box = quantiles(df, groups, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(box, groups).filter(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = same_keys(df, box, groups).filter(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     whiskers = inside.groupBy(*groups).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("inside"))
-    return box.join(whiskers, groups)
+    return same_keys(box, whiskers, groups)
 
 
 def distribution(df: DataFrame, groups: list[str], value: str, digits: int = 3) -> DataFrame:
@@ -119,7 +120,7 @@ def distribution(df: DataFrame, groups: list[str], value: str, digits: int = 3)
     moments = present.groupBy(*groups).agg(
         F.count("*").alias("items"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max")
     )
-    table = moments.join(quantiles(present, groups, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9}), groups)
+    table = same_keys(moments, quantiles(present, groups, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9}), groups)
     return table.select(*groups, "items", *[F.round(name, digits).alias(name) for name in ("mean", "sd", "min", "p10", "p50", "p90", "max")])
 
 
@@ -133,11 +134,11 @@ def distribution_left_out(
     table = items.filter(F.col(value).isNotNull()).select("item_key", *scoring, part, F.col(value).alias("_v"))
     placed = written(unique_index(table, scoring, "_v", "item_key", "_i"), "placed")
     center = placed.groupBy(*scoring).agg(F.avg("_v").alias("_c"))
-    centered = placed.join(center, scoring).withColumn("_d", F.col("_v") - F.col("_c"))
+    centered = same_keys(placed, center, scoring).withColumn("_d", F.col("_v") - F.col("_c"))
     sums = [F.count("*"), F.sum("_d"), F.sum(F.col("_d") * F.col("_d"))]
     whole = centered.groupBy(*scoring, "_c").agg(*[f.alias(f"_w{i}") for i, f in enumerate(sums)])
     own = centered.groupBy(*scoring, part).agg(*[f.alias(f"_p{i}") for i, f in enumerate(sums)], F.array_sort(F.collect_list("_i")).alias("_out"))
-    groups = own.join(whole, scoring).filter("_w0 > _p0")
+    groups = same_keys(own, whole, scoring).filter("_w0 > _p0")
     n, s1, s2 = (F.col(f"_w{i}") - F.col(f"_p{i}") for i in range(3))
     variance = F.when(n > 1, F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))
     groups = groups.withColumns({"peers": n, "mean": F.col("_c") + s1 / n, "sd": F.sqrt(variance)})
@@ -152,7 +153,7 @@ def distribution_left_out(
         for name, at in position.items()
         for up in (False, True)
     ]
-    lookups = groups.select(*scoring, part, F.inline(F.array(*entries))).join(placed.select(*scoring, "_i", "_v"), [*scoring, "_i"])
+    lookups = same_keys(groups.select(*scoring, part, F.inline(F.array(*entries))), placed.select(*scoring, "_i", "_v"), [*scoring, "_i"])
 
     def interpolated(name: str) -> Column:
         low, high = (F.max(F.when((F.col("_name") == name) & (F.col("_up") == up), F.col("_v"))) for up in (False, True))
@@ -160,6 +161,6 @@ def distribution_left_out(
         return (low + share * (high - low)).alias(name)
 
     values = lookups.groupBy(*scoring, part).agg(*[interpolated(name) for name in wanted])
-    shown = groups.select(*scoring, part, "peers", "mean", "sd").join(values, [*scoring, part])
+    shown = same_keys(groups.select(*scoring, part, "peers", "mean", "sd"), values, [*scoring, part])
     rounded = [F.round(name, digits).alias(name) for name in ("mean", "sd", "min", "p10", "p50", "p90", "max")]
-    return table.join(shown, [*scoring, part]).select("item_key", "peers", *rounded)
+    return same_keys(table, shown, [*scoring, part]).select("item_key", "peers", *rounded)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thetaloom.functions.text import missing_words, squeezed
+from thetaloom.operators.joins import same_keys
 from thetaloom.operators.work import row_index
 from thetaloom.session import spread, written
 
@@ -23,16 +24,16 @@ ITEM_IN_CELL = r"\((M\w+)\)\s*$"
 def line_anchors(words: DataFrame, page: str, center: str, tolerance: float = 4.0) -> DataFrame:
     """(page, center, line) of every distinct center: in order, a center joins the open line if it is less than
     ``tolerance`` below the line's first center. Equal centers are combined before the shuffle; each task then streams
-    through the sorted centers of its pages and keeps only the open line."""
+    through the sorted centers of its pages and keeps only the open line. Words without a page are on one page."""
     centers = words.groupBy(page, center).agg(F.count("*").alias("_n")).select(page, center)
     kind = centers.schema[page].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, anchor, line = None, 0.0, 0
+        current, anchor, line = object(), 0.0, 0
         for batch in batches:
             lines = np.empty(len(batch), dtype=np.int64)
             for i, (key, value) in enumerate(zip(batch[page].to_numpy(), batch[center].to_numpy())):
-                if key != current:
+                if key != current and not (pd.isna(key) and pd.isna(current)):
                     current, anchor, line = key, value, 0
                 elif value - anchor >= tolerance:
                     anchor, line = value, line + 1
@@ -45,7 +46,7 @@ def line_anchors(words: DataFrame, page: str, center: str, tolerance: float = 4.
 
 def lines(words: DataFrame, page: str, center: str, tolerance: float = 4.0) -> DataFrame:
     """``words`` with the number of their line on the page."""
-    return words.join(line_anchors(words, page, center, tolerance), [page, center])
+    return same_keys(words, line_anchors(words, page, center, tolerance), [page, center])
 
 
 def center(low, high) -> Column:

@@ -170,11 +170,14 @@ def quantile_bins(items: DataFrame, rows: DataFrame, value: str, bins: int, by:
     )
 
 
-def paired_counts(rows: DataFrame, first, second, condition: str, names: list[str] = ("points", "full_credit", "max_points")) -> DataFrame:
-    """One row per item that both conditions answered, with both sides' columns."""
-    columns = [F.max(F.when(F.col(condition) == c, F.col(n))).alias(f"{n}_{side}") for side, c in (("a", first), ("b", second)) for n in names]
-    table = rows.filter(F.col(condition).isin(first, second)).groupBy("item_key").agg(*columns)
-    return table.filter(F.col(f"{names[0]}_a").isNotNull() & F.col(f"{names[0]}_b").isNotNull())
+def paired_rows(rows: DataFrame, pairs: DataFrame, condition: str, item: str = "item_key") -> DataFrame:
+    """One row per pair of conditions (first, second) and item that both have, with both sides' points and full credit. The
+    pairs are few; an item's rows meet by (condition, item), so no item and no pair is ever in one place."""
+    sides = []
+    for name, side in (("first", "a"), ("second", "b")):
+        extra = ["max_points"] if side == "a" else []
+        sides.append(rows.select(F.col(condition).alias(name), item, F.col("points").alias(f"points_{side}"), F.col("full_credit").alias(f"full_credit_{side}"), *extra))
+    return pairs.select("first", "second").join(sides[0], "first").join(sides[1], ["second", item])
 
 
 def adjacent_pairs(leaderboard: DataFrame, condition: str, score: str, model: str) -> DataFrame:

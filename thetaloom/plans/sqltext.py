@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 
 def logistic(theta: str, p: str = "") -> str:
     return f"(1e0 / (1e0 + exp(-17e-1 * {p}slope * ({theta} - {p}location))))"
@@ -141,16 +143,21 @@ def normal_cdf(x: str) -> str:
 
 
 def bootstrap(rows: str, groups: list[str], replicates: int = 2000) -> dict[str, str]:
-    """Resampling with replacement: draw j of replicate r is the item at hash(r * n + j) * n / prime."""
+    """Resampling by Poisson weights: an item's weight in replicate r is how many steps of the Poisson(1) distribution lie
+    at or below hash(item * 65537 + r)."""
     p = 2147483647
     keys = ", ".join(groups)
-    same = " and ".join(f"d.{g} = i.{g}" for g in groups)
-    d = ", ".join(f"d.{g}" for g in groups)
+    steps, term, total = [], math.exp(-1.0), math.exp(-1.0)
+    for k in range(1, 12):
+        steps.append(total)
+        term /= k
+        total += term
+    weight = " + ".join(f"case when u >= {step!r}::double then 1 else 0 end" for step in steps)
     return {
-        "b_items": f"select {keys}, points, max_points, row_number() over (partition by {keys} order by item_key) - 1 as i, count(*) over (partition by {keys}) as n from ({rows}) b_rows",
-        "b_k": f"select {keys}, n, r, ((r * n + i) % {p} * 48271 + 11) % {p} as h from b_items cross join range(0, {replicates}) t(r)",
-        "b_1": f"select {keys}, n, r, ((h * h % {p}) * (h * h % {p}) % {p} * h % {p} * 69621 + 13) % {p} as h from b_k",
-        "b_draws": f"select {keys}, r, ((h * h % {p}) * (h * h % {p}) % {p} * h % {p}) * n // {p} as i from b_1",
-        "b_shares": f"select {d}, r, 1e2 * sum(points) / sum(max_points) as share from b_draws d join b_items i on {same} and d.i = i.i group by {d}, r",
+        "b_items": f"select {keys}, points, max_points, cast('0x' || substr(md5(item_key), 1, 7) as bigint) as h from ({rows}) b_rows",
+        "b_k": f"select {keys}, points, max_points, r, ((h * 65537 + r) % {p} * 48271 + 11) % {p} as h from b_items cross join range(0, {replicates}) t(r)",
+        "b_1": f"select {keys}, points, max_points, r, ((h * h % {p}) * (h * h % {p}) % {p} * h % {p} * 69621 + 13) % {p} as h from b_k",
+        "b_u": f"select {keys}, points, max_points, r, ((h * h % {p}) * (h * h % {p}) % {p} * h % {p}) / {p}e0 as u from b_1",
+        "b_shares": f"select {keys}, r, 1e2 * sum(points * w) / nullif(sum(max_points * w), 0) as share from (select *, {weight} as w from b_u) x group by {keys}, r",
         "b_ci": f"select {keys}, quantile_cont(share, 25e-3) as ci_low, quantile_cont(share, 975e-3) as ci_high from b_shares group by {keys}",
     }

@@ -264,12 +264,13 @@ def percent_of_points(t: Tables) -> DataFrame:
     return rounded(t.v_item_level.groupBy("condition_id").agg(T.percent_of_points().alias("percent_of_points"), *by_grade))
 
 
-TAKER_ROWS = "select condition_id, item_key, points, max_points from v_item_level where role = 'test_taker'"
+ALL_ROWS = "select condition_id, item_key, points, max_points from v_item_level"
+TAKER_ROWS = f"{ALL_ROWS} where role = 'test_taker'"
 
 
-@query("f5_bootstrap_interval", "select condition_id, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high from b_ci", S.bootstrap(TAKER_ROWS, ["condition_id"]))
+@query("f5_bootstrap_interval", "select condition_id, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high from b_ci", S.bootstrap(ALL_ROWS, ["condition_id"]))
 def bootstrap(t: Tables) -> DataFrame:
-    return rounded(bootstrap_interval(t.v_item_level.filter("role = 'test_taker'"), ["condition_id"], "item_key", "points", "max_points"))
+    return rounded(bootstrap_interval(t.v_item_level, ["condition_id"], "item_key", "points", "max_points"))
 
 
 def _share(condition: str) -> str:
@@ -424,26 +425,6 @@ def credit_classes(t: Tables) -> DataFrame:
     return t.v_item_level.groupBy("condition_id", T.credit_class("points", "scaled_points").alias("credit")).agg(F.count("*").alias("n"))
 
 
-PAIR_SQL = "select a.item_key, a.points - b.points as points, a.max_points, a.full_credit as fa, b.full_credit as fb, 1 as one from v_item_level a join v_item_level b on a.item_key = b.item_key and a.condition_id = 0 and b.condition_id = 1"
-
-
-@query(
-    "c16_paired_conditions",
-    """select items, difference, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, only_first, only_second from (select 1 as one, count(*) as items, round(1e2 * sum(points) / sum(max_points), 6) as difference,
-       count(case when fa = 1 and fb = 0 then 1 end) as only_first, count(case when fa = 0 and fb = 1 then 1 end) as only_second from o_pair) x join b_ci c on x.one = c.one""",
-    {"o_pair": PAIR_SQL, **S.bootstrap("select * from o_pair", ["one"])},
-)
-def paired_conditions(t: Tables) -> DataFrame:
-    pairs = T.paired_counts(t.v_item_level, 0, 1, "condition_id").withColumns({"points": F.col("points_a") - F.col("points_b"), "one": F.lit(1)})
-    pairs = written(pairs, "pairs")
-    table = pairs.groupBy("one").agg(
-        F.count("*").alias("items"), (100 * F.sum("points") / F.sum("max_points_a")).alias("difference"),
-        F.sum(F.expr("cast(full_credit_a = 1 and full_credit_b = 0 as bigint)")).alias("only_first"),
-        F.sum(F.expr("cast(full_credit_a = 0 and full_credit_b = 1 as bigint)")).alias("only_second"),
-    )
-    return rounded(table.join(bootstrap_interval(pairs, ["one"], "item_key", "points", "max_points_a"), "one").drop("one"))
-
-
 @query(
     "c17_same_text_two_grades",
     """select a.item_key as first_key, b.item_key as second_key, max(a.grade) as first_grade, max(b.grade) as second_grade, """
@@ -480,6 +461,34 @@ def leaderboard_pairs(t: Tables) -> DataFrame:
     return T.adjacent_pairs(board, "condition_id", "s", "model")
 
 
+PAIRS = {
+    "o_board": BOARD_SQL.replace("condition_id, model,", "condition_id, substr(model, 1, 7) as model,"),
+    "o_pairs": """select distinct first, second from (select condition_id as first, lead(condition_id) over (order by s desc, condition_id) as second from o_board
+        union all select a.condition_id, b.condition_id from o_board a join o_board b on a.model = b.model and (a.s > b.s or (a.s = b.s and a.condition_id < b.condition_id))) x where second is not null""",
+    "o_pair": """select first, second, a.item_key, a.points - b.points as points, a.max_points, a.full_credit as fa, b.full_credit as fb from o_pairs
+        join v_item_level a on a.condition_id = first join v_item_level b on b.condition_id = second and a.item_key = b.item_key""",
+}
+
+
+@query(
+    "c16_paired_conditions",
+    """select x.first, x.second, items, difference, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, only_first, only_second from (
+       select first, second, count(*) as items, round(1e2 * sum(points) / sum(max_points), 6) as difference,
+       count(case when fa = 1 and fb = 0 then 1 end) as only_first, count(case when fa = 0 and fb = 1 then 1 end) as only_second from o_pair group by 1, 2) x
+       join b_ci c on x.first = c.first and x.second = c.second""",
+    {**PAIRS, **S.bootstrap("select * from o_pair", ["first", "second"])},
+)
+def paired_conditions(t: Tables) -> DataFrame:
+    """Every pair that the leaderboard compares, on the items that both have: one table, one aggregation, one bootstrap."""
+    pairs = written(T.paired_rows(t.v_item_level, leaderboard_pairs(t), "condition_id"), "pairs")
+    pairs = pairs.withColumn("points", F.col("points_a") - F.col("points_b"))
+    table = pairs.groupBy("first", "second").agg(
+        F.count("*").alias("items"), F.try_divide(100 * F.sum("points"), F.sum("max_points")).alias("difference"),
+        F.count_if(F.expr("full_credit_a = 1 and full_credit_b = 0")).alias("only_first"), F.count_if(F.expr("full_credit_a = 0 and full_credit_b = 1")).alias("only_second"),
+    )
+    return rounded(table.join(bootstrap_interval(pairs, ["first", "second"], "item_key", "points", "max_points"), ["first", "second"]))
+
+
 @query(
     "i4_item_scores_wide",
     "select i.calibration, i.item_key, i.location, " + ", ".join(f'max(case when condition_id = {c} then points end) as "{c}"' for c in range(10)) + " from v_items i join v_item_level l on i.item_key = l.item_key group by 1, 2, 3",
