@@ -109,6 +109,18 @@ def test_secrets(spark):
     assert secrets.scanned(rows.limit(0), "doc_id", "text", "source", F.col("lang")).count() == 0
 
 
+def test_long_runs_are_read_once(spark):
+    import time
+
+    texts = ["g" * 1_000_000, "eyJ" * 330_000, "g" * 500_000 + "://user:password12@host eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"]
+    rows = spark.createDataFrame([(i, t, "o", "r") for i, t in enumerate(texts)], "doc_id int, text string, source string, repo string")
+    secrets.scanned(rows.limit(0), "doc_id", "text", "source", F.col("repo")).collect()
+    started = time.time()
+    found = {r.id: [x.kind for x in r.spans] for r in secrets.scanned(rows, "doc_id", "text", "source", F.col("repo")).collect()}
+    assert found[0] == [] and found[1] == [] and found[2] == ["login", "webtoken"]
+    assert time.time() - started < 30
+
+
 def test_owned_and_copied_values(spark):
     own, copied, token = "password=Zk3vQ9xLm2Tt", "password=Aa1Bb2Cc3Dd4Ee", "ghp_0123456789abcdefghijABCDEFGHIJ"
     rows = [(i, f"é😀 {copied} end", f"owner{i}", "r", "kept") for i in range(6)] + [(10, f"{own} and {token} x", "owner0", "r", "kept"), (11, None, None, None, None), (11, token, "owner1", "r", "kept")]

@@ -6,7 +6,8 @@ live. Candidates of the base kinds always stay; further kinds, whose patterns al
 live.
 
 Places come from the texts between the matches: the k-th match starts after the first k gaps and k - 1 matches. They are
-summed in exploded rows, so a text may have any number of matches.
+summed in exploded rows, so a text may have any number of matches. The patterns read a run of any length once or twice, so a
+very long text costs in proportion. Ties don't arise: spans are ordered by start and kind. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ BASE = [
 FURTHER = [
     ("prefixed", r"(?:gh[pousr]_|xox[abprs]-|sk-|AIza|glpat-)[A-Za-z0-9_-]{16,}", 0, 20),
     ("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})", 1, 20),
-    ("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{8,})@", 1, 8),
+    # Both begin at the left end of a run and don't step back into it, so a run of any length is read once.
+    ("webtoken", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 28),
+    ("login", r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s:/@]++:([^\s:/@]{8,}+)@", 1, 8),
 ]
 MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 """A value of more owners or repositories than these is an example."""
