@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thetaloom.operators import comparison as C
 from thetaloom.operators import errors as E
 from thetaloom.operators import order_stats as O
+from thetaloom.sources.files import DataError
 
 RUNS = ["north", "south", "west"]
 ITEMS = [f"q{i:02d}" for i in range(14)]
@@ -143,6 +144,9 @@ def test_choices_on_scales(errors):
         assert r["calibrated_value"] == nearest(TRUTH[r["item_key"], r["parameter"]], r["parameter"])
     # The most likely value must be one of the scale; here it never is, unless it is put there.
     assert C.scale_choices(errors, SCALES, mode="map").filter("on_scale").count() == 0
+    C.require_on_scale(C.scale_choices(errors, SCALES))
+    with pytest.raises(DataError, match="not on the comparison's scale"):
+        C.require_on_scale(C.scale_choices(errors, SCALES, mode="map"))
     placed = errors.withColumn("map", F.when(F.col("parameter") == "slope", 0.7).otherwise(-0.9))
     exact = C.scale_choices(placed, SCALES, mode="map")
     assert exact.filter("not on_scale").count() == 0 and {r["value"] for r in exact.select("value").distinct().collect()} == {0.7, -0.9}

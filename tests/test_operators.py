@@ -1,5 +1,7 @@
 """Scoring, the ledger, search and layout on small fixtures, against brute force where there is no SQL."""
 
+import datetime as dt
+import hashlib
 import math
 import random
 
@@ -16,6 +18,7 @@ from thetaloom.operators import testtaking as T
 from thetaloom.operators import work as W
 from thetaloom.session import new_path
 from thetaloom.sources import files
+from thetaloom.sources.vectors import VectorStore
 
 
 def test_score_answers(spark):
@@ -206,21 +209,98 @@ def test_files_check_their_rules(spark, tables):
         files.write_items(records.drop("stem"), new_path(spark, "items"))
 
 
-def test_bundle_keeps_infinity(spark):
-    df = spark.createDataFrame([("perfect score", math.inf), ("zero score", -math.inf), (None, 0.5)], "mle_note string, theta_mle double")
+def test_bundle_restores_types(spark):
+    df = spark.createDataFrame(
+        [("high", math.inf, 1, "", dt.datetime(2020, 1, 2, 3, 4, 5, 678901)), ("none", -math.inf, None, "a\nb", None), (None, 0.1 + 0.2, 2**60, None, None)],
+        "effort string, theta double, n bigint, note string, at timestamp",
+    ).withColumns({"shares": F.array(F.col("theta"), F.lit(None)), "small": F.col("n").cast("decimal(30,3)")})
+    levels = ["none", "low", "high"]
     bundle = files.Bundle(spark, new_path(spark, "bundle"))
-    bundle.write({"overall": df})
-    assert sorted(map(tuple, bundle.read("overall").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
-    emptied = df.withColumn("theta_mle", F.when(F.abs("theta_mle") < 10, F.col("theta_mle")))
-    assert sorted(map(tuple, files.restore_infinite(emptied).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
-
-
-def test_embedding_store(spark):
+    bundle.write({"board": df, "empty": df.limit(0)}, {"board": {"effort": levels}})
+    again = files.Bundle(spark, bundle.root)
+    board = again.read("board")
+    assert board.schema.simpleString() == df.schema.simpleString() and again.read("empty").count() == 0
+    assert sorted(map(tuple, board.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert again.levels("board") == {"effort": levels} and again.levels("empty") == {}
+    places = {r["effort"]: r["place"] for r in board.select("effort", files.level_place(F.col("effort"), levels).alias("place")).collect()}
+    assert places == {"none": 1, "high": 3, None: None}
+    with pytest.raises(files.DataError, match="beyond its levels"):
+        bundle.write({"board": df}, {"board": {"effort": ["none"]}})
+
+
+def test_missing_embeddings(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
     stored = spark.createDataFrame([(1.0,)], "x double").select(F.sha2(F.lit("b"), 256).alias("text_sha256"), F.array("x").alias("embedding"))
-    stale = stored.withColumn("text_sha256", F.sha2(F.lit("gone"), 256))
     assert [r["text"] for r in files.missing_embeddings(texts, stored).collect()] == ["a"]
-    assert files.current_embeddings(texts, stored.unionByName(stale)).count() == 1
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame(list(rows.items()), "text string, embedding array<float>").select(F.sha2("text", 256).alias("text_sha256"), "embedding")
+
+
+def test_vector_store(spark):
+    path = new_path(spark, "vectors")
+    identity = {"model": "m", "dimensions": 2}
+    store = VectorStore(spark, path, identity)
+    assert store.read().count() == 0
+    texts = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("a",)], "text string")
+    assert sorted(r["text"] for r in store.missing(texts).collect()) == ["a", "b", "c"]
+
+    def stored():
+        names = {hashlib.sha256(name.encode()).hexdigest(): name for name in "abcd"}
+        return {names[r["text_sha256"]]: list(r["embedding"]) for r in VectorStore(spark, path, identity).read().collect()}
+
+    store.add(vectors_of(spark, {"a": [1.0, 0.0], "b": [0.0, 1.0]}))
+    store.add(vectors_of(spark, {"b": [5.0, 5.0], "d": [2.0, 2.0]}))
+    assert stored() == {"a": [1.0, 0.0], "b": [0.0, 1.0], "d": [2.0, 2.0]}
+    store.add(vectors_of(spark, {"b": [6.0, 6.0]}), replace=True)
+    assert stored()["b"] == [6.0, 6.0]
+    assert [r["text"] for r in store.missing(texts).collect()] == ["c"]
+    before = store.read()
+    store.compact(texts)
+    assert stored() == {"a": [1.0, 0.0], "b": [6.0, 6.0]} and before.count() == 3
+    store.add(vectors_of(spark, {}))
+    assert stored() == {"a": [1.0, 0.0], "b": [6.0, 6.0]}
+
+
+def test_vector_store_refuses(spark):
+    path = new_path(spark, "vectors")
+    store = VectorStore(spark, path, {"model": "m", "dimensions": 2})
+    store.add(vectors_of(spark, {"a": [1.0, 0.0]}))
+    with pytest.raises(files.DataError, match="another model.*'dimensions', 2, 3"):
+        VectorStore(spark, path, {"model": "m", "dimensions": 3})
+    with pytest.raises(files.DataError, match="another length"):
+        store.add(vectors_of(spark, {"b": [1.0]}))
+    with pytest.raises(files.DataError, match="another length"):
+        store.add(vectors_of(spark, {"b": None}))
+    with pytest.raises(files.DataError, match="repeat"):
+        store.add(vectors_of(spark, {"b": [1.0, 2.0]}).unionAll(vectors_of(spark, {"b": [1.0, 2.0]})))
+    assert store.read().count() == 1
+
+
+def test_run_report_counts_what_waits(spark):
+    submitted = spark.createDataFrame(
+        [(1, "r", "b1", "completed"), (2, "r", "b1", "completed"), (3, "r", "b2", "in_progress"), (4, None, "b1", "completed")],
+        "request_id int, run string, batch_id string, batch_status string",
+    )
+    requests = spark.createDataFrame([(1, "r"), (2, "r"), (3, "r"), (4, None), (5, None), (6, "s")], "request_id int, run string")
+    results = spark.createDataFrame([(1, 200, None, None, 0.5), (4, 500, None, None, None)], "request_id int, status_code int, error string, unusable string, cost_usd double")
+    outcomes = W.collected(submitted, requests.select("request_id"), results)
+    report = {r["run"]: r for r in W.run_report(outcomes, "run", submitted, requests).collect()}
+    names = ["requested", "saved", "failed", "in_batches", "missing", "cost_usd"]
+    assert [report["r"][n] for n in names] == [2, 1, 1, 1, 1, 0.5]
+    assert [report[None][n] for n in names] == [1, 0, 1, 0, 2, None]
+    assert [report["s"][n] for n in names] == [0, 0, 0, 0, 1, None]
+
+
+def test_agreement_is_required(spark):
+    rows = [(f"i{k}", "g", "2PL", 1.0, k / 10, 90.0 - k) for k in range(10)]
+    items = spark.createDataFrame(rows, "item_key string, calibration string, irt_model string, slope double, location double, percent_correct double")
+    items = items.withColumns({"guessing": F.lit(None).cast("double"), **{f"step{k}": F.lit(None).cast("double") for k in (1, 2, 3)}})
+    T.require_agreement(T.implied_percent_correct(items, ["calibration"]), ["calibration"])
+    turned = items.withColumn("percent_correct", 100 - F.col("percent_correct"))
+    with pytest.raises(files.DataError, match="correlate below"):
+        T.require_agreement(T.implied_percent_correct(turned, ["calibration"]), ["calibration"])
 
 
 def test_lines_of_a_missing_page(spark):

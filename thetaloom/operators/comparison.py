@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from thetaloom.functions.posterior import nearest_position
 from thetaloom.functions.stats import t_quantile_975, t_two_sided
+from thetaloom.sources.files import require_empty
 
 BASELINES = ["calibration_mean", "reference_mean"]
 PAIR = ["item_key", "parameter"]
@@ -52,9 +53,13 @@ def stacked(errors: DataFrame, runs: list[str], reference_run: str | None = None
     return rows.withColumns({"error": error, "abs_error": F.abs(error)})
 
 
-def wide(errors: DataFrame, ids: list[str], runs: list[str], values: tuple[str, ...] = ("predicted", "error"), run: str = "run") -> DataFrame:
-    """One row per ``ids`` with each run's values in columns ``<value> (<run>)``, NULL where the run has none."""
-    columns = [F.max(F.when(F.col(run) == name, F.col(value))).alias(f"{value} ({name})") for value in values for name in runs]
+def wide(
+    errors: DataFrame, ids: list[str], runs: list[str], values: tuple[str, ...] = ("predicted", "error"), run: str = "run", first: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per ``ids`` with each run's values in columns ``<value> (<run>)``, NULL where the run has none. ``first`` are
+    columns taken from the first run's rows, such as the baselines."""
+    firsts = [F.max(F.when(F.col(run) == runs[0], F.col(name))).alias(name) for name in first]
+    columns = firsts + [F.max(F.when(F.col(run) == name, F.col(value))).alias(f"{value} ({name})") for value in values for name in runs]
     return errors.groupBy(*ids).agg(*columns)
 
 
@@ -172,6 +177,12 @@ def scale_choices(errors: DataFrame, scales: dict[str, list[float]], mode: str |
     ).drop("_grid")
 
 
+def require_on_scale(choices: DataFrame) -> None:
+    """Raise where a most likely value is none of its parameter's scale, or a prediction is missing: the scales are others."""
+    wrong = choices.filter(~F.col("on_scale") | F.col("category").isNull())
+    require_empty(wrong.groupBy("run", "parameter").count(), "Values that are not on the comparison's scale (run, parameter, items)")
+
+
 def category_counts(choices: DataFrame, groups: list[str], first: str = "calibrated_category", second: str = "category") -> DataFrame:
     """Counts of each pair of categories per group: all agreement measures follow from this small table."""
     return choices.filter(F.col(second).isNotNull()).groupBy(*groups, first, second).agg(F.count("*").alias("n"))

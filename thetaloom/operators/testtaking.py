@@ -11,6 +11,7 @@ from thetaloom.functions.stats import guarded_corr
 from thetaloom.operators.integrity import PART_CATEGORY
 from thetaloom.operators.order_stats import quantiles
 from thetaloom.session import spread
+from thetaloom.sources.files import require_empty
 
 NO_RESPONSE = "(no response)"
 
@@ -133,16 +134,24 @@ def model_checks(items: DataFrame, low: float = -4.0, high: float = 4.0, step: f
     return table.withColumn("passes", close & (F.col("least_probability") >= 0) & (F.col("_wrong") == 0)).drop("_wrong")
 
 
+LEAST_CORRELATION = 0.8
+
+
 def implied_percent_correct(items: DataFrame, groups: list[str], percent: str = "percent_correct", step: float = THETA_STEP) -> DataFrame:
     """The percent correct that each dichotomous item's parameters imply under a standard normal ability, against the
-    observed one: items, correlation and both means per group. The caller fails below a correlation of 0.8."""
+    observed one: items, correlation and both means per group, and whether the correlation reaches ``LEAST_CORRELATION``."""
     rows = with_grid(items.filter((F.col("irt_model") != "GPCM") & F.col(percent).isNotNull()), step=step)
     weight = F.exp(-F.col("theta") * F.col("theta") / 2)
     implied = rows.groupBy("item_key", *groups, percent).agg((100 * F.sum(ItemModel().correct("theta") * weight) / F.sum(weight)).alias("implied"))
     return implied.groupBy(*groups).agg(
         F.count("*").alias("items"), guarded_corr(F.col("implied"), F.col(percent)).alias("correlation"),
         F.avg("implied").alias("mean_implied"), F.avg(percent).alias("mean_observed"),
-    )
+    ).withColumn("agrees", F.coalesce(F.col("correlation") >= LEAST_CORRELATION, F.lit(False)))
+
+
+def require_agreement(implied: DataFrame, groups: list[str]) -> None:
+    """Raise where a group's implied and observed percents do not agree: its parameters or their scale are wrong."""
+    require_empty(implied.filter("not agrees").select(*groups, "items", "correlation"), f"Implied and observed percents correlate below {LEAST_CORRELATION}")
 
 
 def percent_of_points(where: Column | None = None) -> Column:

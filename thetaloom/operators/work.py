@@ -139,13 +139,20 @@ def collected(submitted: DataFrame, requests: DataFrame, results: DataFrame) ->
     return joined.withColumn("outcome", outcome).drop("_current")
 
 
-def run_report(outcomes: DataFrame, run: str) -> DataFrame:
-    """Per run: requests, saved, failed, unusable, changed, cost, and saved outputs without a reported cost."""
+def run_report(outcomes: DataFrame, run: str, submitted: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per run: collected requests as saved, failed, unusable or changed, their cost, and saved outputs without a reported cost;
+    ``in_batches``, submitted requests whose batch is still open; and ``missing``, today's requests that have no saved output
+    and are in no open batch, which a next run sends. A run that shows in any of the tables has a row."""
     is_ = lambda text: F.col("outcome").startswith(text)
     count = lambda test: F.sum(test.cast("bigint"))
-    return outcomes.groupBy(run).agg(
-        F.count("*").alias("requested"), count(is_("saved")).alias("saved"), count(is_("failed") | is_("no result")).alias("failed"),
-        count(is_("unusable")).alias("unusable"), count(is_("not saved")).alias("changed"), F.sum("cost_usd").alias("cost_usd"),
+    still_open = submitted.filter(~F.col("batch_status").isin(TERMINAL))
+    rest = pending(requests, outcomes.filter(is_("saved")), still_open)
+    waiting = still_open.select(run, F.lit("in a batch").alias("outcome")).unionAll(rest.select(run, F.lit("missing").alias("outcome")))
+    rows = outcomes.select(run, "outcome", "cost_usd").unionByName(waiting, allowMissingColumns=True)
+    return rows.groupBy(run).agg(
+        count(~F.col("outcome").isin("in a batch", "missing")).alias("requested"), count(is_("saved")).alias("saved"),
+        count(is_("failed") | is_("no result")).alias("failed"), count(is_("unusable")).alias("unusable"), count(is_("not saved")).alias("changed"),
+        count(is_("in a batch")).alias("in_batches"), count(is_("missing")).alias("missing"), F.sum("cost_usd").alias("cost_usd"),
         count(is_("saved") & F.col("cost_usd").isNull()).alias("uncosted"),
     )
 

@@ -16,6 +16,7 @@ from thetaloom.plans.registry import query
 from thetaloom.session import new_path
 from thetaloom.sources import files
 from thetaloom.sources.tables import Tables
+from thetaloom.sources.vectors import VectorStore, hashed
 
 
 def options_of():
@@ -98,15 +99,30 @@ def saved_outputs(t: Tables) -> DataFrame:
     return saved.select("request_id", "item_key", "cost_usd", F.endswith("file_name", F.lit(".json")).alias("has_file"))
 
 
-@query("a5_embedding_store", "select count(*) as vectors, count(distinct sha256(cast(vec_id as varchar))) as texts from embeddings")
+STORED_SQL = "select text, vec_id, embedding from documents join embeddings on doc_id = vec_id where text is not null"
+IDENTITY = {"model": "model-a", "dimensions": 64}
+
+
+@query(
+    "a5_embedding_store",
+    """select sha256(text) as text_sha256, len(arg_min(embedding, vec_id)) as dimensions, round(cast(arg_min(embedding, vec_id)[1] as double), 6) as first_value, round(cast(arg_min(embedding, vec_id)[64] as double), 6) as last_value
+       from o_stored where text in (select text from documents where lang <> 'fr') group by text""",
+    {"o_stored": STORED_SQL},
+)
 def embedding_store(t: Tables) -> DataFrame:
-    """Vectors stored by text hash and model identity; one identity is read back from its partition only."""
+    """Vectors by text hash of one model. Some texts are stored with an outdated vector, which the second write replaces;
+    the third changes none; texts of one language are stale then and go. The rest is read by a store opened anew."""
     path = new_path(t.spark, "vectors")
-    hashed = t.embeddings.select(F.sha2(F.col("vec_id").cast("string"), 256).alias("text_sha256"), "embedding")
-    files.write_embeddings(hashed.withColumn("identity", F.lit("model-a/64")), path)
-    files.write_embeddings(hashed.withColumn("identity", F.lit("model-b/64")), path)
-    stored = files.read_embeddings(t.spark, path, "model-a/64")
-    return stored.agg(F.count("*").alias("vectors"), F.count_distinct("text_sha256").alias("texts"))
+    current = hashed(t.sql(STORED_SQL)).groupBy("text_sha256").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    outdated = current.withColumn("embedding", F.reverse("embedding"))
+    store = VectorStore(t.spark, path, IDENTITY)
+    store.add(outdated.filter("text_sha256 < '8'"))
+    store.add(current, replace=True)
+    store.add(outdated)
+    store.compact(t.documents.filter("lang <> 'fr'"))
+    ends = {"first_value": 1, "last_value": -1}
+    values = [F.round(F.element_at("embedding", place).cast("double"), 6).alias(name) for name, place in ends.items()]
+    return VectorStore(t.spark, path, IDENTITY).read().select("text_sha256", F.size("embedding").alias("dimensions"), *values)
 
 
 @query("a6_items_writer", "select count(*) as records, cast(sum(length(stem)) as bigint) as characters from v_released")

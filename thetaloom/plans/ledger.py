@@ -16,7 +16,7 @@ from thetaloom.plans.items import GUIDES_SQL, PARTS_SQL, options_of, tasks
 from thetaloom.plans.prediction import SCALES, rounded
 from thetaloom.plans.registry import query
 from thetaloom.session import new_path
-from thetaloom.sources.files import Bundle
+from thetaloom.sources.files import Bundle, level_place
 from thetaloom.sources.tables import Tables
 from thetaloom.streaming.collect import collect_stream, outcomes
 
@@ -438,14 +438,21 @@ def reconciled_submissions(t: Tables) -> DataFrame:
     return W.reconcile(t.sql(SUBMISSIONS_SQL), t.sql(CANDIDATES_SQL), t.sql(KNOWN_SQL)).select("submission_id", "action", "batch_id")
 
 
+REPORTED_SQL = f"""select run_id, outcome, cost_usd from ({OUTCOME_SQL}) o
+    union all select run_id, 'in a batch', null from o_sub where batch_status = 'in_progress'
+    union all select run_id, 'missing', null from v_requests where request_id not in (select request_id from ({OUTCOME_SQL}) o where outcome = 'saved')
+        and request_id not in (select request_id from o_sub where batch_status = 'in_progress')"""
+
+
 @query(
     "k3_run_report",
-    f"""select run_id, count(*) as requested, count(case when outcome = 'saved' then 1 end) as saved, count(case when outcome = 'failed' or outcome like 'no result%' then 1 end) as failed, count(case when outcome = 'unusable' then 1 end) as unusable,
-        count(case when outcome like 'not saved%' then 1 end) as changed, round(sum(cost_usd), 4) as cost_usd, count(case when outcome = 'saved' and cost_usd is null then 1 end) as uncosted from ({OUTCOME_SQL}) o group by run_id""",
-    COLLECT,
+    """select run_id, count(case when outcome not in ('in a batch', 'missing') then 1 end) as requested, count(case when outcome = 'saved' then 1 end) as saved, count(case when outcome = 'failed' or outcome like 'no result%' then 1 end) as failed,
+        count(case when outcome = 'unusable' then 1 end) as unusable, count(case when outcome like 'not saved%' then 1 end) as changed, count(case when outcome = 'in a batch' then 1 end) as in_batches, count(case when outcome = 'missing' then 1 end) as missing,
+        round(sum(cost_usd), 4) as cost_usd, count(case when outcome = 'saved' and cost_usd is null then 1 end) as uncosted from o_reported group by run_id""",
+    {**COLLECT, "o_reported": REPORTED_SQL},
 )
 def run_report(t: Tables) -> DataFrame:
-    return rounded(W.run_report(batch_outcomes(t), "run_id"), 4)
+    return rounded(W.run_report(batch_outcomes(t), "run_id", t.sql(SUBMITTED_SQL), t.v_requests), 4)
 
 
 @query("k4_open_request_ids", "select batch_id, cast(request_id as varchar) as request_id from o_sub where batch_status = 'in_progress'", COLLECT)
@@ -456,10 +463,53 @@ def open_request_ids(t: Tables) -> DataFrame:
     return W.open_request_ids(batches)
 
 
-@query("a7_result_bundle", "select (select count(*) from v_requests) as requests, (select count(*) from v_conditions) as conditions")
+EFFORTS = ["none", "low", "medium", "high"]
+MODELS = ["2PL", "3PL", "GPCM"]
+BUNDLE = {
+    "o_conditions": "select condition_id, role, model, provider, effort from v_conditions",
+    "o_requests": "select request_id, schema_key, item_key, run_id from v_requests",
+    "o_items": "select item_key, irt_model, scaled_points, slope, location, guessing, step1, step2 from v_items",
+    "o_estimates": """select respondent, calibration, sum(score) as points, case when sum(score) = 0 then cast('-Infinity' as double) when sum(score) = sum(scaled_points) then cast('Infinity' as double)
+        else ln(sum(score) * 1e0 / (sum(scaled_points) - sum(score))) end as estimate from v_scores group by 1, 2""",
+    "o_constants": "select calibration, plausible_values, a, b from v_scale",
+}
+
+
+@query(
+    "a7_result_bundle",
+    """select 'conditions' as name, cast(condition_id as varchar) as row_key, concat(role, ' of ', model, ' by ', provider) as text, case effort when 'none' then 1 when 'high' then 4 end as place, cast(null as double) as number, cast(null as varchar) as infinite from o_conditions
+       union all select 'requests', cast(request_id as varchar), concat(schema_key, ' ', item_key), null, run_id, null from o_requests
+       union all select 'items', item_key, irt_model, case irt_model when '2PL' then 1 when '3PL' then 2 else 3 end, round(slope + location + coalesce(guessing, 10) + coalesce(step1 * step2, 20), 6), null from o_items
+       union all select 'estimates', concat(cast(respondent as varchar), ' ', calibration), cast(points as varchar), null, case when not isinf(estimate) then round(estimate, 6) end, case when estimate = cast('Infinity' as double) then 'above' when isinf(estimate) then 'below' end from o_estimates
+       union all select 'constants', calibration, cast(plausible_values as varchar), null, round(a + b, 6), null from o_constants""",
+    BUNDLE,
+)
 def result_bundle(t: Tables) -> DataFrame:
-    """Named tables written under one root and read back."""
+    """Result tables through a text format: their rows, the places of ordered categories, infinite estimates, missing values."""
     bundle = Bundle(t.spark, new_path(t.spark, "bundle"))
-    bundle.write({"requests": t.v_requests, "conditions": t.v_conditions})
-    requests, conditions = bundle.read("requests"), bundle.read("conditions")
-    return requests.agg(F.count("*").alias("requests")).join(conditions.agg(F.count("*").alias("conditions")), F.lit(True))
+    names = [name.removeprefix("o_") for name in BUNDLE]
+    bundle.write(
+        {name: t.sql(BUNDLE[f"o_{name}"]) for name in names},
+        {"conditions": {"effort": EFFORTS, "role": ["student", "test_taker"]}, "items": {"irt_model": MODELS}},
+    )
+    place = lambda name, column: level_place(F.col(column), bundle.levels(name)[column])
+    infinite = F.abs("estimate") == float("inf")
+    number = F.col("slope") + F.col("location") + F.coalesce("guessing", F.lit(10)) + F.coalesce(F.col("step1") * F.col("step2"), F.lit(20))
+    # Per table: row_key, text, place, number, infinite.
+    rows = {
+        "conditions": ("condition_id", F.concat("role", F.lit(" of "), "model", F.lit(" by "), "provider"), place("conditions", "effort"), None, None),
+        "requests": ("request_id", F.concat_ws(" ", "schema_key", "item_key"), None, F.col("run_id"), None),
+        "items": ("item_key", F.col("irt_model"), place("items", "irt_model"), number, None),
+        "estimates": (
+            F.concat_ws(" ", "respondent", "calibration"), F.col("points"), None, F.when(~infinite, F.col("estimate")),
+            F.when(infinite, F.when(F.col("estimate") > 0, "above").otherwise("below")),
+        ),
+        "constants": ("calibration", F.col("plausible_values"), None, F.col("a") + F.col("b"), None),
+    }
+    columns = {"row_key": "string", "text": "string", "place": "int", "number": "double", "infinite": "string"}
+    long = None
+    for name, values in rows.items():
+        cells = [(F.col(v) if isinstance(v, str) else F.lit(v)).cast(kind).alias(column) for v, (column, kind) in zip(values, columns.items(), strict=True)]
+        table = bundle.read(name).select(F.lit(name).alias("name"), *cells)
+        long = table if long is None else long.unionAll(table)
+    return rounded(long)

@@ -237,12 +237,16 @@ def stacked_conditions(t: Tables) -> DataFrame:
 
 @query(
     "i3_wide_by_run",
-    f"""select item_key, parameter, round(calibrated, 6) as calibrated, {', '.join(f'''round(max(case when run = '{r}' then predicted end), 6) as "predicted ({r})", round(max(case when run = '{r}' then predicted - calibrated end), 6) as "error ({r})" ''' for r in RUNS)}
-        from v_errors group by item_key, parameter, v_errors.calibrated""",
+    f"""select item_key, grade, parameter, round(calibrated, 6) as calibrated, {', '.join(f"round(max(case when run = '{RUNS[0]}' then {name} end), 6) as {name}" for name in C.BASELINES)},
+        {', '.join(f'''round(max(case when run = '{r}' then predicted end), 6) as "predicted ({r})", round(max(case when run = '{r}' then predicted - calibrated end), 6) as "error ({r})" ''' for r in RUNS)}
+        from o_err where item_key in (select item_key from o_common) group by item_key, grade, parameter, o_err.calibrated""",
+    STACKED,
 )
 def wide_by_run(t: Tables) -> DataFrame:
-    with_error = t.v_errors.withColumn("error", F.col("predicted") - F.col("calibrated"))
-    return rounded(C.wide(with_error, ["item_key", "parameter", "calibrated"], RUNS))
+    """The common items with the calibrated value, the baselines as the first run has them, and each run's value and error."""
+    rows = written(errors(t), "errors")
+    common = rows.join(C.common_items(rows, len(RUNS)), "item_key", "left_semi")
+    return rounded(C.wide(common, ["item_key", "grade", "parameter", "calibrated"], RUNS, first=tuple(C.BASELINES)))
 
 
 @query("i7_stacked_predictions", "select run, item_key, grade, irt_model, round(slope_predicted, 6) as slope_predicted, round(location_predicted, 6) as location_predicted, prompt_tokens, cost_usd from v_predictions")
@@ -410,6 +414,11 @@ def scale_agreement(t: Tables) -> DataFrame:
     return rounded(C.agreement(choices(t), ["parameter", "run"]))
 
 
+@query("f9_scale_agreement_by_grade", _agreement_sql("parameter, run, grade", "calibrated_category", "category", "select * from o_pick"), CHOICES)
+def scale_agreement_by_grade(t: Tables) -> DataFrame:
+    return rounded(C.agreement(choices(t), ["parameter", "run", "grade"]))
+
+
 @query(
     "f9_best_constant",
     """select parameter, max(exact) as baseline_exact, max(near) as baseline_within_one from (
@@ -503,11 +512,14 @@ POSTERIOR = {
 }
 
 
-def posteriors(t: Tables) -> DataFrame:
+def posteriors(t: Tables, probabilities: bool = False) -> DataFrame:
+    """The posterior of each run's answer, and on request the probabilities, scaled to sum to 1, with the confidence."""
     counts = [F.coalesce(F.sum(F.when(F.col("position") == i, F.col("probability"))), F.lit(0.0)) for i in range(1, 8)]
     values = F.array(*[F.lit(i / 2 - 2) for i in range(1, 8)])
-    answers = t.v_probabilities.groupBy("run", "item_key").agg(F.array(*counts).alias("probabilities"))
-    return answers.select("run", "item_key", posterior(F.col("probabilities"), values).alias("_p")).select("run", "item_key", "_p.*")
+    answers = t.v_probabilities.groupBy("run", "item_key").agg(F.array(*counts).alias("_said"), F.sum("probability").alias("_sum"))
+    beside = [F.transform("_said", lambda p: p / F.col("_sum")).alias("probabilities"), (F.col("_sum") / (F.col("_sum") + 1)).alias("confidence")]
+    rows = answers.select("run", "item_key", posterior(F.col("_said"), values).alias("_p"), *beside)
+    return rows.select("run", "item_key", "_p.*", *(["probabilities", "confidence"] if probabilities else []))
 
 
 @query("g10_posterior", "select run, item_key, map, round(map_probability, 6) as map_probability, round(eap, 6) as eap, median, round(sd, 6) as sd from o_post", POSTERIOR)
@@ -515,11 +527,52 @@ def posterior_of_answers(t: Tables) -> DataFrame:
     return rounded(posteriors(t))
 
 
-@query("i9_posterior_rows", "select p.run, p.item_key, p.map, round(p.eap, 6) as eap, round(i.location, 6) as calibrated from o_post p join v_items i on p.item_key = i.item_key where p.map is not null", POSTERIOR)
+PLACES = range(1, 8)
+# The answers' posteriors beside the runs that give one number: a run's choice is its most likely value where it has one.
+ANSWERED = {
+    **POSTERIOR,
+    "o_said": """select concat('answers ', run) as run, item_key, eap as predicted, map from o_post
+        union all select run, item_key, predicted, null from v_errors where parameter = 'location'""",
+    "o_place": f"select * from (values {', '.join(f'({i}, {i / 2 - 2})' for i in PLACES)}) s(place, value)",
+    "o_chosen": """select run, s.item_key, arg_min(p.place, struct_pack(d := abs(p.value - coalesce(map, predicted)), p := p.place)) as category,
+        arg_min(p.place, struct_pack(d := abs(p.value - i.location), p := p.place)) as calibrated_category
+        from o_said s join v_items i on s.item_key = i.item_key cross join o_place p group by 1, 2""",
+}
+
+
+@query(
+    "f8_scale_choices_of_answers",
+    """select run, item_key, category, calibrated_category, a.value, b.value as calibrated_value from o_chosen c
+       join o_place a on c.category = a.place join o_place b on c.calibrated_category = b.place""",
+    ANSWERED,
+)
+def scale_choices_of_answers(t: Tables) -> DataFrame:
+    """Choices of runs that answer with probabilities, whose most likely value counts, and of runs that give one number. An
+    answer whose most likely value is off the scale raises."""
+    answers = posteriors(t).select(F.concat(F.lit("answers "), "run").alias("run"), "item_key", F.col("eap").alias("predicted"), "map")
+    numbers = t.v_errors.filter("parameter = 'location'").select("run", "item_key", "predicted")
+    said = answers.unionByName(numbers, allowMissingColumns=True).withColumn("parameter", F.lit("location"))
+    calibrated = t.v_items.select("item_key", F.col("location").alias("calibrated"))
+    chosen = C.scale_choices(said.join(calibrated, "item_key"), {"location": [i / 2 - 2 for i in PLACES]}, mode="map")
+    C.require_on_scale(chosen)
+    return chosen.select("run", "item_key", "category", "calibrated_category", "value", "calibrated_value")
+
+
+@query(
+    "i9_posterior_rows",
+    f"""select p.run, p.item_key, i.grade, p.map, round(p.map_probability, 6) as map_probability, round(p.eap, 6) as eap, p.median, round(p.sd, 6) as sd, round(c.confidence, 6) as confidence, {', '.join(f'round(c.p{i}, 6) as p{i}' for i in PLACES)},
+        round(i.location, 6) as calibrated from o_post p join v_items i on p.item_key = i.item_key join (
+        select run, item_key, {', '.join(f'max(case when position = {i} then p end) as p{i}' for i in PLACES)}, max(confidence) as confidence from o_p join (select run as r, item_key as k, sum(probability) / (sum(probability) + 1e0) as confidence from v_probabilities group by 1, 2) s on run = r and item_key = k group by 1, 2) c
+        on p.run = c.run and p.item_key = c.item_key where p.map is not null""",
+    POSTERIOR,
+)
 def posterior_rows(t: Tables) -> DataFrame:
-    """Only rows with a posterior, beside the calibrated value; the items without an answer drop out."""
-    rows = t.v_items.select("item_key", F.col("location").alias("calibrated")).join(posteriors(t), "item_key", "left").filter("map is not null")
-    return rounded(rows.select("run", "item_key", "map", "eap", "calibrated"))
+    """The items with a posterior: every estimator's value, the spread, the confidence that came with the answer, and the
+    probabilities of the scale's values, beside the calibrated value. Items without an answer have no row."""
+    items = t.v_items.select("item_key", "grade", F.col("location").alias("calibrated"))
+    rows = items.join(posteriors(t, probabilities=True), "item_key").filter("map is not null")
+    shares = [F.element_at("probabilities", i).alias(f"p{i}") for i in PLACES]
+    return rounded(rows.select("run", "item_key", "grade", "map", "map_probability", "eap", "median", "sd", "confidence", *shares, "calibrated"))
 
 
 ESTIMATORS = ["eap", "median", "map"]

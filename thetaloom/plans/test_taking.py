@@ -138,14 +138,15 @@ PERCENT_SQL = "select i.*, case when p_size % 9 <> 0 then round(p_retailprice /
 
 @query(
     "e31_implied_percent_correct",
-    f"""select calibration, count(*) as items, round({S.guarded_corr('implied', 'percent_correct')}, 6) as correlation, round(avg(implied), 5) as mean_implied, round(avg(percent_correct), 5) as mean_observed from (
+    f"""select calibration, count(*) as items, round({S.guarded_corr('implied', 'percent_correct')}, 6) as correlation, round(avg(implied), 5) as mean_implied, round(avg(percent_correct), 5) as mean_observed,
+        coalesce({S.guarded_corr('implied', 'percent_correct')} >= 8e-1, false) as agrees from (
         select item_key, calibration, percent_correct, 1e2 * sum({S.correct('(-6e0 + g * 1e-2)')} * exp(-pow(-6e0 + g * 1e-2, 2) / 2e0)) / sum(exp(-pow(-6e0 + g * 1e-2, 2) / 2e0)) as implied
         from o_percent cross join range(0, 1201) t(g) where irt_model <> 'GPCM' and percent_correct is not null group by 1, 2, 3) x group by 1""",
     {"o_percent": PERCENT_SQL},
 )
 def implied_percent_correct(t: Tables) -> DataFrame:
     table = T.implied_percent_correct(t.sql(PERCENT_SQL), ["calibration"])
-    return table.select("calibration", "items", F.round("correlation", 6).alias("correlation"), F.round("mean_implied", 5).alias("mean_implied"), F.round("mean_observed", 5).alias("mean_observed"))
+    return table.select("calibration", "items", F.round("correlation", 6).alias("correlation"), F.round("mean_implied", 5).alias("mean_implied"), F.round("mean_observed", 5).alias("mean_observed"), "agrees")
 
 
 SCALES_SQL = """
@@ -281,6 +282,21 @@ LEVEL_LIKELIHOOD = f"""
 select condition_id, calibration, g, -6e0 + g * 1e-2 as theta, sum({S.log_observed('(-6e0 + g * 1e-2)')}) as ll
 from (select l.condition_id, l.calibration, l.points as score, i.irt_model, i.slope, i.location, i.guessing, i.step1, i.step2 from v_item_level l join v_items i on l.item_key = i.item_key where role = 'test_taker') r
 cross join range(0, 1201) t(g) group by 1, 2, 3"""
+USAGE = {
+    "o_req": "select c_custkey as request_id, c_nationkey % 10 as condition from customer",
+    "o_rec": """select user_id as request_id, case when user_id % 3 = 0 then concat('b', cast(user_id % 7 as varchar(3))) end as batch_id, count(*) * 10 as prompt_tokens, count(*) * 3 as completion_tokens,
+        round(sum(value), 4) as cost_usd, max(case when event_type = 'view' then value end) as seconds from events where event_type in ('view', 'click') group by user_id""",
+    "o_bat": "select user_id % 10 as condition, user_id % 7 as batch, round(sum(value), 4) as cost_usd from events where event_type = 'purchase' group by 1, 2",
+    "o_open": "select distinct user_id as request_id from events where event_type = 'error' and value > 5e1",
+    "o_cond": "select condition_id as condition, provider, model, role, provider = 'router' as reports_cost, false as local from v_conditions",
+    "o_price": "select distinct provider, model, 1e-1 as input_price, 5e-1 as output_price from v_conditions where model not like '%3'",
+}
+
+
+def usage(t: Tables) -> DataFrame:
+    return condition_usage(*[t.sql(USAGE[name]) for name in ("o_req", "o_rec", "o_bat", "o_open", "o_cond", "o_price")])
+
+
 LEADERBOARD = {
     **S.bootstrap(TAKER_ROWS, ["condition_id"]),
     "o_lev": LEVEL_LIKELIHOOD,
@@ -289,6 +305,13 @@ LEADERBOARD = {
     "o_board": f"""select l.condition_id, l.model, {_share('true')} as percent_of_points, {_share('grade = 4')} as grade_4, {_share('grade = 8')} as grade_8, {_share('grade = 12')} as grade_12,
         {_share("item_type = 'multiple_choice'")} as multiple_choice, {_share("item_type = 'constructed_response'")} as constructed_response, {_share('has_figure')} as with_figure, {_share('not has_figure')} as without_figure
         from v_item_level l where role = 'test_taker' group by 1, 2""",
+    **USAGE,
+    "o_cost": """select c.condition, s.mean_out as output_tokens_per_unit, case when reports_cost then reported else (tin * input_price + tout * output_price) / 1e6 end + coalesce(batch_cost, 0e0) as cost_usd
+        from (select c.*, p.input_price, p.output_price from o_cond c left join o_price p on c.provider = p.provider and c.model = p.model) c join (
+        select condition, avg(completion_tokens) as mean_out, sum(case when batch_id is null and prompt_tokens is not null then cost_usd else 0e0 end) as reported,
+        sum(case when batch_id is null then coalesce(prompt_tokens, 0) else 0 end) as tin, sum(case when batch_id is null then coalesce(completion_tokens, 0) else 0 end) as tout
+        from o_req q left join o_rec r on q.request_id = r.request_id group by condition) s on c.condition = s.condition
+        left join (select condition, sum(cost_usd) as batch_cost from o_bat group by condition) b on c.condition = b.condition""",
 }
 
 
@@ -308,18 +331,25 @@ def leaderboard_table(t: Tables) -> DataFrame:
     score = F.col("a") + F.col("b") * F.col("theta_eap")
     ranges = scale.groupBy("condition_id").agg(F.min(score).alias("lowest_scale_eap"), F.max(score).alias("highest_scale_eap"))
     intervals = bootstrap_interval(takers, ["condition_id"], "item_key", "points", "max_points")
-    return board.join(intervals, "condition_id").join(ranges, "condition_id").orderBy(F.desc("percent_of_points"), "condition_id")
+    spent = usage(t).select(
+        F.col("condition").alias("condition_id"), (F.col("direct_cost_usd") + F.col("batch_cost_usd")).alias("cost_usd"),
+        F.col("mean_completion_tokens").alias("output_tokens_per_unit"),
+    )
+    board = board.join(intervals, "condition_id").join(ranges, "condition_id").join(spent, "condition_id", "left")
+    return board.orderBy(F.desc("percent_of_points"), "condition_id")
 
 
 @query(
     "e18_leaderboard",
-    """select o.*, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(lowest, 5) as lowest_scale_eap, round(highest, 5) as highest_scale_eap
-       from o_board o join b_ci c on o.condition_id = c.condition_id join o_range r on o.condition_id = r.condition_id""",
+    """select o.*, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(lowest, 5) as lowest_scale_eap, round(highest, 5) as highest_scale_eap,
+       round(cost_usd, 4) as cost_usd, round(output_tokens_per_unit, 6) as output_tokens_per_unit
+       from o_board o join b_ci c on o.condition_id = c.condition_id join o_range r on o.condition_id = r.condition_id left join o_cost u on o.condition_id = u.condition""",
     LEADERBOARD,
 )
 def leaderboard(t: Tables) -> DataFrame:
     board = leaderboard_table(t)
-    return rounded(board.withColumns({n: F.round(n, 5) for n in ("lowest_scale_eap", "highest_scale_eap")}))
+    digits = {"lowest_scale_eap": 5, "highest_scale_eap": 5, "cost_usd": 4}
+    return rounded(board.withColumns({name: F.round(name, n) for name, n in digits.items()}))
 
 
 PER_ITEM_SQL = """select item_key, max(percent_correct) as percent_correct, max(case when has_figure then 1e0 else 0e0 end) as figure, cast(sum(full_credit) as bigint) as with_full_credit, count(*) as conditions
@@ -506,17 +536,6 @@ def response_matrix(t: Tables) -> DataFrame:
     return t.v_items.select("item_key").join(scores, "item_key", "left")
 
 
-USAGE = {
-    "o_req": "select c_custkey as request_id, c_nationkey % 10 as condition from customer",
-    "o_rec": """select user_id as request_id, case when user_id % 3 = 0 then concat('b', cast(user_id % 7 as varchar(3))) end as batch_id, count(*) * 10 as prompt_tokens, count(*) * 3 as completion_tokens,
-        round(sum(value), 4) as cost_usd, max(case when event_type = 'view' then value end) as seconds from events where event_type in ('view', 'click') group by user_id""",
-    "o_bat": "select user_id % 10 as condition, user_id % 7 as batch, round(sum(value), 4) as cost_usd from events where event_type = 'purchase' group by 1, 2",
-    "o_open": "select distinct user_id as request_id from events where event_type = 'error' and value > 5e1",
-    "o_cond": "select condition_id as condition, provider, model, role, provider = 'router' as reports_cost, false as local from v_conditions",
-    "o_price": "select distinct provider, model, 1e-1 as input_price, 5e-1 as output_price from v_conditions where model not like '%3'",
-}
-
-
 @query(
     "e12_usage_by_condition",
     """select c.condition, provider, model, role, units, answered_units, answered_in_batches, in_open_batches, round(mean_prompt_tokens, 6) as mean_prompt_tokens, round(mean_seconds, 6) as mean_seconds,
@@ -529,8 +548,7 @@ USAGE = {
     USAGE,
 )
 def usage_by_condition(t: Tables) -> DataFrame:
-    frames = [t.sql(USAGE[name]) for name in ("o_req", "o_rec", "o_bat", "o_open", "o_cond", "o_price")]
-    table = condition_usage(*frames)
+    table = usage(t)
     names = ["condition", "provider", "model", "role", "units", "answered_units", "answered_in_batches", "in_open_batches"]
     return table.select(
         *names, F.round("mean_prompt_tokens", 6).alias("mean_prompt_tokens"), F.round("mean_seconds", 6).alias("mean_seconds"),

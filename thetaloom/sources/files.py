@@ -1,8 +1,8 @@
-"""Files of items, parameters, constants, saved outputs and embeddings, and bundles of result tables."""
+"""Files of items, parameters, constants and saved outputs, and bundles of result tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thetaloom import schemas
@@ -68,44 +68,46 @@ def write_items(items: DataFrame, path: str) -> None:
     items.write.option("ignoreNullFields", False).json(path)
 
 
-def write_embeddings(vectors: DataFrame, path: str) -> None:
-    """Vectors by text hash, partitioned by the identity of the model that made them."""
-    vectors.select("identity", "text_sha256", "embedding").write.mode("append").partitionBy("identity").parquet(path)
-
-
-def read_embeddings(spark: SparkSession, path: str, identity: str) -> DataFrame:
-    """The vectors of one model identity; only its partition is read."""
-    return spark.read.parquet(path).filter(F.col("identity") == identity).select("text_sha256", "embedding")
-
-
 def missing_embeddings(texts: DataFrame, stored: DataFrame) -> DataFrame:
     """The distinct texts (by hash) that have no stored vector yet."""
     hashed = texts.select(F.sha2("text", 256).alias("text_sha256"), "text").dropDuplicates(["text_sha256"])
     return hashed.join(stored.select("text_sha256"), "text_sha256", "left_anti")
 
 
-def current_embeddings(texts: DataFrame, stored: DataFrame) -> DataFrame:
-    """The stored vectors that some text still uses; the stale rest is left out."""
-    return stored.join(texts.select(F.sha2("text", 256).alias("text_sha256")), "text_sha256", "left_semi")
+COLUMN = "position int, name string, type string, levels array<string>"
+TEXT_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 class Bundle:
-    """Named result tables, one Parquet folder each under a root. Parquet keeps infinite estimates and NULLs as they are,
-    so reading a table back gives the rows written."""
+    """Named result tables as text: JSON lines under a root, and beside each table its columns with their types and the levels
+    of its ordered categories. JSON lines keep NULL apart from an empty text and name infinite numbers; the types come back
+    from the columns, so reading a table gives the rows written. Values beyond a category's levels raise."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def write(self, tables: dict[str, DataFrame]) -> None:
+    def write(self, tables: dict[str, DataFrame], levels: dict[str, dict[str, list[str]]] | None = None) -> None:
         for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            ordered = (levels or {}).get(name, {})
+            for column, known in ordered.items():
+                other = table.filter(~F.col(column).isin(known)).select(column).distinct()
+                require_empty(other, f"Values of {name}.{column} beyond its levels")
+            columns = [(at, field.name, field.dataType.simpleString(), ordered.get(field.name)) for at, field in enumerate(table.schema)]
+            self.spark.createDataFrame(columns, COLUMN).coalesce(1).write.mode("overwrite").json(f"{self.root}/columns/{name}")
+            table.write.mode("overwrite").options(**TEXT_FORMAT).json(f"{self.root}/tables/{name}")
+
+    def _columns(self, name: str) -> list:
+        return self.spark.read.schema(COLUMN).json(f"{self.root}/columns/{name}").orderBy("position").collect()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        schema = ", ".join(f"`{column['name']}` {column['type']}" for column in self._columns(name))
+        return self.spark.read.schema(schema).options(mode="FAILFAST", **TEXT_FORMAT).json(f"{self.root}/tables/{name}")
+
+    def levels(self, name: str) -> dict[str, list[str]]:
+        """The ordered categories of a table, each with its levels from the lowest."""
+        return {column["name"]: list(column["levels"]) for column in self._columns(name) if column["levels"] is not None}
 
 
-def restore_infinite(overall: DataFrame) -> DataFrame:
-    """Infinite estimates from ``mle_note``, for tables that went through a format without infinity, such as CSV."""
-    sign = F.when(F.col("mle_note") == "perfect score", F.lit(float("inf"))).when(F.col("mle_note") == "zero score", F.lit(float("-inf")))
-    names = [name for name in ("theta_mle", "scale_mle") if name in overall.columns]
-    return overall.withColumns({name: F.coalesce(sign, F.col(name)) for name in names})
+def level_place(category: Column, levels: list[str]) -> Column:
+    """The place of a category among its levels, from 1: what to sort and compare it by; NULL stays NULL."""
+    return F.array_position(F.array(*[F.lit(level) for level in levels]), category)
