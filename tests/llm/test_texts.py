@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -133,6 +134,68 @@ def test_licenses(spark):
     assert found == {0: [], 1: [], 2: [], 3: [("MIT", 0)], 4: [("Apache-2.0", 600), ("MIT", 609), ("MIT", 614)], 5: [("CC-BY-NC-4.0", 0)], 6: [("Apache-2.0", 0)], 7: [], 8: []}
 
 
+def found_in(texts):
+    scan = licenses.scanned(pa.array(texts, pa.string()), licenses.Templates(tuple(sorted(licenses.TEMPLATES.items()))))
+    return [[x["license"] for x in row] for row in scan.to_pylist()]
+
+
+def test_licenses_that_differ_in_a_word():
+    gnu = "This work is licensed under the GNU {} License, version {}."
+    of = {
+        "Released under the BSD License.": [], "Released under the ISC License.": [], "Released under the Mozilla License.": [],
+        "Released under the MIT License.": ["MIT"], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"], "Licensed under CC BY 3.0.": ["CC-BY-3.0"],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"], "Licensed under CC BY-NC-ND-SA 4.0.": [], "Licensed under CC BY 1.0.": [],
+        gnu.format("Lesser General Public", 3): ["LGPL-3.0"], gnu.format("Affero General Public", 3): ["AGPL-3.0"],
+        gnu.format("General Public", 2): ["GPL-2.0"], gnu.format("Library General Public", 2): [], gnu.format("General Public", 1): [],
+        "Licensed under the Apache License, Version 1.1.": [], "Licensed under the Apache Software License, Version 2.0.": [],
+    }
+    assert dict(zip(of, found_in(list(of)), strict=True)) == of
+
+
+def test_every_template_is_found_as_itself():
+    texts = [f"before it {text.upper()} after it" for text in licenses.TEMPLATES.values()]
+    assert found_in(texts) == [[name] for name in licenses.TEMPLATES]
+    clauses = licenses.TEMPLATES["BSD-3-Clause"].replace("the copyright holder nor", "Acme nor").replace("1.", "*").replace("2.", "*").replace("3.", "*")
+    assert found_in([f"{clauses} {clauses}", clauses.replace("THIS SOFTWARE IS PROVIDED BY", "HERE IS")]) == [["BSD-3-Clause"] * 2, ["BSD-3-Clause"]]
+
+
+def test_long_texts_of_license_words():
+    start = time.time()
+    mit = licenses.TEMPLATES["MIT"]
+    assert [len(x) for x in found_in(["mit " * 250_000, "gnu cc by apache 2 0 " * 20_000, f"{mit} " * 2_000])] == [0, 0, 2_000]
+    assert time.time() - start < 60
+
+
+def test_alignment_against_longest_common_subsequence():
+    """With words that occur once, the alignment is a longest common subsequence; else it is a common one."""
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for at, y in enumerate(b):
+                row.append(last[at] + 1 if x == y else max(last[at + 1], row[at]))
+        return row[-1]
+
+    rng = random.Random(4)
+    for size in range(40):
+        template = rng.sample(range(60), size)
+        text = rng.sample(range(60), rng.randrange(60))
+        assert len(licenses.aligned(text, template)) == longest(text, template)
+        text, template = ([rng.randrange(8) for _ in range(size)] for _ in range(2))
+        pairs = licenses.aligned(text, template)
+        assert all(text[a] == template[b] for a, b in pairs) and len(pairs) <= longest(text, template)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_license_query_on_odd_rows(spark):
+    rows = cases.edges(spark)
+    notices = rows.select("*", licenses.licenses(F.col("text")).alias("found"))
+    assert notices.count() == rows.count() and notices.filter("size(found) = 0").count() == rows.count()
+    assert notices.limit(0).count() == 0 and set(cases.CLASHING) <= set(notices.columns)
+
+
 def test_notices_at_the_limit_of_coverage(spark):
     gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     texts = ["Distributed under the MIT License.", "Available under CC BY 4.0.", "Available under CC BY-NC 4.0.", f"under way: {gpl}", gpl.replace("General", "Lesser General"), "under the sea"]

@@ -1,9 +1,16 @@
 """License notices in texts, by patience alignment with templates.
 
 Words that are unique in both the text's passage and the template are anchors; the longest increasing subsequence of their
-places keeps those in order, and the gaps between them are aligned in the same way. Coverage is the share of the
-template's words that found a partner. Passages worth aligning are stretches with as many of a template's longer words as
-any passage of enough coverage has.
+places keeps those in order, and the gaps between them are aligned in the same way. Coverage is the share of words that
+found a partner, of the template's or of the passage's, whichever has more: missing and added words both lower it.
+
+Coverage alone doesn't tell licenses apart, whose notices differ in a word. So a template's naming words (the license's name,
+its qualifiers, its version) must all have a partner, and the passage must have no other naming word, and no further word
+between a name and what follows it in the template. Where notices overlap, the one with most words stays: a whole text goes before its
+first sentence.
+
+Passages worth aligning are stretches with all names of a template; of a template without names, stretches with as many of its
+longer words as any passage of enough coverage has.
 """
 
 from __future__ import annotations
@@ -24,22 +31,69 @@ COVERAGE = 0.8
 ANCHOR_LETTERS = 4
 """Words of as many bytes and more show where a template may stand."""
 
-#: License notices, and the permission texts of short licenses.
+#: Words that name a license, and those that tell apart the licenses of a name, beside one-digit versions.
+NAMES = {"apache": [], "bsd": [], "cc": ["by", "nc", "nd", "sa"], "gnu": ["affero", "lesser"], "isc": [], "mit": [], "mozilla": []}
+
+#: The parts and versions of the CC licenses.
+CC_PARTS = ["BY", "BY-NC", "BY-NC-ND", "BY-NC-SA", "BY-ND", "BY-SA"]
+CC_VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
+
+GNU_NOTICE = "This work is licensed under the GNU {} License, version {}."
+GNU_HEADER = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the "
+    "Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+GNU = {
+    "AGPL-3.0": ("program", "Affero General Public", "3"),
+    "GPL-2.0": ("program", "General Public", "2"),
+    "GPL-3.0": ("program", "General Public", "3"),
+    "LGPL-2.1": ("library", "Lesser General Public", "2.1"),
+    "LGPL-3.0": ("program", "Lesser General Public", "3"),
+}
+
+#: Sentences of short licenses.
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+MIT_REST = (
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+    "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+    '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS '
+    "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+    "USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+BSD_COPIES = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+    "the documentation and/or other materials provided with the distribution."
+)
+BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission."
+)
+BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "BSD": BSD_GRANT,
+    "BSD-2-Clause": " ".join([BSD_GRANT, BSD_COPIES, BSD_DISCLAIMER]),
+    "BSD-3-Clause": " ".join([BSD_GRANT, BSD_COPIES, BSD_NAMES, BSD_DISCLAIMER]),
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-2.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "LGPL-2.1-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
-    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "MIT": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "MIT-permission": MIT_GRANT,
+    "MIT-text": f"{MIT_GRANT}, {MIT_REST}",
+    **{name: GNU_NOTICE.format(license, version) for name, (_, license, version) in GNU.items()},
+    **{f"{name}-header": GNU_HEADER.format(what, license, version) for name, (what, license, version) in GNU.items()},
+    **{f"CC-{parts}-{version}": f"Licensed under CC {parts} {version}." for parts in CC_PARTS for version in CC_VERSIONS},
 }
 
 FOUND = "array<struct<license: string, first_word: bigint, end_word: bigint, coverage: double>>"
@@ -106,63 +160,126 @@ def needed(counts: list[int], missing: int) -> int:
     return len(counts) - lost
 
 
+def _hashes(texts: list[str]) -> tuple[list[list[int]], list[list[bool]]]:
+    """The hashes of each text's words, and which words are long."""
+    data, offsets = flat(pa.array(texts, pa.string()))
+    starts, ends, firsts, hashes = words_of(data, offsets)
+    long = (ends - starts >= ANCHOR_LETTERS).tolist()
+    each = hashes.tolist()
+    bounds = list(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True))
+    return [each[a:b] for a, b in bounds], [long[a:b] for a, b in bounds]
+
+
 class Templates:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in templates]
-        data, offsets = flat(pa.array([text for _, text in templates], pa.string()))
-        starts, ends, firsts, hashes = words_of(data, offsets)
-        each = hashes.tolist()
-        long = (ends - starts >= ANCHOR_LETTERS).tolist()
-        self.words = [each[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-        #: The words that show a template, and how many of them any passage of enough coverage has: the longer ones, or all
-        #: where such a passage can do without the longer ones.
+        self.words, long = _hashes([text for _, text in templates])
+        ((*digits,), (*names,), *qualifiers), _ = _hashes([" ".join("0123456789"), " ".join(NAMES), *[" ".join(own) for own in NAMES.values()]])
+        own_of = dict(zip(names, qualifiers, strict=True))
+        #: Per template: its names; the words that may stand in a passage only with a partner; those that it must have.
+        self.leads = [own_of.keys() & set(words) for words in self.words]
+        self.telling = [{*names, *digits, *(q for lead in leads for q in own_of[lead])} if leads else set() for leads in self.leads]
+        self.must = [[at for at, word in enumerate(words) if word in telling] for words, telling in zip(self.words, self.telling, strict=True)]
+        self.naming = np.array(sorted({*names, *digits, *(q for own in qualifiers for q in own)}), np.uint64)
+        #: The distinct words of each template, and how many of them, naming words among them, a notice has at least.
+        self.distinct = [set(words) for words in self.words]
+        self.at_least = []
+        #: The words that show a template, and how many of them any passage of enough coverage has: its names; without names the
+        #: longer words, or all where such a passage can do without the longer ones.
         self.signs, self.need = [], []
-        for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-            most = next((n for n in range(b - a, -1, -1) if b > a and (b - a - n) / (b - a) >= COVERAGE), 0)
-            own = Counter(w for w, x in zip(each[a:b], long[a:b], strict=True) if x)
+        for words, leads, is_long in zip(self.words, self.leads, long, strict=True):
+            size = len(words)
+            most = next((n for n in range(size, -1, -1) if size and (size - n) / size >= COVERAGE), 0)
+            self.at_least.append(needed(list(Counter(words).values()), most))
+            if leads:
+                self.signs.append(set(leads))
+                self.need.append(len(leads))
+                continue
+            own = Counter(w for w, x in zip(words, is_long, strict=True) if x)
             if not needed(list(own.values()), most):
-                own = Counter(each[a:b])
+                own = Counter(words)
             self.signs.append(set(own))
             self.need.append(needed(list(own.values()), most))
         self.all_signs = np.array(sorted(set().union(*self.signs)) if self.signs else [], np.uint64)
 
+    def fits(self, which: int, passage: list[int], pairs: list[tuple[int, int]]) -> float:
+        """The coverage of an alignment, 0 where the naming words say another license."""
+        template = self.words[which]
+        if not pairs:
+            return 0.0
+        first, end = pairs[0][0], pairs[-1][0] + 1
+        coverage = len(pairs) / max(len(template), end - first)
+        if coverage < COVERAGE or not self.leads[which]:
+            return coverage
+        partner = dict(pairs)
+        theirs = set(partner.values())
+        if any(at not in theirs for at in self.must[which]):
+            return 0.0
+        for at in range(first, end):
+            if at in partner:
+                continue
+            between = passage[at - 1] in self.leads[which] and partner.get(at - 1, len(template)) + 1 in theirs
+            if between or passage[at] in self.telling[which]:
+                return 0.0
+        return coverage
+
+    def _best(self, which: int, words: np.ndarray, done: int, place: int) -> tuple[int, int, int, float] | None:
+        """The best notice whose sign stands at ``place``: its aligned words, first word, end and coverage. A passage as long
+        as the template is tried for each place the sign has there, then a longer one with words between."""
+        template, sign = self.words[which], int(words[place])
+        reach = len(template)
+        around = self.distinct[which].intersection(words[max(done, place - reach) : place + reach + reach // 2].tolist())
+        if len(around) < self.at_least[which] or any(template[at] not in around for at in self.must[which]):
+            return None
+        begins = [place - at for at, word in enumerate(template) if word == sign]
+        windows = [(begin, begin + reach) for begin in begins]
+        windows.append((place - reach, place + reach + reach // 2))
+        best = None
+        for low, high in windows:
+            low, high = max(done, low), min(len(words), high)
+            passage = words[low:high].tolist()
+            pairs = aligned(passage, template)
+            coverage = self.fits(which, passage, pairs)
+            if coverage >= COVERAGE and (best is None or (len(pairs), coverage) > (best[0], best[3])):
+                best = (len(pairs), low + pairs[0][0], low + pairs[-1][0] + 1, coverage)
+            if best is not None and best[0] == reach == best[2] - best[1]:
+                break
+        return best
+
     def found(self, words: np.ndarray, signs: np.ndarray) -> list[tuple[str, int, int, float]]:
         """The notices in a text; ``signs`` are the places of any template's signs."""
         out = []
         at_words = list(zip(signs.tolist(), words[signs].tolist(), strict=True))
         present = {word for _, word in at_words}
-        for name, template, own, need in zip(self.names, self.words, self.signs, self.need, strict=True):
-            if len(own & present) < need or not template:
+        telling = set(np.intersect1d(words, self.naming).tolist())
+        for which, (name, template, own, need) in enumerate(zip(self.names, self.words, self.signs, self.need, strict=True)):
+            if len(own & present) < need or not template or any(template[at] not in telling for at in self.must[which]):
                 continue
-            places = [at for at, word in at_words if word in own]
-            reach = len(template)
-            done = 0
-            for i, first in enumerate(places):
-                # The passage that a template beginning near this sign could fill.
-                if first < done:
-                    continue
-                low, high = max(done, first - reach // 2), min(len(words), first + reach + reach // 2)
-                inside = {int(words[x]) for x in places[i : bisect_left(places, high)]}
-                if len(inside) < need:
+            near = [(at, word) for at, word in at_words if word in own]
+            reach, done, before, until, inside = len(template), 0, 0, 0, Counter()
+            for first, _ in near:
+                # The signs around this one, as far as a passage reaches.
+                while until < len(near) and near[until][0] < first + reach + reach // 2:
+                    inside[near[until][1]] += 1
+                    until += 1
+                while near[before][0] < first - reach:
+                    inside[near[before][1]] -= 1
+                    if not inside[near[before][1]]:
+                        del inside[near[before][1]]
+                    before += 1
+                if first < done or len(inside) < need:
                     continue
-                pairs = aligned(words[low:high].tolist(), template)
-                if len(pairs) / len(template) >= COVERAGE and len(pairs) < len(template):
-                    # The passage may have begun too early and cut the notice.
-                    other = low + pairs[0][0]
-                    again = aligned(words[other : other + reach + reach // 2].tolist(), template)
-                    if len(again) > len(pairs):
-                        low, pairs = other, again
-                coverage = len(pairs) / len(template)
-                if coverage >= COVERAGE:
-                    end = low + pairs[-1][0] + 1
-                    out.append((len(pairs), name, low + pairs[0][0], end, coverage))
-                    done = end
-        # Where notices overlap, the one with most words stays, then the better covered.
-        kept: list[tuple[str, int, int, float]] = []
-        for _, *one in sorted(out, key=lambda x: (-x[0], -x[4], x[1], x[2])):
-            if all(one[2] <= a or one[1] >= b for _, a, b, _ in kept):
-                kept.append(tuple(one))
-        return sorted(kept, key=lambda x: x[1])
+                best = self._best(which, words, done, first)
+                if best is not None:
+                    out.append((best[0], name, *best[1:]))
+                    done = best[2]
+        # Where notices overlap, the one with most words stays, then the better covered. Those kept so far are in order.
+        kept: list[tuple[int, int, str, float]] = []
+        for _, name, start, end, coverage in sorted(out, key=lambda x: (-x[0], -x[4], x[1], x[2])):
+            at = bisect_left(kept, (start,))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (start, end, name, coverage))
+        return [(name, start, end, coverage) for start, end, name, coverage in kept]
 
 
 @lru_cache(maxsize=2)
@@ -190,7 +307,8 @@ def scanned(texts: pa.Array, templates: Templates) -> pa.Array:
 def licenses(text: Column, templates: dict[str, str] = TEMPLATES) -> Column:
     """The notices in a text, by place: license, its words (end exclusive) and coverage. Words are ASCII letters without
     case, digits and all other characters beyond ASCII. Null and empty texts have none; notices that repeat are all
-    listed; of notices that overlap the one with most words is."""
+    listed; of notices that overlap the one with most words is, of ties the better covered, then the first by name and place.
+    Repeated rows each have theirs, an empty table has no rows, other columns play no part, and long texts are read whole."""
     fixed = tuple(sorted(templates.items()))
 
     @F.arrow_udf(FOUND)
