@@ -278,6 +278,36 @@ def test_vector_store_refuses(spark):
     assert store.read().count() == 1
 
 
+def test_saved_outputs_one_per_file(spark):
+    """Records over several lines, one in each file."""
+    path = new_path(spark, "saved")
+    rows = [(f'{{\n  "request_id": "r{k}",\n  "output": "a\\nb",\n  "cost_usd": {k}.5\n}}',) for k in range(3)]
+    spark.createDataFrame(rows, "value string").repartitionByRange(3, "value").write.option("maxRecordsPerFile", 1).text(path)
+    saved = files.read_saved_outputs(spark, path).collect()
+    assert sorted((r["request_id"], r["output"], r["cost_usd"]) for r in saved) == [(f"r{k}", "a\nb", k + 0.5) for k in range(3)]
+    assert len({r["file_name"] for r in saved}) == 3
+
+
+def test_item_violations(spark):
+    good = [("A", "x"), ("B", "y")]
+    rows = [
+        ("fine", "multiple_choice", good, "B", 1, 1), ("key", "multiple_choice", good, "C", 1, 1), ("none", "multiple_choice", None, None, 1, None),
+        ("twice", "multiple_choice", [*good, ("A", "z")], "A", 1, 1), ("essay", "constructed_response", None, None, 2, 2), ("odd", "constructed_response", None, "A", 1, 2),
+    ]
+    items = spark.createDataFrame(rows, "item_key string, item_type string, options array<struct<label: string, text: string>>, correct_option string, max_points int, scaled_points int")
+    assert sorted(map(tuple, I.item_violations(items).collect())) == [
+        ("key", "the key is not among the options"), ("none", "the key is not among the options"), ("odd", "more points in the scaling than the item has"),
+        ("odd", "options or a key without a choice"), ("twice", "labels repeat"),
+    ]
+
+
+def test_texts_at_two_grades(spark):
+    rows = [(f"i{k}", (4, 8, 12)[k % 3], "same", float(k)) for k in range(300)] + [("alone", 4, "other", 1.0), ("null", 8, None, 1.0)]
+    items = spark.createDataFrame(rows, "item_key string, grade int, text string, percent double")
+    found = T.texts_at_two_grades(items, "text", {"percent": F.avg("percent")}).collect()
+    assert sorted((r.first_grade, r.second_grade, r.first_items, r.first_percent, r.second_percent) for r in found) == [(4, 8, 100, 148.5, 149.5), (4, 12, 100, 148.5, 150.5), (8, 12, 100, 149.5, 150.5)]
+
+
 def test_run_report_counts_what_waits(spark):
     submitted = spark.createDataFrame(
         [(1, "r", "b1", "completed"), (2, "r", "b1", "completed"), (3, "r", "b2", "in_progress"), (4, None, "b1", "completed")],

@@ -123,6 +123,21 @@ def guide_violations(guides: DataFrame) -> DataFrame:
     return items.withColumn("rule", rule).filter("rule is not null").select("item_key", "rule")
 
 
+def item_violations(items: DataFrame) -> DataFrame:
+    """(item_key, rule) of items whose format, options, key and points do not fit: the key is one of the labels, labels are
+    distinct, only multiple choice has options, and a calibration gives no more points than the item has."""
+    col, labels = F.col, F.col("options.label")
+    choice = col("item_type") == "multiple_choice"
+    rules = {
+        "the key is not among the options": choice & ~F.coalesce(F.array_contains(labels, col("correct_option")), F.lit(False)),
+        "labels repeat": F.size(F.array_distinct(labels)) < F.size(labels),
+        "options or a key without a choice": ~choice & (col("options").isNotNull() | col("correct_option").isNotNull()),
+        "more points in the scaling than the item has": col("scaled_points") > col("max_points"),
+    }
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    return items.select("item_key", F.explode(broken).alias("rule"))
+
+
 def parameter_violations(parameters: DataFrame, tolerance: float = STEP_TOLERANCE) -> DataFrame:
     """(rule, key) of parameter rows that break a rule: the model fits format and points; each model has exactly its
     parameters; the steps sum to 0. All rules are columns of one pass over the table."""

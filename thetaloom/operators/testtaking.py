@@ -154,6 +154,18 @@ def require_agreement(implied: DataFrame, groups: list[str]) -> None:
     require_empty(implied.filter("not agrees").select(*groups, "items", "correlation"), f"Implied and observed percents correlate below {LEAST_CORRELATION}")
 
 
+def texts_at_two_grades(items: DataFrame, text: str, measures: dict[str, Column]) -> DataFrame:
+    """Texts that items of several grades share: a row per text and pair of grades, with the items and the ``measures`` (each
+    an aggregate) of either grade in columns ``first_`` and ``second_``. Items of a text are aggregated by grade first, so a
+    text that many items share makes no pairs of items."""
+    names = {"items": F.count_distinct("item_key"), **measures}
+    per = items.filter(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("text_sha256"), "grade").agg(*[c.alias(n) for n, c in names.items()])
+    first, second = (
+        per.select("text_sha256", *[F.col(name).alias(f"{side}_{name}") for name in ("grade", *names)]) for side in ("first", "second")
+    )
+    return first.join(second, "text_sha256").filter("first_grade < second_grade")
+
+
 def percent_of_points(where: Column | None = None) -> Column:
     """100 * sum(points) / sum(max_points) of the rows that meet a condition, NULL if none does."""
     points, top = F.col("points"), F.col("max_points")

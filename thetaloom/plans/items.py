@@ -81,8 +81,13 @@ def parameters_csv(t: Tables) -> DataFrame:
        from v_constants where use_for_scoring group by calibration having count(*) = 5""",
 )
 def constants(t: Tables) -> DataFrame:
+    """The constants as they come from a file."""
+    path = new_path(t.spark, "constants")
     b = F.col("target_sd") / F.col("theta_sd")
-    kept, _ = scale_constants(t.v_constants.withColumns({"b": b, "a": F.col("target_mean") - b * F.col("theta_mean")}))
+    rows = t.v_constants.withColumns({"b": b, "a": F.col("target_mean") - b * F.col("theta_mean")})
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CONSTANTS]
+    rows.select(*columns).write.option("header", True).csv(path)
+    kept, _ = scale_constants(files.read_constants(t.spark, path))
     return kept.select("calibration", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "plausible_values", "constants")
 
 
@@ -125,11 +130,21 @@ def embedding_store(t: Tables) -> DataFrame:
     return VectorStore(t.spark, path, IDENTITY).read().select("text_sha256", F.size("embedding").alias("dimensions"), *values)
 
 
-@query("a6_items_writer", "select count(*) as records, cast(sum(length(stem)) as bigint) as characters from v_released")
+@query(
+    "a6_items_writer",
+    f"""select item_id, '{",".join(schemas.ITEM.fieldNames())}' as fields, cast(grade as int) as grade, content_domain, cast(max_points as int) as max_points, sha256(stem) as stem_sha256,
+        case when item_type = 'multiple_choice' then concat_ws('|', 'A', option_a, 'B', option_b, 'C', option_c) end as options, correct_option from v_released""",
+)
 def items_writer(t: Tables) -> DataFrame:
+    """The written lines: their fields in the order of the file, absent ones too, and their content."""
     path = new_path(t.spark, "records")
     files.write_items(released_records(t), path)
-    return t.spark.read.schema(schemas.ITEM).json(path).agg(F.count("*").alias("records"), F.sum(F.length("stem")).alias("characters"))
+    lines = t.spark.read.text(path).select(F.array_join(F.json_object_keys("value"), ",").alias("fields"), F.from_json("value", schemas.ITEM).alias("r"))
+    pairs = F.flatten(F.transform("r.options", lambda o: F.array(o["label"], o["text"])))
+    return lines.select(
+        "r.item_id", "fields", "r.grade", "r.content_domain", "r.max_points", F.sha2("r.stem", 256).alias("stem_sha256"),
+        F.array_join(pairs, "|").alias("options"), "r.correct_option",
+    )
 
 
 @query(
@@ -543,6 +558,23 @@ def consistency_checks(t: Tables) -> DataFrame:
     return I.parameter_violations(items)
 
 
+@query(
+    "c18_item_checks",
+    """select item_id as item_key, 'the key is not among the options' as rule from v_released where item_type = 'multiple_choice' and correct_option = 'E'
+       union all select item_id, 'options or a key without a choice' from v_released where item_type <> 'multiple_choice' and doc_id % 8 = 0
+       union all select item_id, 'labels repeat' from v_released where item_type = 'multiple_choice' and doc_id % 9 = 0
+       union all select item_id, 'more points in the scaling than the item has' from v_released join v_items on doc_id = pk where case when doc_id % 7 = 0 then scaled_points + 1 else scaled_points end > max_points""",
+)
+def item_checks(t: Tables) -> DataFrame:
+    """Released items with planted faults: a key beside the options, a key without options, a repeated label, a scaling with
+    more points."""
+    scaled = t.v_items.select(F.col("pk").alias("doc_id"), F.expr("case when pk % 7 = 0 then scaled_points + 1 else scaled_points end").alias("scaled_points"))
+    again = F.when(F.col("doc_id") % 9 == 0, F.concat("options", F.slice("options", 1, 1))).otherwise(F.col("options"))
+    items = t.v_released.withColumn("options", options_of()).withColumn("options", again)
+    planted = F.when((F.col("item_type") != "multiple_choice") & (F.col("doc_id") % 8 == 0), "A").otherwise(F.col("correct_option"))
+    return I.item_violations(items.withColumn("correct_option", planted).withColumn("item_key", F.col("item_id")).join(scaled, "doc_id", "left"))
+
+
 @query(
     "g11_nearest_scale_value",
     """select item_key, location, arg_min(position, struct_pack(d := d, p := position)) as nearest from (

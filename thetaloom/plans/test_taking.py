@@ -477,6 +477,32 @@ def same_text_two_grades(t: Tables) -> DataFrame:
     return items.join(second, "pk").select(F.col("item_key").alias("first_key"), F.col("second_item_key").alias("second_key"), F.col("grade").alias("first_grade"), "second_grade", *shown)
 
 
+REPEATED_SQL = "select item_key, grade, concat(p_brand, ' ', p_type) as text, case when p_size % 9 <> 0 then round(p_retailprice / 1e1 - 5e1 + p_size, 4) end as percent_correct from v_items join part on pk = p_partkey"
+CREDIT = {
+    "o_text": REPEATED_SQL,
+    "o_grade": f"""select text, grade, count(*) as items, avg(percent_correct) as human, {', '.join(f'sum(s{c}) / nullif(sum(n{c}), 0) as c{c}' for c in STUDENTS)} from o_text t left join (
+        select item_key, {', '.join(f'sum(case when condition_id = {c} then full_credit * 1e0 end) as s{c}, count(case when condition_id = {c} then 1 end) as n{c}' for c in STUDENTS)} from v_item_level where role = 'student' group by 1) x
+        on t.item_key = x.item_key group by 1, 2""",
+}
+
+
+@query(
+    "c17_repeated_texts",
+    f"""select sha256(a.text) as text_sha256, a.grade as first_grade, b.grade as second_grade, a.items as first_items, b.items as second_items, round(a.human, 6) as first_percent_correct, round(b.human, 6) as second_percent_correct,
+        {', '.join(f'round(a.c{c}, 6) as first_{c}, round(b.c{c}, 6) as second_{c}' for c in STUDENTS)} from o_grade a join o_grade b on a.text = b.text and a.grade < b.grade""",
+    CREDIT,
+)
+def repeated_texts(t: Tables) -> DataFrame:
+    """Texts that items of several grades share, with the human percent and each student condition's share of full credit at
+    either grade. Items with the same text are parts of one brand and type."""
+    credit = t.v_item_level.filter("role = 'student'").groupBy("item_key").agg(
+        *[f(F.when(F.col("condition_id") == c, F.col("full_credit"))).alias(f"{n}{c}") for c in STUDENTS for n, f in (("s", F.sum), ("n", F.count))]
+    )
+    items = t.sql(REPEATED_SQL).join(credit, "item_key", "left")
+    measures = {"percent_correct": F.avg("percent_correct"), **{str(c): F.sum(f"s{c}") / F.nullif(F.sum(f"n{c}"), F.lit(0)) for c in STUDENTS}}
+    return rounded(T.texts_at_two_grades(items, "text", measures))
+
+
 BOARD_SQL = f"select condition_id, model, {_share('true')} as s from v_item_level where role = 'test_taker' group by 1, 2"
 
 
