@@ -15,6 +15,7 @@ from thetaloom.operators import records as D
 from thetaloom.operators import cells, postings
 from thetaloom.operators import retrieval as R
 from thetaloom.operators import testtaking as T
+from thetaloom.operators import validation as V
 from thetaloom.operators import work as W
 from thetaloom.session import new_path
 from thetaloom.sources import files
@@ -308,6 +309,23 @@ def test_texts_at_two_grades(spark):
     assert sorted((r.first_grade, r.second_grade, r.first_items, r.first_percent, r.second_percent) for r in found) == [(4, 8, 100, 148.5, 149.5), (4, 12, 100, 148.5, 150.5), (8, 12, 100, 149.5, 150.5)]
 
 
+def test_answer_problems(spark):
+    allowed = spark.createDataFrame([("q", "answer", "A"), ("q", "answer", "B"), ("e", "answer", None), ("e", "category_A", "Correct"), ("e", "category_B", "Correct")], "item_key string, field string, value string")
+    given = [("q", "answer", "A"), ("q", "answer", "a"), ("q", "answer", None), ("e", "answer", "any text"), ("e", "answer", " "), ("e", "category_A", "Correct"), ("e", "category_B", "Partial"), ("e", "category", "Correct"), (None, "answer", "A")]
+    answers = spark.createDataFrame([(n, *row) for n, row in enumerate(given)], "n int, item_key string, field string, value string")
+    found = {r["n"]: r["reason"] for r in V.answer_problems(answers, allowed.unionAll(allowed)).collect()}
+    assert found == {1: "not an allowed value", 2: "no output", 4: "no output", 6: "not an allowed value", 7: "unexpected field", 8: "unexpected field"}
+
+
+def test_run_names(spark):
+    rows = [("one", 2, "p", "m", "high", "taker"), ("one", 1, "p", "m", "low", "taker"), ("one", 3, "p", "m", "low", "student"), ("two", 1, "p", "m", "low", "taker"), ("two", 2, "q", "m", "low", "taker")]
+    conditions = spark.createDataFrame(rows, "run string, at int, provider string, model string, effort string, role string")
+    names = {r["run"]: r["run_name"] for r in W.run_names(conditions, "run", "at", "p-s-None").collect()}
+    assert names["one"] == "p-m-low+high__taker+student__scorer-p-s-None"
+    digest = hashlib.sha256(b"p-m-low|q-m-low").hexdigest()[:8]
+    assert names["two"] == f"2-models-{digest}__taker__scorer-p-s-None"
+
+
 def test_run_report_counts_what_waits(spark):
     submitted = spark.createDataFrame(
         [(1, "r", "b1", "completed"), (2, "r", "b1", "completed"), (3, "r", "b2", "in_progress"), (4, None, "b1", "completed")],

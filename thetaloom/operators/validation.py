@@ -62,9 +62,19 @@ def prediction_status(text, model, finish_reason, points: Column | int = 2) -> t
     return fields, reason
 
 
-def choice_status(answer, labels: Column) -> Column:
-    """Why an option letter is unusable, NULL if it is one of the labels."""
-    return F.when(F.col(answer).isNull(), "no output").when(~F.array_contains(labels, F.col(answer)), "not an option")
+def answer_problems(answers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The rows of ``answers`` (item_key, field, value and others) with a ``reason`` that they are unusable. ``allowed`` (item_key,
+    field, value) lists the fields of an item's output and their values: option letters, categories of the guide, one field per
+    part where the guide has parts. A NULL value allows any text. Every kind of output is judged in the same pass."""
+    fields = allowed.groupBy("item_key", "field").agg(F.bool_or(F.col("value").isNull()).alias("_any"))
+    known = allowed.filter("value is not null").select("item_key", "field", "value", F.lit(True).alias("_known")).distinct()
+    joined = answers.join(fields, ["item_key", "field"], "left").join(known, ["item_key", "field", "value"], "left")
+    reason = (
+        F.when(F.col("_any").isNull(), "unexpected field")
+        .when(F.col("value").isNull() | (F.trim("value") == ""), "no output")
+        .when(~F.col("_any") & F.col("_known").isNull(), "not an allowed value")
+    )
+    return joined.withColumn("reason", reason).filter("reason is not null").drop("_any", "_known")
 
 
 RESPONSE = (

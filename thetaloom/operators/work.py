@@ -139,6 +139,22 @@ def collected(submitted: DataFrame, requests: DataFrame, results: DataFrame) ->
     return joined.withColumn("outcome", outcome).drop("_current")
 
 
+def run_names(conditions: DataFrame, run: str, position: str, scorer: str) -> DataFrame:
+    """The name of each run from its conditions (provider, model, effort and role as they show in names): its model with the
+    efforts, or for several models their number and a hash of their settings; its roles; and the ``scorer``. Efforts and
+    roles stand in the order of ``position``, each once. A run has a few conditions."""
+    first = lambda column: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(position, F.col(column).alias("x")))), lambda e: e["x"]))
+    named = conditions.withColumns({"_llm": F.concat_ws("-", "provider", "model"), "_settings": F.concat_ws("-", "provider", "model", "effort")})
+    sums = named.groupBy(run).agg(
+        F.count_distinct("_llm").alias("n"), F.min("_llm").alias("llm"), first("effort").alias("efforts"), first("role").alias("roles"),
+        F.sort_array(F.collect_set("_settings")).alias("settings"),
+    )
+    one = F.concat_ws("-", "llm", F.array_join("efforts", "+"))
+    several = F.concat_ws("-", F.col("n").cast("string"), F.lit("models"), F.left(F.sha2(F.array_join("settings", "|"), 256), F.lit(8)))
+    name = F.concat_ws("__", F.when(F.col("n") == 1, one).otherwise(several), F.array_join("roles", "+"), F.lit(f"scorer-{scorer}"))
+    return sums.select(run, name.alias("run_name"))
+
+
 def run_report(outcomes: DataFrame, run: str, submitted: DataFrame, requests: DataFrame) -> DataFrame:
     """Per run: collected requests as saved, failed, unusable or changed, their cost, and saved outputs without a reported cost;
     ``in_batches``, submitted requests whose batch is still open; and ``missing``, today's requests that have no saved output

@@ -11,6 +11,7 @@ from thetaloom.functions import scoring as P
 from thetaloom.functions import text as X
 from thetaloom.functions.posterior import nearest_position
 from thetaloom.operators import integrity as I
+from thetaloom.operators import work as W
 from thetaloom.operators.reporting import benchmark, scale_constants, scale_score
 from thetaloom.plans.registry import query
 from thetaloom.session import new_path
@@ -286,7 +287,16 @@ def stems(t: Tables) -> DataFrame:
     return t.documents.select(F.explode(words).alias("word")).select("word", stem.alias("stem")).groupBy("word", "stem").agg(F.count("*").alias("n"))
 
 
-@query("b14_term_index")
+# The register after a byte: eight steps of the reflected polynomial. Lists stand for loops over bits and bytes.
+BYTES_SQL = "list_transform(range(1, length(h), 2), lambda i: (strpos('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)"
+BYTE_STEP_SQL = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+
+
+@query(
+    "b14_term_index",
+    f"""select term, xor(list_reduce(list_prepend(cast(4294967295 as bigint), {BYTES_SQL}), lambda c, b: {BYTE_STEP_SQL}), cast(4294967295 as bigint)) as term_index
+        from (select term, hex(encode(term)) as h from (select distinct {STEM_SQL} as term from (select unnest({TOKENS_SQL}) as w from benchmark) x) y) z""",
+)
 def term_index(t: Tables) -> DataFrame:
     """32-bit hash of each distinct term."""
     return t.benchmark.select(F.explode(X.terms("text")).alias("term")).distinct().select("term", F.crc32(F.encode("term", "utf-8")).alias("term_index"))
@@ -423,6 +433,29 @@ def run_identity(t: Tables) -> DataFrame:
     return t.v_conditions.select("condition_id", F.concat_ws("__", settings, "role", digest).alias("run_name"), folder.alias("folder"))
 
 
+NAMED = {
+    "o_run": """select concat('model ', model) as run, condition_id, provider, replace(model, '/', '_') as model, coalesce(effort, 'None') as effort, role from v_conditions
+        union all select concat('role ', role), condition_id, provider, replace(model, '/', '_'), coalesce(effort, 'None'), role from v_conditions
+        union all select 'all', condition_id, provider, replace(model, '/', '_'), coalesce(effort, 'None'), role from v_conditions""",
+    "o_efforts": "select run, string_agg(effort, '+' order by first) as efforts from (select run, effort, min(condition_id) as first from o_run group by 1, 2) x group by 1",
+    "o_roles": "select run, string_agg(role, '+' order by first) as roles from (select run, role, min(condition_id) as first from o_run group by 1, 2) x group by 1",
+    "o_settings": """select run, count(distinct concat(provider, '-', model)) as n, min(concat(provider, '-', model)) as llm, left(sha256(string_agg(s, '|' order by s)), 8) as digest
+        from (select distinct run, provider, model, concat(provider, '-', model, '-', effort) as s from o_run) x group by 1""",
+}
+
+
+@query(
+    "b30_run_names",
+    """select s.run, concat(case when n = 1 then concat(llm, '-', efforts) else concat(n, '-models-', digest) end, '__', roles, '__scorer-direct-scorer-none') as run_name
+       from o_settings s join o_efforts e on s.run = e.run join o_roles r on s.run = r.run""",
+    NAMED,
+)
+def run_names(t: Tables) -> DataFrame:
+    """Names of runs of one model, of one role with several models, and of everything."""
+    rows = t.sql(NAMED["o_run"].replace("replace(model, '/', '_')", "model")).withColumn("model", K.slug("model"))
+    return W.run_names(rows, "run", "condition_id", "direct-scorer-none")
+
+
 @query(
     "c1_drop_known_duplicates",
     """select d.doc_id, case when trim(d.text) = '' then 'no text' when r.n > 1 then 'text repeats' end as rule from documents d

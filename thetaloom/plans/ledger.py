@@ -257,6 +257,30 @@ def recheck_stored(t: Tables) -> DataFrame:
     return W.recheck(t.sql(OUTPUTS_SQL), reason).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "reason")
 
 
+ALLOWED = {
+    "o_items": "select distinct item_key, item_type, max_points from v_answers",
+    "o_allowed": """select item_key, 'answer' as field, letter as value from o_items join (select 'A' as letter union all select 'B' union all select 'C') l on item_type = 'multiple_choice'
+        union all select item_key, 'answer', null from o_items where item_type <> 'multiple_choice'
+        union all select item_key, 'category', category from o_items join (select 'Correct Response' as category union all select 'Incorrect Response') c on item_type <> 'multiple_choice'
+        union all select item_key, 'category', 'Partial Response' from o_items where item_type <> 'multiple_choice' and item_key like '%9'""",
+    "o_given": """select condition_id, l_orderkey, l_linenumber, item_key, 'answer' as field, answer as value from v_answers
+        union all select condition_id, l_orderkey, l_linenumber, item_key, 'category', category from v_answers where item_type <> 'multiple_choice' or l_linenumber = 7""",
+}
+
+
+@query(
+    "b27_answer_validation",
+    """select * from (select g.condition_id, g.l_orderkey, g.l_linenumber, g.item_key, g.field, g.value, case when not exists (select 1 from o_allowed a where a.item_key = g.item_key and a.field = g.field) then 'unexpected field'
+       when value is null or trim(value) = '' then 'no output' when not exists (select 1 from o_allowed a where a.item_key = g.item_key and a.field = g.field and (a.value is null or a.value = g.value)) then 'not an allowed value' end as reason from o_given g) x
+       where reason is not null""",
+    ALLOWED,
+)
+def answer_validation(t: Tables) -> DataFrame:
+    """Option letters beside the item's options, empty answers, and scorers' categories that the guide does not have."""
+    items = t.sql(ALLOWED["o_items"])
+    return V.answer_problems(t.sql(ALLOWED["o_given"]), t.sql(ALLOWED["o_allowed"], o_items=items))
+
+
 QUESTIONS_SQL = "select item_key, parameter, case when irt_model = '3PL' then 7 else 6 end as criteria from v_items join (select 'slope' as parameter union all select 'location') p on true"
 PROBS_SQL = """select concat('P', cast(l_partkey as varchar(20))) as item_key, case when l_returnflag = 'R' then 'slope' when l_returnflag = 'A' then 'location' else 'guessing' end as parameter, l_linenumber - 1 as position,
     round(sum(l_tax), 4) as probability from lineitem group by 1, 2, 3"""
