@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thetaloom.functions.scoring import predicted_parameters
@@ -71,10 +71,13 @@ def parameters_text(names: Column, values: dict[str, str]) -> Column:
     return F.concat_ws(", ", *entries)
 
 
-def reference_blocks(references: DataFrame, block: Column) -> DataFrame:
-    """The blocks of each target's reference items, in rank order. A target has at most a few reference items."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    return references.groupBy("target_key").agg(F.array_join(F.transform(ordered, lambda e: e["block"]), "\n\n").alias("reference_text"))
+def reference_blocks(references: DataFrame, block: Column, top: int, order: tuple[str, ...]) -> DataFrame:
+    """The blocks of each target's first ``top`` reference items by ``order``, which has no ties. The cut is made before
+    anything is collected, so a target may have any number of references."""
+    place = F.row_number().over(Window.partitionBy("target_key").orderBy(*order))
+    first = references.select("target_key", *order, block.alias("block")).withColumn("rank", place).filter(F.col("rank") <= top)
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "block")))
+    return first.groupBy("target_key").agg(F.array_join(F.transform(ordered, lambda e: e["block"]), "\n\n").alias("reference_text"))
 
 
 def guide_text(categories: DataFrame) -> DataFrame:

@@ -362,24 +362,49 @@ def prompt_leaks(t: Tables) -> DataFrame:
     return P.leaks(prompts, items, "doc_id", ["item_id"])
 
 
-@query("b22_prediction_prompts")
+REFERENCE_ITEMS = 5
+PREDICTED_FROM = {
+    "o_spread": """select grade, irt_model, scaled_points, round(avg(location), 3) as mean, round(stddev_samp(location), 3) as sd, round(min(location), 3) as low, round(max(location), 3) as high from v_items group by 1, 2, 3""",
+    "o_linked": """select target_key, r.item_key, row_number() over (partition by target_key order by first_place, r.item_key) as rank, concat('Reference item ', r.item_key, ': slope (a) = ', printf('%.3f', slope), ', location (b) = ', printf('%.3f', location),
+        case irt_model when '3PL' then concat(', guessing (c) = ', printf('%.3f', guessing)) when 'GPCM' then concat(', step 1 (d_1) = ', printf('%.3f', step1), ', step 2 (d_2) = ', printf('%.3f', step2)) else '' end) as block
+        from v_references r join v_items i on r.item_key = i.item_key""",
+    "o_blocks": f"select target_key, string_agg(block, concat(chr(10), chr(10)) order by rank) as reference_text from o_linked where rank <= {REFERENCE_ITEMS} group by 1",
+}
+
+
+@query(
+    "b22_prediction_prompts",
+    """select i.item_key, concat('You predict the parameters of mathematics items for grade ', i.grade, '.') as system_prompt,
+       concat('Locations: mean ', mean, ', sd ', coalesce(cast(sd as varchar), ''), ', from ', low, ' to ', high, '.', chr(10), chr(10), coalesce(reference_text, ''), chr(10), chr(10), 'New item, scored with ', i.irt_model, ', on the scale of ', calibration, '.') as user_prompt
+       from v_items i join o_spread s on i.grade = s.grade and i.irt_model = s.irt_model and i.scaled_points = s.scaled_points left join o_blocks b on i.item_key = b.target_key""",
+    PREDICTED_FROM,
+)
 def prediction_prompts(t: Tables) -> DataFrame:
     """System and user prompt of each item: the summary of its scoring group, its reference items in order, the item."""
     from thetaloom.functions.scoring import model_parameters
     from thetaloom.operators.errors import SCORING, distribution
 
     summary = distribution(t.v_items, SCORING, "location")
-    linked = t.v_references.withColumn("rank", F.col("first_place")).join(t.v_items, "item_key")
+    linked = t.v_references.join(t.v_items, "item_key")
     values = {name: name for name in ("slope", "location", "guessing", "step1", "step2")}
     block = F.concat(F.lit("Reference item "), "item_key", F.lit(": "), P.parameters_text(model_parameters("irt_model", "scaled_points"), values))
-    blocks = P.reference_blocks(linked, block).withColumnRenamed("target_key", "item_key")
+    blocks = P.reference_blocks(linked, block, REFERENCE_ITEMS, ("first_place", "item_key")).withColumnRenamed("target_key", "item_key")
     items = t.v_items.select("item_key", *SCORING, "calibration").join(summary.drop("items"), SCORING).join(blocks, "item_key", "left")
     system = P.by_value("grade", {g: "You predict the parameters of mathematics items for grade {grade}." for g in (4, 8, 12)})
     user = P.filled("Locations: mean {mean}, sd {sd}, from {min} to {max}.\n\n{reference_text}\n\nNew item, scored with {irt_model}, on the scale of {calibration}.")
     return items.select("item_key", system.alias("system_prompt"), user.alias("user_prompt"))
 
 
-@query("b24_scorer_prompts")
+@query(
+    "b24_scorer_prompts",
+    r"""select r.item_key, r.answer, concat('# Scoring guide', chr(10), chr(10), guide, chr(10), chr(10), '# Response', chr(10), chr(10), r.answer) as user_prompt from (
+        select distinct item_key, answer from v_answers where item_type = 'constructed_response' and trim(answer) <> '') r join (
+        select item_key, coalesce(string_agg(concat('- ', category, ' (', cast(points as varchar), case when points = 1 then ' point)' else ' points)' end), chr(10) order by position) filter (where points is not null), '') as guide from (
+        select item_key, position, category, case when lower(name) like 'incorrect%' then 0 when lower(name) like 'partial%' and top >= 2 then top - 1 when lower(name) like 'correct%' then top end as points from (
+        select *, case when regexp_matches(category, '^M\d{6}[A-Z] ') then regexp_extract(category, '^(M\d{6}[A-Z]) (.+)$', 2) else category end as name,
+        case when regexp_matches(category, '^M\d{6}[A-Z] ') then 1 else max_points end as top from o_guides) x) y group by 1) g on r.item_key = g.item_key""",
+    {"o_guides": GUIDES_SQL},
+)
 def scorer_prompts(t: Tables) -> DataFrame:
     """The guide of each item with the points of its categories, and each distinct response to it."""
     guides = P.guide_text(guide_categories(t.sql(GUIDES_SQL)))
