@@ -137,11 +137,11 @@ def test_benchmarks(spark):
 
 
 def test_keys_and_labels(spark):
-    df = spark.createDataFrame([("A 1995", 4, "Mathematics", "M031346A", "Joint 1995 and 1999-2003 calibration")], "assessment string, grade int, subject string, item_id string, calibration string")
+    df = spark.createDataFrame([("A 1995", 4, "Mathematics", "M061480A", "Joint 1995 and 1999-2003 calibration")], "assessment string, grade int, subject string, item_id string, calibration string")
     row = df.select(
         K.item_key("assessment", "grade", "subject", "item_id").alias("key"), K.base_item_id("item_id").alias("base"), K.calibration_label("calibration", "grade").alias("label")
     ).first()
-    assert tuple(row) == ("A 1995/grade 4/Mathematics/M031346A", "M031346", "Grade 4, 1995-2003")
+    assert tuple(row) == ("A 1995/grade 4/Mathematics/M061480A", "M061480", "Grade 4, 1995-2003")
     names = {"V4": "V4", "T02B": "T02", "AB": "AB", "K1a": "K1a"}
     for name, base in names.items():
         assert one(spark, K.base_item_id(F.lit(name)).alias("b"))["b"] == base

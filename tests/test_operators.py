@@ -53,11 +53,11 @@ def test_score_answers(spark):
 
 def test_guides(spark):
     rows = [("ok", 2, 1, "Correct Response"), ("ok", 2, 2, "Partial Response"), ("ok", 2, 3, "Incorrect Response"), ("gap", 2, 1, "Correct"), ("gap", 2, 2, "Incorrect"),
-            ("odd", 1, 1, "Whatever"), *[("parts", 2, i, f"M042300{p} {c}") for i, (p, c) in enumerate([("A", "Correct"), ("A", "Incorrect"), ("B", "Correct"), ("B", "Incorrect")])],
-            *[("mixed", 2, i, c) for i, c in enumerate(["M042300A Correct", "M042300A Incorrect", "Correct", "Incorrect"])]]
+            ("odd", 1, 1, "Whatever"), *[("parts", 2, i, f"M071905{p} {c}") for i, (p, c) in enumerate([("A", "Correct"), ("A", "Incorrect"), ("B", "Correct"), ("B", "Incorrect")])],
+            *[("mixed", 2, i, c) for i, c in enumerate(["M071905A Correct", "M071905A Incorrect", "Correct", "Incorrect"])]]
     guides = spark.createDataFrame(rows, "item_key string, max_points int, position int, category string")
     assert {r["item_key"] for r in I.guide_violations(guides).collect()} == {"gap", "odd", "mixed"}
-    assert {r["part"] for r in I.guide_categories(guides).filter("item_key = 'parts'").collect()} == {"M042300A", "M042300B"}
+    assert {r["part"] for r in I.guide_categories(guides).filter("item_key = 'parts'").collect()} == {"M071905A", "M071905B"}
 
 
 def test_unknown_metadata_field(tables):

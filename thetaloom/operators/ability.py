@@ -246,6 +246,7 @@ def _estimates(block: _Block, starts: np.ndarray, step: float) -> dict[str, np.n
         information = _sums_by_group(block.information, vertex[:, None], starts, rows)[:, 0]
         error = 1 / np.sqrt(information)
     note = np.full(len(starts), None, dtype=object)
+    # The reasons of an infinite estimate.
     note[beyond], note[perfect], note[zero] = "beyond ±6", "perfect score", "zero score"
     finite = note == None  # noqa: E711
     infinite = np.where(zero | (beyond & (coarse < 0)), -np.inf, np.inf)

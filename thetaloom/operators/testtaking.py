@@ -13,6 +13,7 @@ from thetaloom.operators.order_stats import quantiles
 from thetaloom.session import spread
 from thetaloom.sources.files import require_empty
 
+# Fixed value: what stands for an empty answer.
 NO_RESPONSE = "(no response)"
 
 
