@@ -480,7 +480,7 @@ def same_text_two_grades(t: Tables) -> DataFrame:
 REPEATED_SQL = "select item_key, grade, concat(p_brand, ' ', p_type) as text, case when p_size % 9 <> 0 then round(p_retailprice / 1e1 - 5e1 + p_size, 4) end as percent_correct from v_items join part on pk = p_partkey"
 CREDIT = {
     "o_text": REPEATED_SQL,
-    "o_grade": f"""select text, grade, count(*) as items, avg(percent_correct) as human, {', '.join(f'sum(s{c}) / nullif(sum(n{c}), 0) as c{c}' for c in STUDENTS)} from o_text t left join (
+    "o_grade": f"""select text, grade, count(*) as items, round(avg(percent_correct), 12) as human, {', '.join(f'sum(s{c}) / nullif(sum(n{c}), 0) as c{c}' for c in STUDENTS)} from o_text t left join (
         select item_key, {', '.join(f'sum(case when condition_id = {c} then full_credit * 1e0 end) as s{c}, count(case when condition_id = {c} then 1 end) as n{c}' for c in STUDENTS)} from v_item_level where role = 'student' group by 1) x
         on t.item_key = x.item_key group by 1, 2""",
 }
@@ -499,7 +499,8 @@ def repeated_texts(t: Tables) -> DataFrame:
         *[f(F.when(F.col("condition_id") == c, F.col("full_credit"))).alias(f"{n}{c}") for c in STUDENTS for n, f in (("s", F.sum), ("n", F.count))]
     )
     items = t.sql(REPEATED_SQL).join(credit, "item_key", "left")
-    measures = {"percent_correct": F.avg("percent_correct"), **{str(c): F.sum(f"s{c}") / F.nullif(F.sum(f"n{c}"), F.lit(0)) for c in STUDENTS}}
+    # To 12 digits first, so that the order of summation does not decide how a mean in the middle is rounded.
+    measures = {"percent_correct": F.round(F.avg("percent_correct"), 12), **{str(c): F.sum(f"s{c}") / F.nullif(F.sum(f"n{c}"), F.lit(0)) for c in STUDENTS}}
     return rounded(T.texts_at_two_grades(items, "text", measures))
 
 
