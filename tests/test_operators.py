@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from thetaloom.operators import integrity as I
 from thetaloom.operators import layout as L
 from thetaloom.operators import records as D
-from thetaloom.operators import cells, postings
+from thetaloom.operators import cells, curves, postings
 from thetaloom.operators import retrieval as R
 from thetaloom.operators import testtaking as T
 from thetaloom.operators import validation as V
@@ -197,6 +197,25 @@ def test_three_points(spark):
     assert {r["score"] for r in grid.select("score").distinct().collect()} == {0, 1, 2, 3}
 
 
+def test_log_probability_totals(spark, monkeypatch):
+    """Against the rows of the grid, added up: groups of many and single items and a missing group, missing parameters, scores
+    above the points of a 2PL item, more groups than a task holds. Steep curves are not below the floor."""
+    monkeypatch.setattr(curves, "GROUPS", 2)
+    items = [("3PL", 1, 1.2, 0.3, 0.2, None, None, None), ("2PL", 2, 0.7, -1.0, None, None, None, None), ("GPCM", 2, 1.0, 0.5, None, 0.4, -0.4, None), ("GPCM", 3, 0.9, 0.0, None, 0.5, 0.1, -0.6)]
+    items += [("3PL", 1, None, 0.3, 0.2, None, None, None), ("GPCM", 2, 1.0, None, None, 0.4, -0.4, None), (None, 1, 1.0, 0.0, None, None, None, None), ("2PL", None, 1.0, 0.0, None, None, None, None), ("2PL", 1, 60.0, 5.0, None, None, None, None)]
+    rows = [(f"i{n}-{k}", group, *item) for k, group in enumerate(["a"] * 40 + ["b", None, "c", "d"]) for n, item in enumerate(items)]
+    df = spark.createDataFrame(rows, "item_key string, calibration string, irt_model string, scaled_points int, slope double, location double, guessing double, step1 double, step2 double, step3 double")
+    found = {(r["calibration"], r["score"], r["g"]): (r["total"], r["items"]) for r in curves.log_probability_totals(df, ["calibration"], 0.5).collect()}
+    grid = T.log_probability_grid(df, step=0.5).join(df.select("item_key", "calibration"), "item_key")
+    wanted = grid.groupBy("calibration", "score", F.round((F.col("theta") + 6) / 0.5).cast("int").alias("g")).agg(F.sum("log_probability").alias("total"), F.count("*").alias("items")).collect()
+    assert len(wanted) == len(found) == 5 * 4 * 25
+    for r in wanted:
+        total, n = found[r["calibration"], r["score"], r["g"]]
+        assert n == r["items"] and total == pytest.approx(r["total"], abs=1e-6)
+    plan = curves.log_probability_totals(df, ["calibration"])._jdf.queryExecution().executedPlan().toString()
+    assert "sequence" not in plan  # no row per item and ability
+
+
 def test_files_check_their_rules(spark, tables):
     from thetaloom.plans.items import released_records
 

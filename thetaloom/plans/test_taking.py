@@ -11,6 +11,7 @@ from thetaloom.operators import records as D
 from thetaloom.operators import testtaking as T
 from thetaloom.operators.ability import estimate_theta
 from thetaloom.operators.bootstrap import bootstrap_interval
+from thetaloom.operators.curves import log_probability_totals
 from thetaloom.operators.errors import correlations
 from thetaloom.operators.reporting import largest_calibration
 from thetaloom.operators.usage import condition_usage
@@ -97,10 +98,7 @@ def test_information(t: Tables) -> DataFrame:
 )
 def log_probability_grid(t: Tables) -> DataFrame:
     """The grid of ln P summed over the items of each calibration, at all 1,201 abilities."""
-    values = ItemModel().probabilities("theta")
-    entries = F.array(*[F.struct(F.lit(k).alias("score"), F.ln(F.greatest(p, F.lit(1e-300))).alias("lp")) for k, p in enumerate(values)])
-    rows = T.with_grid(t.v_items).select("calibration", "_g", "scaled_points", F.inline(entries)).filter("score <= scaled_points")
-    return rounded(rows.groupBy("calibration", "score", F.col("_g").alias("g")).agg(F.sum("lp").alias("total"), F.count("*").alias("items")), 5)
+    return rounded(log_probability_totals(t.v_items, ["calibration"]).select("calibration", "score", "g", "total", "items"), 5)
 
 
 @query("g7_person_fit", f"""select respondent, calibration, count(*) as items, round((sum(lo) - sum(mean)) / sqrt(sum(square - mean * mean)), 5) as l_z from (
