@@ -134,3 +134,26 @@ def test_bootstrap_forms_agree(spark):
     # The result does not depend on the partitioning.
     again = bootstrap_interval(df.repartition(5, "item"), ["g"], "item", "points", "top").first()
     assert tuple(again) == tuple(exact)
+
+
+def test_interpolated_likelihood():
+    """Against the sums at every point of the grid: mixed models, short and long groups, groups of one model alone."""
+    rng = np.random.default_rng(3)
+    rows = 3000
+    gpcm = np.where(np.arange(rows) < 40, np.arange(rows) < 20, rng.random(rows) < 0.2)
+    points = np.where(gpcm, 2, 1)
+    columns = {
+        "irt_model": np.where(gpcm, "GPCM", np.where(rng.random(rows) < 0.5, "3PL", "2PL")).astype(object), "score": rng.integers(0, points + 1), "scaled_points": points,
+        "slope": rng.uniform(0.5, 2.0, rows), "location": rng.uniform(-2.5, 2.5, rows), "guessing": np.where(gpcm, np.nan, rng.uniform(0, 0.3, rows)),
+    }
+    step = rng.uniform(0.2, 0.9, rows)
+    columns |= {"step1": np.where(gpcm, step, np.nan), "step2": np.where(gpcm, -step, np.nan), "step3": np.full(rows, np.nan)}
+    starts = np.unique(np.r_[0, 20, 40, 41, rng.integers(42, rows, 25)])
+    block = ability._Block(columns)
+    found = ability._interpolated(block, 0.01, starts)
+    assert np.abs(found - ability._products_by_group(block, 0.01, 1201, starts)).max() < 1e-9
+    assert ability._interpolated(block, 0.5, starts) is None  # fewer points than nodes
+    columns["slope"][7] = 9.0
+    assert ability._interpolated(ability._Block(columns), 0.01, starts) is None
+    columns["slope"][7], columns["scaled_points"][3] = 1.0, 3
+    assert ability._interpolated(ability._Block(columns), 0.01, starts) is None

@@ -12,6 +12,7 @@ A pattern is the set of responses of one group (such as a respondent on a calibr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ FINE_HALF_WIDTH, FINE_STEP = 0.02, 1e-4
 ROWS_PER_BLOCK = 64
 REPEATED_ROWS = 4096
 ROWS_PER_LOGARITHM, FACTOR, MODERATE_REACH = 4, 32, 160.0
+NODES = 36.0
 
 ESTIMATE_FIELDS = (
     "items bigint, points bigint, max_points bigint, theta_eap double, theta_eap_se double, theta_mle double, "
@@ -153,6 +155,18 @@ class _Block:
             out[picked] = np.take_along_axis(weights, score[picked][None, :, None], axis=0)[0] / weights.sum(axis=0)
         return out
 
+    def observed_at(self, theta: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """P(observed score) of dichotomous rows at ``theta``, to its full precision where it is small."""
+        one, rest = (self.score[rows] == 1)[:, None], 1 - self.guessing[rows, None]
+        odds = theta - self.location[rows, None]
+        odds *= -SCALING * self.slope[rows, None]
+        np.exp(odds, out=odds)
+        out = rest * np.where(one, 1.0, odds)
+        odds += 1
+        out /= odds
+        out += np.where(one, 1 - rest, 0.0)
+        return out
+
     def information(self, theta: np.ndarray, rows: slice) -> np.ndarray:
         slope, location = self.slope[rows, None], self.location[rows, None]
         guessing = self.guessing[rows, None]
@@ -190,10 +204,61 @@ def _grid_likelihood(block: _Block, step: float, starts: np.ndarray) -> np.ndarr
         place = place.ravel()
         return _sums_by_group(lambda _, rows: curves[place[rows]], theta[None, :], starts, len(block))
     if block.moderate():
-        return _products_by_group(block, step, len(theta), starts)
+        found = _interpolated(block, step, starts)
+        return _products_by_group(block, step, len(theta), starts) if found is None else found
     return _sums_by_group(block.log_likelihood, theta[None, :], starts, len(block))
 
 
+@lru_cache(maxsize=8)
+def _from_nodes(count: int, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Chebyshev nodes of the range of the grid, and the matrix that takes values there to the grid (barycentric form)."""
+    angle = np.pi * (2 * np.arange(count) + 1) / (2 * count)
+    nodes = (THETA_MIN + THETA_MAX) / 2 + (THETA_MAX - THETA_MIN) / 2 * np.cos(angle)
+    apart = grid(step)[:, None] - nodes
+    weight = (-1.0) ** np.arange(count) * np.sin(angle) / np.where(apart == 0, 1.0, apart)
+    weight = np.where((apart == 0).any(axis=1, keepdims=True), apart == 0, weight)
+    return nodes, weight / weight.sum(axis=1, keepdims=True)
+
+
+def _interpolated(block: _Block, step: float, starts: np.ndarray) -> np.ndarray | None:
+    """The same sums from their values at fewer abilities. ln P of an item has no singular point nearer to the grid than
+    pi / (1.7 |a|), or that over the steps of a GPCM item, so the polynomial through ``count`` Chebyshev nodes is off by
+    exp(-NODES) of the values. None where that takes too many nodes, or parameters are not those of the models."""
+    steps = (~np.isnan(block.steps)).sum(axis=1)
+    right = np.where(block.gpcm, (steps == block.points) & (block.score <= block.points), (block.guessing >= 0) & (block.guessing < 1))
+    if not right.all():
+        return None
+    places = len(grid(step))
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(block))))
+    kinds = []
+    for mine, degree in ((np.flatnonzero(~block.gpcm), 1), (np.flatnonzero(block.gpcm), int(steps.max(initial=1)) or 1)):
+        if len(mine):
+            near = np.pi / (degree * SCALING * max(np.abs(block.slope[mine]).max(), 1e-3)) / ((THETA_MAX - THETA_MIN) / 2)
+            count = int(-(-NODES / np.arcsinh(near) // 32)) * 32
+            if 2 * count > places:
+                return None
+            kinds.append((mine, count))
+    sums = np.zeros((len(starts), places))
+    for mine, count in kinds:
+        nodes, matrix = _from_nodes(count, step)
+        firsts = np.flatnonzero(np.append(True, owner[mine][1:] != owner[mine][:-1]))
+        at_nodes = np.zeros((len(firsts), count))
+        place = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(mine))))
+        for begin in range(0, len(mine), ROWS_PER_BLOCK):
+            part = mine[begin : begin + ROWS_PER_BLOCK]
+            groups = place[begin : begin + ROWS_PER_BLOCK]
+            first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+            if block.gpcm[part[0]]:
+                sums_here = np.add.reduceat(block.log_likelihood(nodes[None, :], part), first, axis=0)
+            else:
+                pieces = np.union1d(first, np.arange(0, len(part), ROWS_PER_LOGARITHM))
+                logs = np.log(np.multiply.reduceat(block.observed_at(nodes, part), pieces, axis=0))
+                sums_here = np.add.reduceat(logs, np.searchsorted(pieces, first), axis=0)
+            at_nodes[groups[first]] += sums_here
+        sums[owner[mine][firsts]] += at_nodes @ matrix.T
+    return sums
+
+
 def _products_by_group(block: _Block, step: float, count: int, starts: np.ndarray) -> np.ndarray:
     """The same sums of logarithms with one logarithm for the product of several rows of a group, which moderate
     parameters keep far from underflow."""
