@@ -87,20 +87,26 @@ def block_percent_correct(cells: DataFrame) -> DataFrame:
     labels = cells.filter("col = 0").select("sheet", "sheet_row", F.trim("value").alias("label"))
     start = F.col("label").startswith(BLOCK_START)
     before = Window.partitionBy("sheet").orderBy("sheet_row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = labels.withColumn("block", F.sum(start.cast("int")).over(before))
-    where = lambda test: F.min(F.when(test, F.col("sheet_row")))
-    bounds = rows.groupBy("sheet", "block").agg(
-        where(start).alias("_start"), where(F.col("label") == BLOCK_FIRST).alias("_first"),
-        where(F.col("label").startswith(BLOCK_MARKER)).alias("_marker"), where(F.col("label").startswith(BLOCK_END)).alias("_end"),
-    )
-    placed = rows.join(bounds, ["sheet", "block"])
-    values = cells.filter("col > 0").join(placed, ["sheet", "sheet_row"])
-    items = values.filter("sheet_row = _start").select("sheet", "block", "col", F.nullif(F.regexp_extract("value", ITEM_IN_CELL, 1), F.lit("")).alias("item_id"))
-    inside = values.filter("sheet_row >= _first and sheet_row < _end and (sheet_row < _marker or sheet_row > _marker)")
-    return inside.join(items.filter("item_id is not null"), ["sheet", "block", "col"]).select(
-        "sheet", "item_id", F.col("label").alias("education_system"), cell_value("value").alias("pct_correct"),
-        (F.col("sheet_row") > F.col("_marker")).alias("benchmarking"), (F.col("sheet_row") == F.col("_first")).alias("international"),
+    rows = labels.withColumn("block", F.sum(start.cast("int")).over(before)).filter("sheet is not null and block is not null")
+    block = Window.partitionBy("sheet", "block")
+    first = lambda test: F.min(F.when(test, F.col("sheet_row"))).over(block)
+    placed = rows.withColumns({
+        "_start": first(start), "_first": first(F.col("label") == BLOCK_FIRST),
+        "_marker": first(F.col("label").startswith(BLOCK_MARKER)), "_end": first(F.col("label").startswith(BLOCK_END)),
+    })
+    # A column's item stands in the block's first row. A window over the column gives it to the rows below, so the cells are
+    # not joined with themselves.
+    inside = F.expr("sheet_row >= _first and sheet_row < _end and (sheet_row < _marker or sheet_row > _marker)")
+    value = F.struct(
+        F.col("label").alias("education_system"), cell_value("value").alias("pct_correct"), (F.col("sheet_row") > F.col("_marker")).alias("benchmarking"),
+        (F.col("sheet_row") == F.col("_first")).alias("international"),
     )
+    item = F.when(F.col("sheet_row") == F.col("_start"), F.nullif(F.regexp_extract("value", ITEM_IN_CELL, 1), F.lit("")))
+    values = cells.filter("col > 0").join(placed, ["sheet", "sheet_row"]).select("sheet", "block", "col", F.when(inside, value).alias("_value"), item.alias("_item"))
+    values = values.filter("_value is not null or _item is not null")
+    items = F.collect_list("_item").over(Window.partitionBy("sheet", "block", "col"))
+    below = values.withColumn("_items", items).filter("_value is not null")
+    return below.select("sheet", F.explode("_items").alias("item_id"), "_value.*")
 
 
 def item_averages(table: DataFrame) -> DataFrame:

@@ -153,6 +153,18 @@ select concat('S', cast(o_custkey as varchar(20))), o_orderkey * 10 + k.row_kind
 from orders cross join (select 0 as row_kind union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) k"""
 
 
+# The same cells with a line item once in the aggregation, by its numbers, and not once for each kind of row.
+CELLS_FORM = f"""
+select concat('S', cast(o_custkey as varchar(20))) as sheet, l_orderkey * 10 + row_kind as sheet_row, l_linenumber as col, value
+from (select o_custkey, l_orderkey, l_linenumber, max(concat('Number (M', lpad(cast(l_partkey as varchar(9)), 6, '0'), ')')) as v0,
+             max(cast(cast(l_quantity + 1 as int) as varchar(9))) as v1,
+             max(case when l_returnflag = 'N' then 'N/A' else cast(cast(l_quantity + 2 as int) as varchar(9)) end) as v2,
+             max(case when l_returnflag = 'A' then ' — ' else cast(cast(l_quantity + 4 as int) as varchar(9)) end) as v4
+      from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3) x
+lateral view stack(6, 0, v0, 1, v1, 2, v2, 3, null, 4, v4, 5, null) k as row_kind, value
+{CELLS_SQL[CELLS_SQL.index("union all" + chr(10)):]}"""
+
+
 @query(
     "a8_block_melt",
     """select sheet, i.item_id, max(case when kind = 1 then v end) as pct_correct_intl_avg, max(case when kind = 2 then v end) as pct_correct_home, count(case when kind in (2, 4) then 1 end) as education_systems,
@@ -163,7 +175,7 @@ from orders cross join (select 0 as row_kind union all select 1 union all select
     {"o_cells": CELLS_SQL},
 )
 def block_melt(t: Tables) -> DataFrame:
-    return L.item_averages(L.block_percent_correct(t.sql(CELLS_SQL)))
+    return L.item_averages(L.block_percent_correct(t.sql(CELLS_FORM)))
 
 
 @query("a9_harmonized_topics", """select concat('I', cast(p_partkey as varchar(20))) as item_id, p_type as domain, p_brand as spelling, upper(p_brand) as topic from part where p_size % 5 <> 0""")
