@@ -415,3 +415,33 @@ def test_forms_of_views_have_the_same_rows(spark, tmp_path):
         assert own.exceptAll(plain).isEmpty() and plain.exceptAll(own).isEmpty()
         text = own._jdf.queryExecution().optimizedPlan().toString()
         assert not any("min(" in line and "concat" in line.split("[")[1] or "max(" in line and "calibration" in line for line in text.splitlines() if "Aggregate" in line)
+
+
+def test_cells_have_one_form(spark):
+    """The cells that take a line item once are those of the query's SQL."""
+    from thetaloom.plans.ledger import CELLS_FORM, CELLS_SQL
+    from thetaloom.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    one, other = t.sql(CELLS_FORM), t.sql(CELLS_SQL)
+    assert one.exceptAll(other).count() == other.exceptAll(one).count() == 0
+
+
+def test_cells_of_a_sheet_are_joined_once(spark):
+    """The items of the columns come by a window: one join, of the cells with the labels of their rows."""
+    from thetaloom.operators.layout import block_percent_correct
+
+    cells = spark.createDataFrame([("S", 1, 0, "Item classification"), ("S", 1, 1, "Number (M1)")], "sheet string, sheet_row int, col int, value string")
+    plan = block_percent_correct(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_reference_means_join_totals(spark):
+    """Targets that come twice or with two kinds, missing kinds and values; the references are joined once, their totals after."""
+    from thetaloom.operators.errors import reference_means
+
+    items = spark.createDataFrame([("a", "2PL", 1, 1.0), ("a", "2PL", 1, 1.0), ("b", "2PL", 1, 2.0), ("b", "3PL", 1, 8.0), ("c", "2PL", 1, None), ("d", None, 1, 5.0), ("e", "2PL", 1, 4.0)], "item_key string, irt_model string, scaled_points int, slope double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "e"), ("b", "a"), ("b", "c"), ("e", "c"), ("d", "a"), (None, "a")], "target_key string, item_key string")
+    found = reference_means(pairs, items, ["slope"])
+    assert sorted(map(tuple, found.collect())) == [("a", 3.0, 4), ("b", 1.0, 3), ("e", None, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [target_key") >= 2
