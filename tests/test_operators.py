@@ -445,3 +445,15 @@ def test_reference_means_join_totals(spark):
     found = reference_means(pairs, items, ["slope"])
     assert sorted(map(tuple, found.collect())) == [("a", 3.0, 4), ("b", 1.0, 3), ("e", None, 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [target_key") >= 2
+
+
+def test_references_are_not_sorted(spark):
+    """Both joins hash their small side, and other kinds than the target's are gone before the sums."""
+    from thetaloom.operators.errors import reference_means
+
+    items = spark.createDataFrame([("a", "2PL", 1, 1.0), ("b", "2PL", 1, 2.0), ("b", "2PL", 1, 2.0), ("b", "3PL", 1, 8.0), ("c", "2PL", 1, None)], "item_key string, irt_model string, scaled_points int, slope double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "a"), ("b", "b"), ("c", "c")], "target_key string, item_key string")
+    found = reference_means(pairs, items, ["slope"])
+    assert sorted(map(tuple, found.collect())) == [("a", round(5 / 3, 12), 4), ("b", 3.2, 5), ("c", None, 1)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
