@@ -175,3 +175,42 @@ def test_all_training_texts_reach_the_context_model(spark):
     found = lm_score.scored(rows, part_of("doc_id", 7) == 2, VOCABULARY, part=4_000_000, sample=0).collect()
     held = [r for r in found if r.held_out]
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.6  # words alone: -0.605; untrained: -2.39
+
+
+def test_every_subword_is_predicted_from_its_context(spark):
+    """Words with one first subword, whose later ones follow from the words before: counts alone leave one in two open."""
+    known = lm_score.subwords(VOCABULARY)
+    one, other = "qwertle", "qwerton"
+    first, second = known.encode(" " + one), known.encode(" " + other)
+    assert first[0] == second[0] and first != second
+    rows = spark.createDataFrame([(i, f"{one} {other} " * 150) for i in range(1500)], "doc_id bigint, text string")
+    found = lm_score.scored(rows, part_of("doc_id", 7) == 2, VOCABULARY, part=2_000_000).collect()
+    held = [r for r in found if r.held_out]
+    assert held and sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.1  # by counts of words: -0.301
+    # The model's symbols are all ids of the text, with the ends of words, and its end.
+    block = lm_score.Block(lm_score.pa.array([f"{one}  {other.upper()}", None, one]), VOCABULARY)
+    symbols, counts = block.every(np.array([True, True, True]))
+    ids, ends = symbols >> 1, symbols & 1
+    assert ids.tolist() == [*first, *second, attention.IDS - 1, attention.IDS - 1, *first, attention.IDS - 1]
+    assert ends.tolist() == [0] * (len(first) - 1) + [1] + [0] * (len(second) - 1) + [1, 1, 1] + [0] * (len(first) - 1) + [1, 1]
+    assert counts.tolist() == [len(first) + len(second) + 1, 1, len(first) + 1]
+
+
+def test_steps_follow_the_slope():
+    """The first step of a rate is against the sign of the slope, found here by differences."""
+    rng = np.random.default_rng(5)
+    ids = np.r_[rng.integers(0, 9000, 50), attention.END, rng.integers(0, 9000, 8), attention.END]
+    counts, model = np.array([51, 9]), attention.fresh(3)
+    seen = attention.occurring(ids, counts)
+    loss = lambda m: -attention.log_probabilities({**m, "seen": seen}, ids, counts).sum()
+    stepped = attention.refined(model, ids, counts, rate=1e-3)
+    for name in attention.SHAPES:
+        change = (stepped[name] - model[name]).ravel()
+        for at in np.flatnonzero(change)[:: max(1, np.count_nonzero(change) // 12)]:
+            sides = []
+            for move in (1e-2, -1e-2):
+                other = model[name].copy()
+                other.ravel()[at] += move
+                sides.append(loss({**model, name: other}))
+            slope = (sides[0] - sides[1]) / 2e-2
+            assert abs(slope) < 5e-3 or np.sign(slope) == -np.sign(change[at]), (name, at, slope)

@@ -1,21 +1,24 @@
-"""Language-model scores: a self-attention model over subword ids, and word counts of the whole training part.
+"""Language-model scores: a self-attention model over subword ids, beside word counts of the whole training part.
 
-A word's first subword id in a public vocabulary, folded to ``SYMBOLS - 1`` symbols, is its symbol; a text is the
-sequence of its words' symbols and an end. The attention model gives each symbol's probability in its context, the
-counts give each word's probability among the words of its symbol, one more standing for all unseen; their product is the
-word's probability. So the model is over words, and its probabilities of all words and the end sum to one.
+A text is the sequence of its words' subword ids in a public vocabulary, each word with a space before it, and an end. The
+attention model gives every id, and whether its word ends with it, a probability after the ids before it: a word's
+probability is the product of those of its ids. For the ids after a word's first there is a second opinion, the word's share
+in the counts of words with this first id, one more standing for all unseen. The two are mixed, by how well each foretold the
+last ``PAST`` words of the text, and the text's score is the sum over its words and its end.
 
 The attention model begins with a sample of training texts. From there each block fits it further to all of its training
-texts, and the mean of the blocks' models, by their symbols, is the model: so every training text counts, at any size.
+texts, and the mean of the blocks' models, by their symbols, is the model: so every training text counts, at any size. How often
+a symbol occurs, from which its logits start, is counted over the whole training part.
 
-Texts are hashed to blocks of about ``PART`` bytes. A block sends each of its words once, with its symbol and its count
-in training texts, to the shard of the word's hash; the shard adds up and answers with the counts over the whole corpus.
+Texts are hashed to blocks of about ``PART`` bytes. A block sends each of its words once, with its count in
+training texts, to the shard of the word's hash; the shard adds up and answers with the counts over the whole corpus.
 No table of all words is ever in one place, and a frequent word is one entry a block.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaloom.llm import attention
-from thetaloom.llm.attention import END, SYMBOLS
-from thetaloom.llm.ragged import LOWER, U64, WHITE, Memo, flat, slices, span_hashes, spans
+from thetaloom.llm.attention import END, IDS, SYMBOLS
+from thetaloom.llm.ragged import LOWER, U64, WHITE, Memo, flat, gathered, slices, span_hashes, spans
 from thetaloom.llm.scratch import written
 from thetaloom.llm.suffix_dedup import _by, packed, unpacked
 
@@ -34,11 +37,15 @@ SAMPLE = 3_000
 SAMPLE_WORDS = 2_000
 """Words in one stretch of a longer sample text; stretches are taken at places spread over the whole text."""
 PIECES = 16
-"""Parts in which blocks send their models to be averaged, each to a shard of its own."""
+"""Parts in which blocks send their models to be averaged and their counts of symbols to be added up, each to a shard of its own."""
+PAST = 32
+"""Words before a word by which the two opinions on it are weighed."""
+STRETCH = 50_000
+"""Words, about, of the texts whose ids are in memory at once."""
 
 
 class Subwords:
-    """First subword ids of words, folded to symbols; kept from block to block."""
+    """Subword ids of words; kept from block to block."""
 
     def __init__(self, path: str, pattern: str):
         import base64
@@ -47,18 +54,23 @@ class Subwords:
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        if max(ranks.values()) >= IDS - 1:
+            raise ValueError(f"subword ids must be below {IDS - 1}")
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.memo, self.symbols = Memo(), np.zeros(0, np.int64)
+        self.memo, self.sizes, self.ids = Memo(), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
-    def of(self, keys: np.ndarray, words) -> np.ndarray:
-        """The symbol of each distinct word; ``words(i)`` are the words at ``i``."""
+    def of(self, keys: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each distinct word has, and the ids of all, word by word; ``words(i)`` are the words at ``i``."""
 
         def make(new: np.ndarray, fresh: bool) -> None:
-            ids = np.array([self.encode(" " + word)[0] for word in words(new)], np.int64) % END
-            self.symbols = ids if fresh else np.r_[self.symbols, ids]
+            each = [self.encode(" " + word) for word in words(new)]
+            sizes, ids = np.array([len(x) for x in each], np.int64), np.fromiter(chain.from_iterable(each), np.uint16)
+            self.sizes, self.ids = (sizes, ids) if fresh else (np.r_[self.sizes, sizes], np.r_[self.ids, ids])
+            self.starts = np.cumsum(self.sizes) - self.sizes
 
-        places = self.memo.places(keys, make)  # may add to the symbols
-        return self.symbols[places]
+        places = self.memo.places(keys, make)  # may add to the ids
+        sizes = self.sizes[places]
+        return sizes, self.ids[gathered(self.starts[places], sizes)] if len(keys) else self.ids[:0]
 
 
 @lru_cache(maxsize=2)
@@ -67,13 +79,13 @@ def subwords(vocabulary: tuple[str, str]) -> Subwords:
 
 
 class Block:
-    """The words of many texts: each distinct word's hash (sorted) and symbol, and of each text which words it has."""
+    """The words of many texts: each distinct word's hash (sorted) and symbols, and of each text which words it has."""
 
     def __init__(self, texts: pa.Array, vocabulary: tuple[str, str]):
         data, offsets = flat(texts)
         known = subwords(vocabulary)
         self.counts = np.zeros(len(offsets) - 1, np.int64)
-        parts, examples = [], []
+        parts, examples = [np.zeros(0, U64)], [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint16))]
         for low, high in slices(offsets):
             part = LOWER[data[offsets[low] : offsets[high]]]
             starts, ends, firsts = spans(~WHITE[part], offsets[low : high + 1] - offsets[low])
@@ -83,12 +95,42 @@ class Block:
             raw = part.tobytes()
             words = lambda i, raw=raw, a=starts[example], b=ends[example]: [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True)]
             parts.append(hashes)
-            examples.append((keys, known.of(keys, words)))
-        every = np.concatenate(parts) if parts else np.zeros(0, U64)
-        self.words, self.which = np.unique(every, return_inverse=True)
-        self.symbols = np.zeros(len(self.words), np.int64)
-        for keys, symbols in examples:
-            self.symbols[np.searchsorted(self.words, keys)] = symbols
+            examples.append((keys, *known.of(keys, words)))
+        self.words, self.which = np.unique(np.concatenate(parts), return_inverse=True)
+        keys, sizes, ids = (np.concatenate(x) for x in zip(*examples, strict=True))
+        _, example = np.unique(keys, return_index=True)
+        self.sizes, self.starts = sizes[example], (np.cumsum(sizes) - sizes)[example]
+        self.firsts = ids[self.starts]
+        self.symbols = 2 * ids.astype(np.int32)
+        self.symbols[np.cumsum(sizes) - 1] += 1
+
+    def stretches(self):
+        """Ranges of texts of about ``STRETCH`` words, with the place of their first word and the end of their last."""
+        offsets = np.r_[0, np.cumsum(self.counts)]
+        for low, high in slices(offsets, STRETCH):
+            yield low, high, offsets[low], offsets[high]
+
+    def sequences(self, low: int, high: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of a range of texts, each with its end, and their numbers."""
+        which = self.which[first:last]
+        sizes = self.sizes[which]
+        sums = np.r_[0, np.cumsum(sizes)]
+        words = np.r_[0, np.cumsum(self.counts[low:high])]
+        counts = np.diff(sums[words]) + 1
+        symbols = np.full(int(counts.sum()), END, np.int32)
+        inner = np.ones(len(symbols), bool)
+        inner[np.cumsum(counts) - 1] = False
+        symbols[inner] = self.symbols[gathered(self.starts[which], sizes)]
+        return symbols, counts
+
+    def every(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of the ``chosen`` texts, each with its end, and their numbers."""
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for low, high, first, last in self.stretches():
+            symbols, counts = self.sequences(low, high, first, last)
+            mine = chosen[low:high]
+            parts.append((symbols[np.repeat(mine, counts)], counts[mine]))
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
     def shards(self, count: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct words in the order of their shards, and those shards."""
@@ -105,59 +147,52 @@ def _block_counts(vocabulary: tuple[str, str], parts: int, begun: bytes):
         counts = np.bincount(block.which[np.repeat(learns, block.counts)], minlength=len(block.words))
         order, shard = block.shards(parts)
         own = table.column("block")[0].as_py()
-        out = [(target, own, packed(block.words[order[part]]), packed(counts[order[part]].astype(np.int64)), packed(block.symbols[order[part]].astype(np.uint16)), None) for target, part in _by(shard)]
-        symbols, sizes = _sequences(block)
-        symbols, sizes = symbols[np.repeat(learns, sizes)], sizes[learns]
+        out = [(target, own, packed(block.words[order[part]]), packed(counts[order[part]].astype(np.int64)), packed(block.firsts[order[part]]), None) for target, part in _by(shard)]
+        symbols, sizes = block.every(learns)
+        del block
         if len(symbols):
-            model = np.frombuffer(attention.packed(attention.refined(attention.unpacked(begun), symbols, sizes)), np.float32)
-            out += [(-1 - piece, own, packed(part), None, None, len(symbols)) for piece, part in enumerate(np.array_split(model, PIECES))]
+            fitted = attention.refined(attention.unpacked(begun, None), symbols, sizes)
+            model, seen = np.frombuffer(attention.packed(fitted), np.float32), attention.occurring(symbols, sizes).ravel()
+            out += [(-1 - piece, own, packed(part), packed(told), None, len(symbols)) for piece, (part, told) in enumerate(zip(np.array_split(model, PIECES), np.array_split(seen, PIECES), strict=True))]
         kinds = [pa.int64()] * 2 + [pa.binary()] * 3 + [pa.int64()]
-        return pa.table([pa.array(list(x), t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], names=["shard", "block", "words", "counts", "symbols", "size"])
+        return pa.table([pa.array(list(x), t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], names=["shard", "block", "words", "counts", "firsts", "size"])
 
     return run
 
 
-ANSWERS = "block bigint, shard bigint, counts binary, tokens array<bigint>, types array<bigint>"
-ANSWERED = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("tokens", pa.list_(pa.int64())), ("types", pa.list_(pa.int64()))])
+ANSWERS = "block bigint, shard bigint, counts binary, model binary, firsts array<bigint>, types array<bigint>"
+ANSWERED = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("model", pa.binary()), ("firsts", pa.list_(pa.int64())), ("types", pa.list_(pa.int64()))])
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """A shard's counts over all blocks to each block, in the order in which it asked; in a row without block the training
-    tokens and distinct words of each symbol. A shard below 0 has a part of each block's model, and gives their mean."""
-    if table.column("shard")[0].as_py() < 0:
+    """A shard's counts over all blocks to each block, in the order in which it asked; in a row without block how many
+    distinct training words begin with an id. A shard below 0 has a part of each block's model and of its counts of symbols, and gives the
+    models' mean and the counts' sum."""
+    shard = table.column("shard")[0].as_py()
+    if shard < 0:
         table = table.sort_by("block")
         sizes = table.column("size").to_numpy()
         mean = sum(unpacked(x.as_py(), np.float32).astype(np.float64) * n for x, n in zip(table.column("words"), sizes, strict=True)) / sizes.sum()
-        row = {"block": None, "shard": table.column("shard")[0].as_py(), "counts": packed(mean.astype(np.float32)), "tokens": None, "types": None}
+        seen = sum(unpacked(x.as_py(), np.int64) for x in table.column("counts"))
+        row = {"block": None, "shard": shard, "counts": packed(seen), "model": packed(mean.astype(np.float32)), "firsts": None, "types": None}
         return pa.Table.from_pylist([row], ANSWERED)
     words = [unpacked(x.as_py(), U64) for x in table.column("words")]
     keys, which = np.unique(np.concatenate(words), return_inverse=True)
     total = np.zeros(len(keys), np.int64)
     np.add.at(total, which, np.concatenate([unpacked(x.as_py(), np.int64) for x in table.column("counts")]))
-    symbol = np.zeros(len(keys), np.int64)
-    symbol[which] = np.concatenate([unpacked(x.as_py(), np.uint16) for x in table.column("symbols")])
+    first = np.zeros(len(keys), np.int64)
+    first[which] = np.concatenate([unpacked(x.as_py(), np.uint16) for x in table.column("firsts")])
     ends = np.cumsum([len(x) for x in words])
-    shard = table.column("shard")[0].as_py()
     answers = [packed(total[which[b - len(x) : b]]) for x, b in zip(words, ends, strict=True)]
-    tokens = np.bincount(symbol, weights=total, minlength=SYMBOLS).astype(np.int64)
-    types = np.bincount(symbol[total > 0], minlength=SYMBOLS)
     none = [None] * len(answers)
+    firsts, types = np.unique(first[total > 0], return_counts=True)
     return pa.table({
         "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "shard": pa.array([shard] * (len(answers) + 1), pa.int64()),
-        "counts": pa.array([*answers, None], pa.binary()), "tokens": pa.array([*none, tokens], pa.list_(pa.int64())), "types": pa.array([*none, types], pa.list_(pa.int64())),
+        "counts": pa.array([*answers, None], pa.binary()), "model": pa.array([*none, None], pa.binary()),
+        "firsts": pa.array([*none, firsts], pa.list_(pa.int64())), "types": pa.array([*none, types], pa.list_(pa.int64())),
     })
 
 
-def _sequences(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each with its end, and their lengths."""
-    counts = block.counts + 1
-    symbols = np.full(int(counts.sum()), END, np.int64)
-    inner = np.ones(len(symbols), bool)
-    inner[np.cumsum(counts) - 1] = False
-    symbols[inner] = block.symbols[block.which]
-    return symbols, counts
-
-
 def _fitted(vocabulary: tuple[str, str]):
     """The sample in one task, which its bound makes small, to the packed attention model."""
 
@@ -169,7 +204,7 @@ def _fitted(vocabulary: tuple[str, str]):
             piece = SAMPLE_WORDS // 8
             places = np.linspace(0, len(words) - piece, 8).astype(int) if len(words) > SAMPLE_WORDS else [0]
             texts += [" ".join(words[at : at + piece] if len(places) > 1 else words) for at in places]
-        symbols, counts = _sequences(Block(pa.array(texts, pa.string()), vocabulary))
+        symbols, counts = Block(pa.array(texts, pa.string()), vocabulary).every(np.ones(len(texts), bool))
         return pa.table({"model": pa.array([attention.packed(attention.trained(symbols, counts))], pa.binary())})
 
     return run
@@ -178,8 +213,21 @@ def _fitted(vocabulary: tuple[str, str]):
 SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _block_scores(vocabulary: tuple[str, str], parts: int, model: bytes, tokens: np.ndarray, types: np.ndarray):
-    total, distinct = int(tokens.sum()), int(types.sum())
+def _mixed(one: np.ndarray, other: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The log-probabilities of two opinions on the words of texts with ``counts`` words as one, each weighed by what it gave
+    the ``PAST`` words before in the text; alike at first."""
+    better = np.r_[0, np.cumsum(other - one)]
+    at = np.arange(len(one))
+    since = np.maximum(np.repeat(np.cumsum(counts) - counts, counts), at - PAST)
+    weight = better[at] - better[since]
+    return np.logaddexp(one - np.logaddexp(0, weight), other - np.logaddexp(0, -weight))
+
+
+def _block_scores(vocabulary: tuple[str, str], parts: int, learned: bytes, seen: bytes, train_texts: int, types: np.ndarray):
+    """``types`` are the distinct words of training texts by their first id."""
+    occurring = np.frombuffer(seen, np.int64).reshape(2, SYMBOLS)
+    tokens = occurring[1].reshape(IDS, 2).sum(axis=1)
+    total, distinct = int(tokens.sum()), int(types.sum()) + int(train_texts > 0)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs.column("text"), vocabulary)
@@ -188,23 +236,30 @@ def _block_scores(vocabulary: tuple[str, str], parts: int, model: bytes, tokens:
         count = np.zeros(len(block.words), np.int64)
         for target, part in _by(shard):
             count[order[part]] = told[target]
-        symbols, counts = _sequences(block)
-        inner = np.ones(len(symbols), bool)
-        inner[np.cumsum(counts) - 1] = False
-        seen = np.full(len(symbols), tokens[END], np.int64)
-        seen[inner] = count[block.which]
-        base = np.log10((seen + 1) / (total + 1 * (distinct + 1)))
-        # A word among those of its symbol, where one more stands for the unseen. The end is alone.
-        of_symbol = tokens + types + 1
-        within = np.zeros(len(symbols))
-        within[inner] = np.log((count[block.which] + 1) / of_symbol[block.symbols[block.which]])
-        own = (attention.log_probabilities(attention.unpacked(model), symbols, counts) + within) / np.log(10)
-        starts = np.cumsum(counts) - counts
-        sums = lambda x: np.add.reduceat(x, starts) if len(starts) else x
-        return pa.table({
-            "id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": counts, "n_known": sums((seen > 0).astype(np.int64)),
-            "base_score": sums(base), "score": sums(own),
-        })
+        known, base = count > 0, np.log10((count + 1) / (total + 1 * (distinct + 1)))
+        end = np.log10((train_texts + 1) / (total + 1 * (distinct + 1)))
+        # A word among those of its first id, where one more stands for the unseen.
+        within = np.log((count + 1) / (tokens + types + 1)[block.firsts])
+        model = attention.unpacked(learned, occurring)
+        begun = attention.started(occurring)
+        n_known, base_score, score = np.zeros(len(docs), np.int64), np.zeros(len(docs)), np.zeros(len(docs))
+        for low, high, first, last in block.stretches():
+            which, words = block.which[first:last], block.counts[low:high]
+            owner = np.repeat(np.arange(high - low), words)
+            summed = lambda x, owner=owner, size=high - low: np.bincount(owner, weights=x, minlength=size)
+            n_known[low:high] = summed(known[which]) + int(train_texts > 0)
+            base_score[low:high] = summed(base[which]) + end
+            symbols, counts = block.sequences(low, high, first, last)
+            ids, ends = attention.log_shares(model, begun, symbols, counts)
+            closing = np.cumsum(counts) - 1
+            inner = np.ones(len(symbols), bool)
+            inner[closing] = False
+            opening = np.cumsum(block.sizes[which]) - block.sizes[which]
+            every = (ids + ends)[inner]
+            opened = ids[inner][opening]
+            rest = np.add.reduceat(every, opening) - opened if len(opening) else opened
+            score[low:high] = (summed(opened + _mixed(within[which], rest, words)) + (ids + ends)[closing]) / np.log(10)
+        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": block.counts + 1, "n_known": n_known, "base_score": base_score, "score": score})
 
     return run
 
@@ -226,15 +281,14 @@ def scored(docs: DataFrame, held_out: Column, vocabulary: tuple[str, str], id: s
     chosen = source.where("not held_out").where(share).select(order.alias("order"), "text").dropDuplicates(["order"])
     fitted = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(_fitted(vocabulary), "model binary").first()
     begun = bytes(fitted.model) if fitted else attention.packed(attention.trained(np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    asked = blocked.groupBy("block").applyInArrow(_block_counts(vocabulary, parts, begun), "shard bigint, block bigint, words binary, counts binary, symbols binary, size bigint")
+    asked = blocked.groupBy("block").applyInArrow(_block_counts(vocabulary, parts, begun), "shard bigint, block bigint, words binary, counts binary, firsts binary, size bigint")
     answers = written(asked.groupBy("shard").applyInArrow(_answers, ANSWERS), "word_counts")
-    totals = answers.where("block is null").select(F.posexplode("tokens").alias("symbol", "tokens"), "types").groupBy("symbol").agg(F.sum("tokens").alias("tokens"), F.sum(F.get("types", F.col("symbol"))).alias("types")).collect()
-    tokens, types = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
-    for row in totals:
-        tokens[row.symbol], types[row.symbol] = row.tokens, row.types
-    tokens[END], types[END] = train_texts, int(train_texts > 0)
-    pieces = sorted((-row.shard, unpacked(row.counts, np.float32).tobytes()) for row in answers.where("block is null and shard < 0").select("shard", "counts").collect())
-    model = b"".join(piece for _, piece in pieces) or begun
+    types = np.zeros(IDS, np.int64)
+    for row in answers.where("block is null").select(F.inline(F.arrays_zip("firsts", "types"))).groupBy("firsts").agg(F.sum("types").alias("types")).collect():
+        types[row.firsts] = row.types
+    pieces = sorted((-row.shard, unpacked(row.model, np.float32).tobytes(), unpacked(row.counts, np.int64).tobytes()) for row in answers.where("block is null and shard < 0").select("shard", "model", "counts").collect())
+    model = b"".join(piece for _, piece, _ in pieces) or begun
+    seen = b"".join(piece for _, _, piece in pieces) or bytes(16 * SYMBOLS)
     replies = answers.where("block is not null").select("block", "shard", "counts")
-    scores = blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_block_scores(vocabulary, parts, model, tokens, types), SCORES)
-    return scores.withColumn("train_tokens", F.lit(int(tokens.sum())).cast("bigint"))
+    scores = blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_block_scores(vocabulary, parts, model, seen, train_texts, types), SCORES)
+    return scores.withColumn("train_tokens", F.lit(int(np.frombuffer(seen, np.int64)[SYMBOLS:].sum())).cast("bigint"))
