@@ -266,3 +266,33 @@ def test_correlation_guards(spark):
     rows = {r["g"]: r for r in E.correlations(df, ["g"], "x", "y").collect()}
     assert rows["two"]["pearson"] is None and rows["flat"]["spearman"] is None
     assert rows["ok"]["pearson"] == pytest.approx(-1) and rows["ok"]["spearman"] == pytest.approx(-1)
+
+
+def test_leave_one_out_hashes_totals(spark):
+    """Equal and missing keys and repeats; the items are not the hashed side, and those of one scoring group are in many tasks."""
+    rows = [("a", "2PL", 1, 7, 1.0), ("a", "2PL", 1, 7, 1.0), ("b", "2PL", 1, 8, 4.0), ("c", "2PL", 1, None, None), ("d", None, 1, 7, 5.0), ("e", None, 1, 9, 3.0)]
+    items = spark.createDataFrame(rows, "item_key string, irt_model string, scaled_points int, part_group int, slope double").withColumn("grade", F.lit(4))
+    found = E.leave_one_out(items, ["slope"])
+    assert sorted((r["item_key"], r["peers"], r["slope_mean"]) for r in found.collect()) == [("a", 2, 4.0), ("a", 2, 4.0), ("b", 3, 1.0), ("c", 3, 2.0), ("d", 1, 3.0), ("e", 1, 5.0)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == plan.count("BuildRight") == 2 and "BroadcastHashJoin" not in plan
+    alike = spark.range(2_000).selectExpr("id as item_key", "4 as grade", "'2PL' as irt_model", "1 as scaled_points", "id as part_group", "1.5d as slope")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = E.leave_one_out(alike, ["slope"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 1_500
+
+
+def test_stacked_in_one_pass(spark):
+    """Baselines come from the first run's rows, repeats and missing values included, in the pass over the runs' rows; rows are hashed to, not sorted."""
+    rows = [("r1", "a", 1.0, 2.0, 5.0, 7.0), ("r2", "a", 3.0, 2.0, 5.0, 8.0), ("r2", "a", 3.0, 2.0, 5.0, None), ("r1", "b", 1.0, 1.0, 1.0, 1.0), (None, "a", 9.0, 2.0, 5.0, 6.0)]
+    errors = spark.createDataFrame(rows, "run string, item_key string, predicted double, calibrated double, calibration_mean double, reference_mean double").withColumn("parameter", F.lit("slope"))
+    found = C.stacked(errors, ["r1", "r2"], reference_run="r2")
+    seen = [(r["run"], r["predicted"], r["abs_error"], r["reference_mean"]) for r in found.collect()]
+    own = [(None, 9.0, 7.0), ("calibration_mean", 5.0, 3.0), ("r1", 1.0, 1.0), ("r2", 3.0, 1.0), ("r2", 3.0, 1.0)]
+    expected = [(*row, reference) for row in own for reference in (None, 8.0)] + [("reference_mean", 8.0, 6.0, 8.0), ("reference_mean", None, None, None)]
+    assert sorted(seen, key=str) == sorted(expected, key=str)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "Union" not in plan and "SortMergeJoin" not in plan

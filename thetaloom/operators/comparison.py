@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +16,9 @@ PAIR = ["item_key", "parameter"]
 
 
 def common_items(errors: DataFrame, n_runs: int) -> DataFrame:
-    """The keys of the items that every run predicted."""
+    """The keys of the items that every run predicted. Where they meet rows, they are hashed and the rows not sorted."""
     seen = errors.groupBy("item_key", "run").agg(F.lit(1).alias("_one"))
-    return seen.groupBy("item_key").agg(F.count("*").alias("_runs")).filter(F.col("_runs") == n_runs).select("item_key")
+    return seen.groupBy("item_key").agg(F.count("*").alias("_runs")).filter(F.col("_runs") == n_runs).select("item_key").hint("shuffle_hash")
 
 
 def check_runs(runs: list[str]) -> None:
@@ -42,13 +41,13 @@ def stacked(errors: DataFrame, runs: list[str], reference_run: str | None = None
     check_runs(runs)
     shared = errors.join(common_items(errors.filter(F.col("run").isin(runs)), len(runs)), "item_key", "left_semi")
     if reference_run is not None:
-        chosen = shared.filter(F.col("run") == reference_run).select(*PAIR, F.col("reference_mean").alias("_reference"))
-        shared = shared.join(chosen, PAIR, "left").withColumn("reference_mean", F.col("_reference")).drop("_reference")
-    first = shared.filter(F.col("run") == runs[0])
-    as_runs = [
-        first.withColumns({"run": F.lit(name), "predicted": F.col(name)}) for name in baselines if name != "reference_mean" or reference_run
-    ]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), as_runs, shared)
+        chosen = errors.filter(F.col("run") == reference_run).select(*PAIR, F.col("reference_mean").alias("_reference"))
+        shared = shared.join(chosen.hint("shuffle_hash"), PAIR, "left").withColumn("reference_mean", F.col("_reference")).drop("_reference")
+    own = F.struct("run", "predicted")
+    as_runs = [F.struct(F.lit(name).alias("run"), F.col(name).alias("predicted")) for name in baselines if name != "reference_mean" or reference_run]
+    # The first run's rows give the baselines' in the same pass, so the joins are there once.
+    entries = F.when(F.col("run") == runs[0], F.array(own, *as_runs)).otherwise(F.array(own))
+    rows = shared.withColumn("_as", F.explode(entries)).withColumns({"run": F.col("_as.run"), "predicted": F.col("_as.predicted")}).drop("_as")
     error = F.col("predicted") - F.col("calibrated")
     return rows.withColumns({"error": error, "abs_error": F.abs(error)})
 
