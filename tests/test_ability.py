@@ -1,5 +1,6 @@
 """Both forms of the ability estimates, and their special cases."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -157,3 +158,55 @@ def test_interpolated_likelihood():
     assert ability._interpolated(ability._Block(columns), 0.01, starts) is None
     columns["slope"][7], columns["scaled_points"][3] = 1.0, 3
     assert ability._interpolated(ability._Block(columns), 0.01, starts) is None
+
+
+def test_poisson_weights_are_those_of_their_definition():
+    from thetaloom.operators import bootstrap
+
+    hashes = np.r_[np.random.default_rng(2).integers(0, 2**28, 300), 0, 2**28 - 1]
+    uniform = bootstrap._mix(hashes[:, None] * 65_537 + np.arange(500)[None, :]) / bootstrap.PRIME
+    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(11)])
+    assert (bootstrap._weights(hashes, 500) == np.searchsorted(steps, uniform, side="right")).all()
+
+
+def test_an_item_draws_its_weights_once(spark, monkeypatch):
+    """Rows of an item in several groups, missing groups among them, share the item's weights, in any order."""
+    from thetaloom.operators import bootstrap
+
+    rng = np.random.default_rng(3)
+    rows = [(g, f"i{i}", float(rng.integers(0, 3)), 2.0) for i in range(300) for g in (1, 2, None) if (i + (g or 0)) % 4]
+    df = spark.createDataFrame(rows, "g bigint, item string, points double, top double")
+    found = {r["g"]: (r["ci_low"], r["ci_high"]) for r in bootstrap_interval(df, ["g"], "item", "points", "top").collect()}
+    monkeypatch.setattr(bootstrap, "DRAWN", 7)
+    monkeypatch.setattr(bootstrap, "HELD", 1)
+    parts = {r["g"]: (r["ci_low"], r["ci_high"]) for r in bootstrap_interval(df, ["g"], "item", "points", "top").collect()}
+    assert found == parts and len(found) == 3
+    for group, interval in found.items():
+        mine = [(int(hashlib.md5(item.encode()).hexdigest()[:7], 16), points, top) for g, item, points, top in rows if g == group]
+        h, points, top = (np.array(x) for x in zip(*mine, strict=True))
+        steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(11)])
+        weights = np.searchsorted(steps, bootstrap._mix(h[:, None] * 65_537 + np.arange(2000)[None, :]) / bootstrap.PRIME, side="right")
+        assert interval == pytest.approx(np.quantile(100 * (points @ weights) / (top @ weights), [0.025, 0.975]), abs=1e-9)
+
+
+def test_large_groups_are_added_up(spark, monkeypatch):
+    """Groups above the bound, over several tasks and hand-overs, as the definition has them; missing parameters add nothing."""
+    monkeypatch.setattr(ability, "HELD", 2)
+    rng = np.random.default_rng(7)
+    rows = []
+    for who in ("a", "b", None, "all", "none"):
+        for i in range(120):
+            kind = ("3PL", "2PL", "GPCM")[i % 3]
+            top = 2 if kind == "GPCM" else 1
+            score = {"all": top, "none": 0}.get(who, int(rng.integers(0, top + 1)))
+            steps = (0.4, -0.4) if kind == "GPCM" else (None, None)
+            rows.append((who, kind, top, score, float(rng.uniform(0.4, 1.9)) if i % 17 else None, float(rng.normal()), 0.2 if kind == "3PL" else None, *steps))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    keys = ["who"]
+    assert "Generate" not in estimate_theta(df, keys, large_group=100)._jdf.queryExecution().optimizedPlan().toString()  # no row for each response and ability
+    found = {r["who"]: r.asDict() for r in estimate_theta(df, keys, large_group=100).collect()}
+    expected = {r["who"]: r.asDict() for r in estimate_theta_relational(df, keys).collect()}
+    assert found.keys() == expected.keys() and len(found) == 5
+    for who, row in expected.items():
+        for name, value in row.items():
+            assert found[who][name] == (pytest.approx(value, abs=1e-6) if isinstance(value, float) and math.isfinite(value) else value), (who, name)

@@ -417,6 +417,24 @@ def test_forms_of_views_have_the_same_rows(spark, tmp_path):
         assert not any("min(" in line and "concat" in line.split("[")[1] or "max(" in line and "calibration" in line for line in text.splitlines() if "Aggregate" in line)
 
 
+def test_item_level_has_one_form(spark, tmp_path):
+    """Line items are combined by their numbers alone, with the rows of the view: repeated parts, missing keys, sizes and prices."""
+    from thetaloom.sources.tables import CONDITION_FORMS, VIEWS, Tables
+
+    parts = [(k, (k * 7) % 9 or None, k * 1.5 if k % 4 else None) for k in range(1, 30)] + [(9, 1, 2.0), (9, 8, 3.0), (12, 3, 1.0), (12, 3, 1.0), (None, 2, 5.0)]
+    lines = [(o, (o * 5) % 31 or None, (o * 11) % 17 or None, "RAN"[o % 3] if o % 8 else None) for o in range(1, 400)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s or None,) for s in (*range(13), 3)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    t = Tables(spark, str(tmp_path))
+    for name in CONDITION_FORMS:
+        own, plain = getattr(t, name), t.sql(VIEWS[name])
+        assert own.schema == plain.schema and own.count() == plain.count() > 0
+        assert own.exceptAll(plain).isEmpty() and plain.exceptAll(own).isEmpty()
+        text = own._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("max(" in line and "concat" in line for line in text.splitlines() if "Aggregate" in line)
+
+
 def test_cells_have_one_form(spark):
     """The cells that take a line item once are those of the query's SQL."""
     from thetaloom.plans.ledger import CELLS_FORM, CELLS_SQL

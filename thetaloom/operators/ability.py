@@ -1,12 +1,13 @@
 """Ability estimates of response patterns: EAP and maximum likelihood on a grid of theta.
 
-A pattern is the set of responses of one group (such as a respondent on a calibration). Two equivalent forms:
+A pattern is the set of responses of one group (such as a respondent on a calibration). Three equivalent forms:
 
 - ``estimate_theta`` shuffles the compact response rows once by group, sorts them, and lets each task stream through its
   groups with vectorised arithmetic. Nothing of the size of (responses x grid) is ever shuffled or stored.
-- ``estimate_theta_relational`` states the same sums as a (response x grid) aggregation in built-in functions. Spark
-  combines its partial sums before the shuffle, so a single group of any size is spread over all tasks. It takes the
-  groups that are too large for one task, and is the definition the other form is tested against.
+- Groups that are too large for one task are added up: each task sums the curves of its rows of a group as an array, and hands
+  over one row per group; a second pass does the same around the maximum. So a group of any size is spread over all tasks.
+- ``estimate_theta_relational`` states the same sums as a (response x grid) aggregation in built-in functions. It is the
+  definition that the other forms are tested against.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 
 from thetaloom.functions.irt import PROBABILITY_FLOOR, SCALING, THETA_MAX, THETA_MIN, THETA_STEP, ItemModel
 from thetaloom.operators.joins import same_keys
-from thetaloom.session import task_count
+from thetaloom.session import spread, task_count, written
 
 LARGE_GROUP = 200_000
-"""Groups with more responses than this are estimated in the relational form."""
+"""Groups with more responses than this are added up over all tasks."""
+HELD = 256
+"""Groups whose sums a task holds at once."""
 FINE_HALF_WIDTH, FINE_STEP = 0.02, 1e-4
 ROWS_PER_BLOCK = 64
 REPEATED_ROWS = 4096
@@ -467,10 +470,93 @@ def estimate_theta_relational(responses: DataFrame, keys: list[str], step: float
     )
 
 
-def _kept(prepared: DataFrame, large: DataFrame, keys: list[str], wanted: bool) -> DataFrame:
-    """The rows of the large groups, or of the others."""
-    marked = same_keys(prepared, large.withColumn("_large", F.lit(True)), keys, "left")
-    return marked.filter(F.col("_large").isNotNull() if wanted else F.col("_large").isNull()).drop("_large")
+# --- large groups ---------------------------------------------------------------------------------------------------
+
+
+def _added(keys: list[str], kinds: list[pa.DataType], curves):
+    """Batches of rows to one row per group of ``keys``, with the sums that ``curves`` (block, first rows of the groups, table)
+    gives, as an array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by([(key, "ascending") for key in keys]).combine_chunks()
+            if not len(table):
+                continue
+            starts = _starts(table, keys)
+            columns = {name: table[name].to_numpy() for name in ["irt_model", "score", "scaled_points", *_PARAMETERS]}
+            block = _Block({k: v.astype(float) if k in _PARAMETERS else v for k, v in columns.items()})
+            names = zip(*(table[key].take(pa.array(starts)).to_pylist() for key in keys), strict=True)
+            for name, sums in zip(names, curves(block, starts, table), strict=True):
+                if name not in held and len(held) >= HELD:
+                    yield emit(held)
+                    held = {}
+                held[name] = held[name] + sums if name in held else sums
+        if held:
+            yield emit(held)
+
+    def emit(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        groups = [pa.array([name[i] for name in held], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*groups, pa.array(list(held.values()), pa.list_(pa.float64()))], names=[*keys, "totals"])
+
+    return run
+
+
+def _estimate_large(prepared: DataFrame, groups: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """The estimates of ``groups`` (``keys``, items, points, max_points), whose rows may be in all tasks."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = [prepared.schema[key] for key in keys]
+    kinds = [to_arrow_type(field.dataType) for field in fields]
+    named = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in fields)
+    theta, half = grid(step), int(round(max(FINE_HALF_WIDTH, 2 * step) / FINE_STEP))
+    places = np.arange(-half, half + 1)
+    # A response whose probability is missing, or the same at every ability for want of a parameter, is an item of its group and adds
+    # nothing to the likelihood; steps after a missing one are missing.
+    told = ItemModel(steps=3).log_probability(F.lit(0.0)).isNotNull() & F.col("slope").isNotNull() & F.col("location").isNotNull()
+    told &= F.coalesce(F.col("irt_model") != "GPCM", F.lit(True)) | F.col("step1").isNotNull()
+    rows = prepared.where(told).withColumn("scaled_points", F.coalesce("scaled_points", F.lit(0))).withColumn("step3", F.when(F.col("step2").isNotNull(), F.col("step3")))
+    rows = same_keys(rows, groups.select(*keys), keys)
+
+    def summed(frame: DataFrame, curves, finish, schema: str) -> DataFrame:
+        def whole(table: pa.Table) -> pa.Table:
+            total = np.sum([np.array(x) for x in table["totals"].to_pylist()], axis=0)
+            return pa.table([*(table[key].slice(0, 1) for key in keys), *(pa.array([x]) for x in finish(total, table))], names=[*keys, *(x.split()[0] for x in schema.split(", "))])
+
+        totals = frame.mapInArrow(_added(keys, kinds, curves), f"{named}, totals array<double>")
+        if "_coarse" in frame.columns:
+            totals = same_keys(totals, centers, keys)
+        return totals.groupBy(*keys).applyInArrow(whole, f"{named}, {schema}")
+
+    def ability(likelihood: np.ndarray, _) -> tuple[float, ...]:
+        posterior = np.exp(likelihood - likelihood.max() - theta**2 / 2)
+        posterior /= posterior.sum()
+        eap = posterior @ theta
+        return theta[likelihood.argmax()], eap, np.sqrt((posterior * (theta - eap) ** 2).sum())
+
+    def near(block: _Block, starts: np.ndarray, table: pa.Table) -> np.ndarray:
+        coarse = table["_coarse"].to_numpy()[starts]
+        return _sums_by_group(block.log_likelihood, coarse[:, None] + places * FINE_STEP, starts, len(block))
+
+    def vertex(likelihood: np.ndarray, table: pa.Table) -> tuple[float]:
+        best = min(max(int(likelihood.argmax()), 1), len(places) - 2)
+        left, middle, right = likelihood[best - 1 : best + 2]
+        bend = left - 2 * middle + right
+        return (table["_coarse"][0].as_py() + places[best] * FINE_STEP + (FINE_STEP * (left - right) / (2 * bend) if bend else 0.0),)
+
+    first = summed(rows, lambda block, starts, _: _grid_likelihood(block, step, starts), ability, "_coarse double, theta_eap double, theta_eap_se double")
+    eap = same_keys(groups, written(first, "abilities"), keys)
+    beyond = F.abs(F.col("_coarse")) >= THETA_MAX - step / 2
+    note = F.when(F.col("points") == 0, "zero score").when(F.col("points") == F.col("max_points"), "perfect score").when(beyond, "beyond ±6")
+    eap = written(eap.withColumn("mle_note", note), "abilities")
+    centers = eap.where("mle_note is null").select(*keys, "_coarse")
+    vertices = written(summed(same_keys(rows, centers, keys), near, vertex, "theta_mle double"), "vertices")
+    information = same_keys(prepared, vertices, keys).groupBy(*keys, "theta_mle").agg((1 / F.sqrt(F.sum(ItemModel(steps=3).information("theta_mle")))).alias("theta_mle_se"))
+    infinite = F.when((F.col("points") == 0) | ((F.col("mle_note") == "beyond ±6") & (F.col("_coarse") < 0)), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return same_keys(eap, information, keys, "left").select(
+        *keys, "items", "points", "max_points", "theta_eap", "theta_eap_se",
+        F.when(F.col("mle_note").isNull(), F.col("theta_mle")).otherwise(infinite).alias("theta_mle"), "theta_mle_se", "mle_note",
+    )
 
 
 # --- entry ----------------------------------------------------------------------------------------------------------
@@ -488,14 +574,15 @@ def estimate_theta(
 
     ``max_group_rows`` is an upper bound of a group's responses if the caller can prove one, such as the number of items
     of the largest calibration. Without a bound, or with one above ``large_group``, the groups are counted and the large
-    ones take the relational form.
+    ones are added up over all tasks.
     """
     prepared = _prepared(responses, keys)
     if max_group_rows is not None and max_group_rows <= large_group:
         return _estimate_cold(prepared, keys, step)
-    sizes = prepared.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > large_group).drop("_n")
+    # Written: the count and each pass over the large groups read it.
+    prepared = written(spread(prepared), "responses")
+    sizes = prepared.groupBy(*keys).agg(F.count("*").alias("items"), F.sum("score").alias("points"), F.sum("scaled_points").alias("max_points"))
     # The list of large groups has at most (responses / large_group) rows; the join strategy follows its measured size.
-    cold = _estimate_cold(_kept(prepared, large, keys, False), keys, step)
-    hot = estimate_theta_relational(_kept(prepared, large, keys, True), keys, step)
-    return cold.unionByName(hot)
+    large = written(sizes.filter(F.col("items") > large_group), "large")
+    small = same_keys(prepared, large.select(*keys, F.lit(True).alias("_large")), keys, "left").where("_large is null").drop("_large")
+    return _estimate_cold(small, keys, step).unionByName(_estimate_large(prepared, large, keys, step))
